@@ -248,10 +248,11 @@ def merge_semantic(df: DataFrame, from_similarity: float = R.SIMILARITY_FROM) ->
     usable = F.filter("matches", lambda m: m["similarity"].between(from_similarity, 1))
     usable = F.when(unsure & F.col("matches").isNotNull(), usable)
     df = df.withColumn("_m", F.coalesce(usable, F.array().cast(df.schema["matches"].dataType)))
-    hit = {
-        flag: F.exists("_m", lambda m, names=names: m["concept"].isin(*names))
-        for flag, names in R.SEMANTIC_FLAGS.items()
-    }
+
+    def any_of(names: Sequence[str]) -> Column:
+        return F.exists("_m", lambda m: m["concept"].isin(*names))
+
+    hit = {flag: any_of(names) for flag, names in R.SEMANTIC_FLAGS.items()}
     categories = F.transform(
         F.filter("_m", lambda m: m["concept"].isin(*R.SEMANTIC_CATEGORIES)), lambda m: m["concept"]
     )

@@ -139,15 +139,12 @@ def near_pairs(
 
     whole = F.array(key(-1, F.lit(0).cast("bigint")))
     offered = F.array(*[key(i, chunk_of(F.col("bits"), s, w)) for i, (s, w, _) in enumerate(chunks)])
-    probed = F.concat(
-        *[
-            F.transform(
-                F.array(*[F.lit(m).cast("bigint") for m in _masks(w, r)]),
-                lambda m, i=i, s=s, w=w: key(i, chunk_of(F.col("bits"), s, w).bitwiseXOR(m)),
-            )
-            for i, (s, w, r) in enumerate(chunks)
-        ]
-    )
+
+    def probes(i: int, shift: int, width: int, radius: int) -> Column:
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(width, radius)])
+        return F.transform(masks, lambda m: key(i, chunk_of(F.col("bits"), shift, width).bitwiseXOR(m)))
+
+    probed = F.concat(*[probes(i, *chunk) for i, chunk in enumerate(chunks)])
 
     def side(keys: Column, suffix: str) -> DataFrame:
         opened = marked.withColumn("_k", F.explode(F.when(F.col("_hot"), keys).otherwise(whole)))
