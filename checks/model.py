@@ -358,13 +358,14 @@ def memberships(spark, sf_dir) -> DataFrame:
     return asset_memberships(fresh(spark, sf_dir))
 
 
-def catalog(spark, sf_dir) -> Catalog:
+def catalog(spark, sf_dir, clusters: bool = False) -> Catalog:
+    """The catalog tables; cluster memberships are a stored table, added where a query needs them."""
     return Catalog(
         assets(spark, sf_dir),
         quality(spark, sf_dir),
         content(spark, sf_dir),
         texts(spark, sf_dir),
-        memberships(spark, sf_dir),
+        stored(spark, sf_dir, "memberships", memberships) if clusters else None,
     )
 
 

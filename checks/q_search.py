@@ -170,7 +170,9 @@ NESTED_SQL = (
 
 
 def _spec(spark, sf, spec):
-    return specs.apply_spec(M.catalog(spark, sf), spec).select("id")
+    names = {item["capability"] for item in specs.leaves(spec)}
+    clusters = bool(names & {"duplicate.exact", "similarity.perceptual"})
+    return specs.apply_spec(M.catalog(spark, sf, clusters), spec).select("id")
 
 
 @query("spec_and", _plain("s", AND_SQL))
@@ -400,7 +402,7 @@ def rank_worst_quality(spark, sf):
     with_tables(["wide"], "select id, memberships from wide order by memberships desc, id desc limit 60"),
 )
 def rank_most_redundant(spark, sf):
-    wide = specs.wide_catalog(M.catalog(spark, sf), [], ("most-redundant",))
+    wide = specs.wide_catalog(M.catalog(spark, sf, clusters=True), [], ("most-redundant",))
     top = paging.max_results(wide, REGISTRY().ranking("most-redundant"), 60)
     return top.select("id", F.coalesce("memberships", F.lit(0)).alias("memberships"))
 

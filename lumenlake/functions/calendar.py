@@ -16,13 +16,13 @@ from lumenlake.functions import rules as R
 
 def drop_first(text: Column, pattern: str) -> Column:
     """Remove the first match only."""
-    return F.regexp_replace(text, rf"(?s)^(.*?){pattern}", "$1")
+    return F.regexp_replace(text, rf"(?s)^(.*?){R.words(pattern)}", "$1")
 
 
 def to_english(text: Column) -> Column:
     """Calendar words of the other languages to English, by the ordered word map."""
-    for pattern, words in R.CALENDAR_WORDS:
-        text = F.regexp_replace(text, pattern, words.replace("{", "$").replace("}", ""))
+    for pattern, english in R.CALENDAR_WORDS:
+        text = F.regexp_replace(text, R.words(pattern), english.replace("{", "$").replace("}", ""))
     return text
 
 
@@ -76,25 +76,25 @@ def calendar_range(df: DataFrame, text: str, now: str) -> DataFrame:
     df = df.withColumn("_text", to_english(F.col(text)))
     df = df.withColumns(
         {
-            "_year": F.regexp_extract(t, R.YEAR_BOUND, 2),
-            "_side": F.regexp_extract(t, R.YEAR_BOUND, 1),
-            "_period": F.regexp_extract(t, R.PERIOD, 1),
-            "_rolling": t.rlike(R.ROLLING),
+            "_year": F.regexp_extract(t, R.words(R.YEAR_BOUND), 2),
+            "_side": F.regexp_extract(t, R.words(R.YEAR_BOUND), 1),
+            "_period": F.regexp_extract(t, R.words(R.PERIOD), 1),
+            "_rolling": t.rlike(R.words(R.ROLLING)),
             # Only the first rolling phrase turns into "N units ago".
-            "_days": F.regexp_replace(t, rf"(?s)^(.*?){R.ROLLING}", "$1$2 $3 ago"),
+            "_days": F.regexp_replace(t, rf"(?s)^(.*?){R.words(R.ROLLING)}", "$1$2 $3 ago"),
         }
     )
-    df = df.withColumn("_phrases", F.regexp_extract_all("_days", F.lit(R.DAY_PHRASE), 1))
+    df = df.withColumn("_phrases", F.regexp_extract_all("_days", F.lit(R.words(R.DAY_PHRASE)), 1))
     df = df.withColumns(
         {
             "_start": _day_of(F.get("_phrases", F.lit(0)), today),
             "_end": _day_of(F.get("_phrases", F.lit(1)), today),
-            "_lead": F.regexp_extract("_days", rf"(?s)^(.*?){R.DAY_PHRASE}", 1),
-            "_old": t.rlike(R.OLD),
+            "_lead": F.regexp_extract("_days", rf"(?s)^(.*?){R.words(R.DAY_PHRASE)}", 1),
+            "_old": t.rlike(R.words(R.OLD)),
         }
     )
     # The word counts only directly before the first phrase.
-    prefix = F.regexp_extract("_lead", r"\b(before|after)\s*$", 1)
+    prefix = F.regexp_extract("_lead", R.words(r"\b(before|after)\s*$"), 1)
     monday, month, year = (F.trunc(today, unit) for unit in ("week", "month", "year"))
     january = F.make_date(F.when(F.col("_year") != "", F.col("_year").cast("int")), F.lit(1), F.lit(1))
     kind = (
@@ -129,18 +129,18 @@ def calendar_range(df: DataFrame, text: str, now: str) -> DataFrame:
         .when(k == "days", _millis(F.date_add(F.coalesce("_end", "_start"), 1)))
         .when(k == "old", _year_before(clock))
     )
-    without_days = F.regexp_replace("_days", R.DAY_PHRASE, "")
+    without_days = F.regexp_replace("_days", R.words(R.DAY_PHRASE), "")
     rest = (
         F.when(k.isin("before year", "after year"), drop_first(t, R.YEAR_BOUND))
         .when(k.isin("last week", "last month", "last year", "this year"), drop_first(t, R.PERIOD))
         .when(k == "before day", drop_first(without_days, r"\bbefore\b"))
         .when(k == "after day", drop_first(without_days, r"\bafter\b"))
-        .when(k == "days", F.regexp_replace(without_days, R.RANGE_WORDS, ""))
+        .when(k == "days", F.regexp_replace(without_days, R.words(R.RANGE_WORDS), ""))
         .when(k.isin("rolling", "many"), without_days)
         .when(k == "old", drop_first(t, R.OLD))
         .otherwise(F.col("_days"))
     )
-    ambiguous = (k == "many") | ((k == "none") & F.col("_days").rlike(R.OPEN_DATE))
+    ambiguous = (k == "many") | ((k == "none") & F.col("_days").rlike(R.words(R.OPEN_DATE)))
     added = {"after_ms": after, "before_ms": before, "date_ambiguous": ambiguous, "date_rest": rest}
     df = df.withColumns(added)
     working = ("_text", "_year", "_side", "_period", "_rolling", "_days", "_phrases", "_start", "_end")

@@ -5,6 +5,15 @@ to folded text (no accents, lower case) and are default arguments everywhere,
 so a caller can pass other rules.
 """
 
+# A word edge between ASCII word characters, whatever the version of the regex engine.
+_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def words(pattern: str) -> str:
+    r"""The pattern with ``\b`` as an ASCII word edge, as the rules expect it."""
+    return pattern.replace(r"\b", _EDGE)
+
+
 # fixed values: quoted phrases, at most five terms
 QUOTED = r'["“]([^"”]+)["”]'
 MAX_TERMS = 5

@@ -18,7 +18,7 @@ Rules = Sequence[tuple[str, str]]
 
 
 def _strip(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, pattern, "")
+    return F.regexp_replace(text, R.words(pattern), "")
 
 
 def extract_quoted(text: Column) -> Column:
@@ -27,25 +27,25 @@ def extract_quoted(text: Column) -> Column:
 
 
 def exclusion_flag(text: Column) -> Column:
-    return text.rlike(R.EXCLUDE_FAVORITES)
+    return text.rlike(R.words(R.EXCLUDE_FAVORITES))
 
 
 def ambiguity_flag(text: Column) -> Column:
     """Any other negation or "or" needs a question back; the favorites phrase does not count."""
-    return _strip(text, R.EXCLUDE_FAVORITES).rlike(R.AMBIGUITY)
+    return _strip(text, R.EXCLUDE_FAVORITES).rlike(R.words(R.AMBIGUITY))
 
 
 def tag_operation(text: Column) -> Column:
     """How the text refines the current selection; the first rule whose words all occur."""
     tag = F.lit("new")
     for name, patterns in reversed(R.OPERATIONS):
-        tag = F.when(reduce(lambda a, b: a & b, [text.rlike(p) for p in patterns]), name).otherwise(tag)
+        tag = F.when(reduce(lambda a, b: a & b, [text.rlike(R.words(p)) for p in patterns]), name).otherwise(tag)
     return tag
 
 
 def tag_action(text: Column, rules: Rules = R.ACTIONS) -> Column:
     """First matching action, find by default."""
-    return F.coalesce(*[F.when(text.rlike(p), name) for name, p in rules], F.lit(R.DEFAULT_ACTION))
+    return F.coalesce(*[F.when(text.rlike(R.words(p)), name) for name, p in rules], F.lit(R.DEFAULT_ACTION))
 
 
 def strip_action(text: Column, action: Column, rules: Rules = R.ACTIONS) -> Column:
@@ -58,7 +58,7 @@ def strip_action(text: Column, action: Column, rules: Rules = R.ACTIONS) -> Colu
 def match_in_order(df: DataFrame, text: str, rules: Rules, prefix: str) -> DataFrame:
     """One boolean per rule; the matched text is removed before the next rule looks."""
     for name, pattern in rules:
-        df = df.withColumn(f"{prefix}{name}", F.col(text).rlike(pattern))
+        df = df.withColumn(f"{prefix}{name}", F.col(text).rlike(R.words(pattern)))
         df = df.withColumn(text, _strip(F.col(text), pattern))
     return df
 
@@ -98,15 +98,15 @@ def tag_aliases(df: DataFrame, text: str, rules: Rules = R.ALIASES) -> DataFrame
 
 def size_bytes(text: Column) -> Column:
     """Last size in the text in bytes, or null."""
-    amount = F.try_element_at(F.regexp_extract_all(text, F.lit(R.SIZE), 1), F.lit(-1))
-    unit = F.try_element_at(F.regexp_extract_all(text, F.lit(R.SIZE), 2), F.lit(-1))
+    amount = F.try_element_at(F.regexp_extract_all(text, F.lit(R.words(R.SIZE)), 1), F.lit(-1))
+    unit = F.try_element_at(F.regexp_extract_all(text, F.lit(R.words(R.SIZE)), 2), F.lit(-1))
     scale = F.when(unit.startswith("g"), F.lit(1024.0**3)).otherwise(F.lit(1024.0**2))
     return F.floor(F.regexp_replace(amount, ",", ".").cast("double") * scale + 0.5).cast("bigint")
 
 
 def wants_space(text: Column) -> Column:
     """A size next to a "free" word is a target, else a minimum size."""
-    return text.rlike(R.FREE_WORD)
+    return text.rlike(R.words(R.FREE_WORD))
 
 
 def residual_terms(text: Column) -> Column:
@@ -124,7 +124,7 @@ def score_confidence(unresolved: Column, single_term: Column) -> Column:
 
 def evidence(text: Column, matchers: Rules = R.MATCHERS) -> Column:
     """Matchers that fired, in order of priority."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in matchers]))
+    return F.array_compact(F.array(*[F.when(text.rlike(R.words(p)), F.lit(name)) for name, p in matchers]))
 
 
 FILTERS = (
@@ -160,12 +160,12 @@ def classify_prompts(df: DataFrame, text: str, now: str, normalize: bool = True)
     df = df.withColumn("_t", _strip(t, R.QUOTED))
     df = df.withColumn("exclude_favorites", exclusion_flag(t)).withColumn("_t", _strip(t, R.EXCLUDE_FAVORITES))
     df = df.withColumns(
-        {"ambiguous": t.rlike(R.AMBIGUITY), "operation": tag_operation(t), "action": tag_action(t)}
+        {"ambiguous": t.rlike(R.words(R.AMBIGUITY)), "operation": tag_operation(t), "action": tag_action(t)}
     )
     df = df.withColumn("_t", strip_action(t, F.col("action")))
-    df = df.withColumn("cleanup", t.rlike(R.CLEANUP) | (F.col("action") == "delete"))
+    df = df.withColumn("cleanup", t.rlike(R.words(R.CLEANUP)) | (F.col("action") == "delete"))
     df = df.withColumn("_t", _strip(t, R.CLEANUP))
-    df = df.withColumn("_free", t.rlike(R.FREE_SPACE)).withColumn("_t", _strip(t, R.FREE_SPACE))
+    df = df.withColumn("_free", t.rlike(R.words(R.FREE_SPACE))).withColumn("_t", _strip(t, R.FREE_SPACE))
     df = df.withColumn("_bytes", size_bytes(t)).withColumn("_t", _strip(t, R.SIZE))
     wanted = F.when(wants_space(F.col("_folded")), F.col("_bytes"))
     df = df.withColumn("target_bytes", wanted)
@@ -179,7 +179,7 @@ def classify_prompts(df: DataFrame, text: str, now: str, normalize: bool = True)
     )
     df = calendar_range(df, "_t", now).withColumn("_t", F.col("date_rest")).drop("date_rest")
     df = tag_aliases(tag_concepts(df, "_t"), "_t")
-    df = df.withColumn("largest", t.rlike(R.LARGEST)).withColumn("_t", _strip(t, R.LARGEST))
+    df = df.withColumn("largest", t.rlike(R.words(R.LARGEST))).withColumn("_t", _strip(t, R.LARGEST))
     df = df.withColumn("residual", residual_terms(t))
     words = word_count(F.col("residual"))
     single = (words == 1) & ~F.col("ambiguous") & ~F.col("date_ambiguous")
@@ -286,7 +286,7 @@ def plan_status(df: DataFrame, text: str) -> DataFrame:
     """Add ``status`` (ready, clarification, unsupported) and ``notices`` to intents."""
     matched = F.col("matched") if "matched" in df.columns else F.lit(False)
     raw = F.trim(F.col(text))
-    unclear = (raw.rlike(R.RAW_NEGATION) & ~raw.rlike(R.RAW_FAVORITES)) | (F.col("unresolved") & ~matched)
+    unclear = (raw.rlike(R.words(R.RAW_NEGATION)) & ~raw.rlike(R.words(R.RAW_FAVORITES))) | (F.col("unresolved") & ~matched)
     blocking = F.array_compact(
         F.array(
             F.when(F.col("best_shot"), "bestShotUnavailable"),
