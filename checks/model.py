@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators.clusters import asset_memberships, with_hashes
 from lumenlake.operators.specs import Catalog
+from lumenlake.plans.parallel import spread
 from lumenlake.session import scratch_path
 
 DAY = 86400000
@@ -260,6 +261,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def written(spark, sf_dir) -> DataFrame:
+    """Documents for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def assets(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*ASSETS)
 
@@ -281,7 +287,7 @@ def content(spark, sf_dir) -> DataFrame:
 
 
 def texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*TEXTS)
+    return written(spark, sf_dir).selectExpr(*TEXTS)
 
 
 def capabilities(spark, sf_dir) -> DataFrame:
@@ -330,7 +336,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def _build_hashes(spark, sf_dir) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = written(spark, sf_dir)
     hashed = documents.select(
         "doc_id", *[F.expr(e) for e in (ID, *VERSIONS)], F.sha2("text", 256).alias("content_hash")
     )
@@ -371,4 +377,5 @@ def catalog(spark, sf_dir, clusters: bool = False) -> Catalog:
 
 def prompts(spark, sf_dir) -> DataFrame:
     """(event_id, prompt, now): a search log derived from the events."""
-    return table(spark, sf_dir, "events").selectExpr("event_id", f"{prompt('event_id')} AS prompt", "ts AS now")
+    log = spread(table(spark, sf_dir, "events").select("event_id", "ts"))
+    return log.selectExpr("event_id", f"{prompt('event_id')} AS prompt", "ts AS now")

@@ -9,13 +9,14 @@ from checks.register import query
 from lumenlake.functions import rules as R
 from lumenlake.functions import tagging, text
 from lumenlake.functions.calendar import calendar_range
+from lumenlake.plans.parallel import spread
 
 STRIPPED = "trim(regexp_replace(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 @query("fold_text", "select doc_id, lower(strip_accents(text)) as folded from documents")
 def fold_text(spark, sf):
-    return M.table(spark, sf, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return M.written(spark, sf).select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
 @query(
@@ -37,7 +38,7 @@ def clean_text(spark, sf):
     "select distinct doc_id, unnest(string_split(" + STRIPPED.format(c="text") + ", ' ')) as token from documents",
 )
 def token_index(spark, sf):
-    return text.build_token_index(M.table(spark, sf, "documents"), "doc_id", "text")
+    return text.build_token_index(M.written(spark, sf), "doc_id", "text")
 
 
 @query(
@@ -46,7 +47,7 @@ def token_index(spark, sf):
     " select doc_id from t where token in ('and', 'the', 'of') group by doc_id having count(*) = 3",
 )
 def indexed_matches(spark, sf):
-    index = text.build_token_index(M.table(spark, sf, "documents"), "doc_id", "text")
+    index = text.build_token_index(M.written(spark, sf), "doc_id", "text")
     return text.indexed_matches(index, ["and the", "OF"], "doc_id")
 
 
@@ -182,7 +183,7 @@ def extract_size(spark, sf):
 )
 def ambiguity_flag(spark, sf):
     folded = text.fold(F.col("text"))
-    documents = M.table(spark, sf, "documents").select("doc_id", folded.alias("t"))
+    documents = M.written(spark, sf).select("doc_id", folded.alias("t"))
     return documents.select(
         "doc_id",
         tagging.ambiguity_flag(F.col("t")).alias("ambiguous"),
@@ -286,7 +287,8 @@ PHRASE_SQL = f"o as (select o_orderkey, lower(strip_accents({PHRASE})) as t, o_o
     f"with {PHRASE_SQL}, {calendar_ctes('o')} select o_orderkey, after_ms, before_ms, date_ambiguous, t as date_rest from dated",
 )
 def calendar_ranges(spark, sf):
-    phrases = M.table(spark, sf, "orders").selectExpr("o_orderkey", f"{PHRASE} AS phrase", "o_orderdate AS now")
+    orders = spread(M.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+    phrases = orders.selectExpr("o_orderkey", f"{PHRASE} AS phrase", "o_orderdate AS now")
     folded = phrases.withColumn("t", text.fold(F.col("phrase")))
     return calendar_range(folded, "t", "now").select(
         "o_orderkey", "after_ms", "before_ms", "date_ambiguous", "date_rest"

@@ -21,9 +21,10 @@ def drop_first(text: Column, pattern: str) -> Column:
 
 def to_english(text: Column) -> Column:
     """Calendar words of the other languages to English, by the ordered word map."""
+    original = text
     for pattern, english in R.CALENDAR_WORDS:
         text = F.regexp_replace(text, R.words(pattern), english.replace("{", "$").replace("}", ""))
-    return text
+    return F.when(original.rlike(R.words(R.any_of((p, p) for p, _ in R.CALENDAR_WORDS))), text).otherwise(original)
 
 
 def _millis(day: Column) -> Column:

@@ -5,13 +5,22 @@ to folded text (no accents, lower case) and are default arguments everywhere,
 so a caller can pass other rules.
 """
 
-# A word edge between ASCII word characters, whatever the version of the regex engine.
-_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
-
+import re
+from collections.abc import Iterable
 
 def words(pattern: str) -> str:
-    r"""The pattern with ``\b`` as an ASCII word edge, as the rules expect it."""
-    return pattern.replace(r"\b", _EDGE)
+    r"""The pattern with ``\b`` between ASCII word characters, whatever the regex engine's version.
+
+    Every alternative of the rules starts and ends with such a character, so a
+    leading ``\b`` means none before, and a trailing one none after.
+    """
+    leading = re.sub(r"\\b(?=[(\w])", r"(?<![0-9A-Za-z_])", pattern)
+    return leading.replace(r"\b", r"(?![0-9A-Za-z_])")
+
+
+def any_of(rules: Iterable[tuple[str, str]]) -> str:
+    """One pattern that matches where at least one of the rules does."""
+    return "|".join(f"(?:{pattern})" for _, pattern in rules)
 
 
 # fixed values: quoted phrases, at most five terms

@@ -45,7 +45,8 @@ def tag_operation(text: Column) -> Column:
 
 def tag_action(text: Column, rules: Rules = R.ACTIONS) -> Column:
     """First matching action, find by default."""
-    return F.coalesce(*[F.when(text.rlike(R.words(p)), name) for name, p in rules], F.lit(R.DEFAULT_ACTION))
+    first = F.coalesce(*[F.when(text.rlike(R.words(p)), name) for name, p in rules])
+    return F.when(text.rlike(R.words(R.any_of(rules))), first).otherwise(R.DEFAULT_ACTION)
 
 
 def strip_action(text: Column, action: Column, rules: Rules = R.ACTIONS) -> Column:
@@ -56,11 +57,23 @@ def strip_action(text: Column, action: Column, rules: Rules = R.ACTIONS) -> Colu
 
 
 def match_in_order(df: DataFrame, text: str, rules: Rules, prefix: str) -> DataFrame:
-    """One boolean per rule; the matched text is removed before the next rule looks."""
-    for name, pattern in rules:
-        df = df.withColumn(f"{prefix}{name}", F.col(text).rlike(R.words(pattern)))
-        df = df.withColumn(text, _strip(F.col(text), pattern))
-    return df
+    """One boolean per rule; the matched text is removed before the next rule looks.
+
+    Most texts match no rule, and then nothing is ever removed: one test with
+    all patterns spares them the single ones.
+    """
+    stages = [text, *[f"_s{i}" for i in range(1, len(rules) + 1)]]
+    df = df.withColumn("_some", F.col(text).rlike(R.words(R.any_of(rules))))
+    for (_, pattern), before, after in zip(rules, stages, stages[1:]):
+        left = F.when(F.col("_some"), _strip(F.col(before), pattern)).otherwise(F.col(before))
+        df = df.withColumn(after, left)
+    # A rule matched where it removed something.
+    flags = {
+        f"{prefix}{name}": F.col(before) != F.col(after)
+        for (name, _), before, after in zip(rules, stages, stages[1:])
+    }
+    kept = [c for c in df.columns if c not in (*stages, "_some")]
+    return df.select(*kept, *[v.alias(k) for k, v in flags.items()], F.col(stages[-1]).alias(text))
 
 
 def tag_concepts(df: DataFrame, text: str, rules: Rules = R.CONCEPTS) -> DataFrame:

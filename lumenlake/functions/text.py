@@ -35,7 +35,10 @@ def _base_letters() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Drop accents (U+0300 to U+036F after decomposition) and lower-case."""
     composed, base = _base_letters()
-    return F.lower(F.regexp_replace(F.translate(text, composed, base), MARKS, ""))
+    # Plain ASCII text has as many bytes as characters and nothing to strip.
+    plain = F.octet_length(text) == F.length(text)
+    stripped = F.regexp_replace(F.translate(text, composed, base), MARKS, "")
+    return F.lower(F.when(plain, text).otherwise(stripped))
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:

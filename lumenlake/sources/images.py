@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LUMA = (0.299, 0.587, 0.114)
 GRIDS = "struct<fine:array<int>,coarse:array<int>>"
 FINE, COARSE = 32, 8
+# Both sources name files alike in the file metadata, though not in their own columns.
+PATH = "_metadata.file_path AS path"
 
 
 def read_image_bytes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -21,7 +23,7 @@ def read_image_bytes(spark: SparkSession, path: str, pattern: str = "*") -> Data
         .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", "true")
         .load(path)
-        .select("path", F.col("modificationTime").alias("modified"), "length", "content")
+        .selectExpr(PATH, "modificationTime AS modified", "length", "content")
     )
 
 
@@ -34,8 +36,7 @@ def read_image_pixels(spark: SparkSession, path: str, pattern: str = "*") -> Dat
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    good = F.when(F.col("image.height") > 0, F.col("image"))
-    return decoded.select(F.col("image.origin").alias("path"), good.alias("image"))
+    return decoded.selectExpr(PATH, "case when image.height > 0 then image end AS image")
 
 
 def area_grid(pixels: np.ndarray, n: int) -> np.ndarray:
