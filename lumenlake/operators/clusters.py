@@ -23,6 +23,7 @@ from lumenlake.constants import (
 from lumenlake.functions.hashing import all_of, bit_distance, hash_bits
 from lumenlake.operators.staleness import freshness_gate
 from lumenlake.plans.skew import join_lookup
+from lumenlake.session import cut_lineage
 
 HOT_BUCKET = 1024
 CHUNK_BITS = 16
@@ -120,12 +121,14 @@ def near_pairs(
     """
     digits = bucket_digits or 0
     chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance)
-    base = groups.select(
-        F.col(column).alias("hash"),
-        F.col("member_count").alias("n"),
-        F.col("representative_id").alias("first"),
-        hash_bits(F.col(column)).alias("bits"),
-        F.substring(F.col(column), 1, digits).alias("bucket"),
+    base = cut_lineage(
+        groups.select(
+            F.col(column).alias("hash"),
+            F.col("member_count").alias("n"),
+            F.col("representative_id").alias("first"),
+            hash_bits(F.col(column)).alias("bits"),
+            F.substring(F.col(column), 1, digits).alias("bucket"),
+        )
     )
     # At most 16 ** digits rows (65536 by default), whatever the table size.
     hot = base.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_bucket)
@@ -205,14 +208,16 @@ def asset_memberships(fresh: DataFrame, bucket_digits: int | None = BUCKET_DIGIT
     """Per asset: sizes of its exact and visual groups, near assets, and total memberships.
 
     ``memberships`` counts one exact group, one visual group and one per near
-    asset, which is the number of clusters the asset belongs to.
+    asset, which is the number of clusters the asset belongs to. The three hash
+    columns are checkpointed once (an action), as every part below reads them.
     """
-    exact = exact_clusters(fresh).select("content_hash", F.col("member_count").alias("exact_size"))
-    groups = hash_groups(fresh, "visual_hash")
+    rows = cut_lineage(fresh.select("id", "content_hash", "visual_hash"))
+    exact = exact_clusters(rows).select("content_hash", F.col("member_count").alias("exact_size"))
+    groups = hash_groups(rows, "visual_hash")
+    sizes = groups.select("visual_hash", "member_count")
     visual = similar_degrees(groups, near_pairs(groups, bucket_digits)).where("degree > 0")
-    rows = fresh.select("id", "content_hash", "visual_hash")
     rows = join_lookup(rows, exact, "content_hash", F.col("exact_size"), "id")
-    rows = join_lookup(rows, visual, "visual_hash", F.col("member_count"), "id")
+    rows = join_lookup(rows, visual, "visual_hash", F.col("member_count"), "id", sizes=sizes)
     in_exact = F.coalesce(F.col("exact_size") > 1, F.lit(False))
     in_visual = F.coalesce(F.col("member_count") > 1, F.lit(False))
     near = F.coalesce("degree", F.lit(0))
@@ -225,8 +230,9 @@ def asset_memberships(fresh: DataFrame, bucket_digits: int | None = BUCKET_DIGIT
 
 
 def cluster_members(fresh: DataFrame) -> DataFrame:
-    """(cluster_id, kind, id) of all exact and visual groups."""
+    """(cluster_id, kind, id) of all exact and visual groups; checkpoints the hash columns once."""
     parts = []
+    fresh = cut_lineage(fresh.select("id", "content_hash", "visual_hash"))
     for clusters, column in ((exact_clusters(fresh), "content_hash"), (visual_clusters(fresh), "visual_hash")):
         rows = fresh.where(F.col(column).isNotNull()).select("id", column)
         lookup = clusters.select(column, "cluster_id", "kind", "member_count")
@@ -236,7 +242,8 @@ def cluster_members(fresh: DataFrame) -> DataFrame:
 
 
 def rebuild_clusters(fresh: DataFrame, bucket_digits: int | None = BUCKET_DIGITS) -> DataFrame:
-    """All clusters of the three independent kinds, as one new snapshot."""
+    """All clusters of the three independent kinds, as one new snapshot (checkpoints the hashes once)."""
+    fresh = cut_lineage(fresh.select("id", "content_hash", "visual_hash"))
     columns = ["cluster_id", "kind", "representative_id", "member_count"]
     similar = similar_clusters(near_pairs(hash_groups(fresh, "visual_hash"), bucket_digits))
     return (

@@ -18,6 +18,7 @@ def join_lookup(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique on ``key``) without a hot task.
 
@@ -25,9 +26,10 @@ def join_lookup(
     ``hot_rows`` are at most rows / hot_rows many, so their list is small enough
     to broadcast whatever the table size. Rows of such keys are spread over
     ``salts`` reducers; only the few hot lookup rows are repeated. Rows without
-    a key match nothing and are spread the same way.
+    a key match nothing and are spread the same way. ``sizes`` gives key and
+    weight from a cheaper table than the lookup, if there is one.
     """
-    hot_keys = lookup.where(weight > hot_rows).select(key, F.lit(True).alias("_hot"))
+    hot_keys = (lookup if sizes is None else sizes).where(weight > hot_rows).select(key, F.lit(True).alias("_hot"))
     salted_rows = rows.join(F.broadcast(hot_keys), key, "left").withColumn(
         "_salt",
         F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int"),

@@ -70,3 +70,11 @@ def partition_for_reading(df: DataFrame, buckets: int) -> DataFrame:
         .repartition("media_type", "created_month", F.pmod(F.xxhash64("id"), F.lit(buckets)))
         .sortWithinPartitions("media_type", "created_month", "created_at")
     )
+
+
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "id") -> None:
+    """Save as a catalog table bucketed and sorted by the asset id.
+
+    Asset and signal tables with the same number of buckets join without a shuffle.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)

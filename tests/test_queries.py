@@ -57,3 +57,28 @@ def test_filters_reach_the_scan(spark, tmp_path):
     text = plan(read_assets(spark, str(tmp_path / "assets"), "videos", before=q_search.MIDDLE).select("id"))
     assert "EqualTo(media_type,video)" in text and "LessThan(created_at" in text
     assert "file_size" not in text
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from lumenlake.operators.insights import enrich
+    from lumenlake.sources.tables import save_bucketed
+
+    built = {"assets": M.assets, "quality": M.quality, "content": M.content}
+    for name, build in built.items():
+        save_bucketed(build(spark, SF), f"bucketed_{name}", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = enrich(*[spark.table(f"bucketed_{name}") for name in built])
+        assert "Exchange" not in plan(joined)
+        assert joined.count() == M.assets(spark, SF).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bounded_windows_are_cut_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan(QUERIES["refinement_log"](spark, SF))
+
+
+def test_savings_and_merges_combine_before_the_shuffle(spark):
+    for name in ("duplicate_savings", "latest_by_key", "merge_quality", "mean_pool"):
+        assert "partial_" in plan(QUERIES[name](spark, SF))
