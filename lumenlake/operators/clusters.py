@@ -25,7 +25,9 @@ from lumenlake.operators.staleness import freshness_gate
 from lumenlake.plans.skew import join_lookup
 from lumenlake.session import cut_lineage
 
-HOT_BUCKET = 1024
+HOT_BUCKET = 4096
+# Up to this many leading digits the list of buckets itself is small (16 ** 5 rows).
+LISTED_DIGITS = 5
 CHUNK_BITS = 16
 
 
@@ -114,10 +116,13 @@ def near_pairs(
     ``groups`` is :func:`hash_groups`. Only hashes with the same leading
     ``bucket_digits`` are compared (None compares all). A bucket of up to
     ``hot_bucket`` hashes is compared directly. A larger one is joined on
-    16-bit chunks instead: one side offers its chunks, the other every chunk
-    value within the chunk's radius, which finds all near pairs while comparing
-    a small share of the bucket. A pair met through several chunks is kept for
-    the first one only, so no distinct is needed.
+    16-bit chunks instead: near hashes agree up to a small radius in some chunk.
+    One side offers its chunks with up to one bit flipped, the other its chunks
+    with the rest of the radius flipped, so both meet at a value in between.
+    Of all meeting points of a pair only one counts - the first chunk that is
+    near enough, one differing bit away from the first hash - hence no distinct
+    is needed. The distinct hashes are read three times, so they are
+    checkpointed first (this runs their aggregation).
     """
     digits = bucket_digits or 0
     chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance)
@@ -130,9 +135,10 @@ def near_pairs(
             F.substring(F.col(column), 1, digits).alias("bucket"),
         )
     )
-    # At most 16 ** digits rows (65536 by default), whatever the table size.
     hot = base.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_bucket)
-    marked = base.join(F.broadcast(hot.select("bucket", F.lit(True).alias("_hot"))), "bucket", "left")
+    hot = hot.select("bucket", F.lit(True).alias("_hot"))
+    # At most 16 ** digits rows (65536 by default), whatever the table size.
+    marked = base.join(F.broadcast(hot) if digits <= LISTED_DIGITS else hot, "bucket", "left")
 
     def chunk_of(bits: Column, shift: int, width: int) -> Column:
         return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
@@ -141,13 +147,13 @@ def near_pairs(
         return F.struct(F.lit(i).alias("chunk"), value.alias("value"))
 
     whole = F.array(key(-1, F.lit(0).cast("bigint")))
-    offered = F.array(*[key(i, chunk_of(F.col("bits"), s, w)) for i, (s, w, _) in enumerate(chunks)])
 
-    def probes(i: int, shift: int, width: int, radius: int) -> Column:
+    def flipped(i: int, shift: int, width: int, radius: int) -> Column:
         masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(width, radius)])
         return F.transform(masks, lambda m: key(i, chunk_of(F.col("bits"), shift, width).bitwiseXOR(m)))
 
-    probed = F.concat(*[probes(i, *chunk) for i, chunk in enumerate(chunks)])
+    first_keys = F.concat(*[flipped(i, s, w, min(r, 1)) for i, (s, w, r) in enumerate(chunks)])
+    second_keys = F.concat(*[flipped(i, s, w, max(r - 1, 0)) for i, (s, w, r) in enumerate(chunks)])
 
     def side(keys: Column, suffix: str) -> DataFrame:
         opened = marked.withColumn("_k", F.explode(F.when(F.col("_hot"), keys).otherwise(whole)))
@@ -159,15 +165,18 @@ def near_pairs(
         )
 
     differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    first_chunk = F.lit(True)
-    for i in range(1, len(chunks)):
+    counted = F.lit(True)
+    for i, (shift, width, _) in enumerate(chunks):
+        here = chunk_of(differing, shift, width)
+        lowest = here.bitwiseAND(-here)
+        middle = chunk_of(F.col("bits_a"), shift, width).bitwiseXOR(lowest)
         missed = [F.bit_count(chunk_of(differing, s, w)) > r for s, w, r in chunks[:i]]
-        first_chunk = F.when(F.col("chunk") == i, all_of(missed)).otherwise(first_chunk)
+        counted = F.when(F.col("chunk") == i, all_of([F.col("value") == middle, *missed])).otherwise(counted)
     distance = bit_distance(F.col("bits_a"), F.col("bits_b"))
     return (
-        side(probed, "a")
-        .join(side(offered, "b"), ["bucket", "chunk", "value"])
-        .where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance) & first_chunk)
+        side(first_keys, "a")
+        .join(side(second_keys, "b"), ["bucket", "chunk", "value"])
+        .where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance) & counted)
         .select(
             "hash_a",
             "hash_b",

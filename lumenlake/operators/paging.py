@@ -70,7 +70,7 @@ def recoverable_target(
 ) -> DataFrame:
     """Smallest prefix of an order whose known sizes reach a target, with the running sum.
 
-    The reference tool accepts such a target but never executes it; this is an extension.
+    An extension: requests can state such a target, but a page search does not act on it.
     """
     known = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
     summed = ordered_totals(df, order, {"running_bytes": known})
