@@ -177,17 +177,21 @@ def duplicate_keys(spark, sf):
     return validation.find_duplicate_keys(M.table(spark, sf, "events"), ["user_id", "event_type"])
 
 
-BATCH = (
-    "count(*) as asset_count, count_if(event_type = 'purchase') as analysis_count,"
-    " min(cast(k as bigint)) - 1 as processed, max(cast(k as bigint)) as total,"
-    " sum(value) / 5000 as progress, min(case when user_id % 2 = 0 then '' else event_type end) as cursor"
-)
+BATCH = {
+    "asset_count": "count(*)",
+    "analysis_count": "count_if(event_type = 'purchase')",
+    "processed": "min(k) - 1",
+    "total": "max(k)",
+    "progress": "sum(value) / 5000",
+    "cursor": "min(case when user_id % 2 = 0 then '' else event_type end)",
+}
+BATCH_SQL = ", ".join(f"{v} as {k}" for k, v in BATCH.items())
 
 
 @query(
     "validate_batches",
     "with e as (select *, json_extract_string(props, '$.k')::bigint as k from events),"
-    f" b as (select 'job-' || user_id as job_id, {BATCH} from e group by user_id)"
+    f" b as (select 'job-' || user_id as job_id, {BATCH_SQL} from e group by user_id)"
     " select job_id, concat_ws(',', case when asset_count > 200 then 'assets' end,"
     " case when analysis_count > 200 then 'analyses' end, case when processed < 0 then 'processed' end,"
     " case when total < 0 then 'total' end, case when progress not between 0 and 1 then 'progress' end,"
@@ -195,9 +199,9 @@ BATCH = (
 )
 def validate_batches(spark, sf):
     events = M.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    events.createOrReplaceTempView("events_with_k")
-    batches = spark.sql(f"select 'job-' || user_id as job_id, {BATCH} from events_with_k group by user_id")
-    return validation.with_reasons(batches, validation.batch_rules()).select(
+    batches = events.groupBy("user_id").agg(*[F.expr(v).alias(k) for k, v in BATCH.items()])
+    named = batches.withColumn("job_id", F.concat(F.lit("job-"), F.col("user_id").cast("string")))
+    return validation.with_reasons(named, validation.batch_rules()).select(
         "job_id", F.concat_ws(",", validation.REASONS).alias("reasons")
     )
 

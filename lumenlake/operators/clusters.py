@@ -25,7 +25,7 @@ from lumenlake.operators.staleness import freshness_gate
 from lumenlake.plans.skew import join_lookup
 from lumenlake.session import cut_lineage
 
-HOT_BUCKET = 4096
+HOT_BUCKET = 32_768
 # Up to this many leading digits the list of buckets itself is small (16 ** 5 rows).
 LISTED_DIGITS = 5
 CHUNK_BITS = 16
