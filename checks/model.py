@@ -191,7 +191,7 @@ SQL = {
     "visual": "select visual_hash, 'cluster-visual:android-v2:' || visual_hash as cluster_id, representative_id,"
     " member_count from groups where member_count > 1",
     "bits": "select *, ('0x' || visual_hash)::ubigint as h from groups",
-    "pairs": "select a.visual_hash as hash_a, b.visual_hash as hash_b, bit_count(xor(a.h, b.h)) as distance,"
+    "pairs": "select a.visual_hash as hash_a, b.visual_hash as hash_b, cast(bit_count(xor(a.h, b.h)) as int) as distance,"
     " a.member_count as members_a, b.member_count as members_b,"
     " least(a.representative_id, b.representative_id) as representative_id"
     " from bits a join bits b on substr(a.visual_hash, 1, 4) = substr(b.visual_hash, 1, 4)"

@@ -52,7 +52,7 @@ def average_hash(spark, sf):
 
 @query(
     "hamming",
-    f"with {AVERAGE} select a.vec_id, bit_count(xor(('0x' || a.hash)::ubigint, ('0x' || b.hash)::ubigint)) as distance"
+    f"with {AVERAGE} select a.vec_id, cast(bit_count(xor(('0x' || a.hash)::ubigint, ('0x' || b.hash)::ubigint)) as int) as distance"
     " from h a join h b on b.vec_id = a.vec_id + 1",
 )
 def hamming(spark, sf):
@@ -148,8 +148,8 @@ def redundancy(spark, sf):
     "similar_partners",
     with_tables(
         ["fresh"],
-        "select a.id, b.id as partner_id, bit_count(xor(('0x' || a.visual_hash)::ubigint,"
-        " ('0x' || b.visual_hash)::ubigint)) as distance from fresh a join fresh b"
+        "select a.id, b.id as partner_id, cast(bit_count(xor(('0x' || a.visual_hash)::ubigint,"
+        " ('0x' || b.visual_hash)::ubigint)) as int) as distance from fresh a join fresh b"
         " on substr(a.visual_hash, 1, 4) = substr(b.visual_hash, 1, 4) and a.id <> b.id"
         f" where a.id in (select {M.asset_id('item_id')} from benchmark) and"
         " bit_count(xor(('0x' || a.visual_hash)::ubigint, ('0x' || b.visual_hash)::ubigint)) <= 8",
