@@ -10,8 +10,9 @@ from checks.model import NOW, asset_id, with_tables
 from checks.q_tables import SIGNAL_UPDATES, UPDATE_VERSIONS, UPDATES_SQL, _updates, pending_sql
 from checks.register import query
 from lumenlake import schemas
-from lumenlake.operators.insights import _known
+from lumenlake.operators.insights import known_sum
 from lumenlake.operators.merges import latest_by_key
+from lumenlake.operators.staleness import completed_work
 from lumenlake.plans.two_stage import two_stage_run
 from lumenlake.session import scratch_path
 from lumenlake.sources.tables import read_snapshot
@@ -105,7 +106,8 @@ def stream_ingest(spark, sf):
 def stream_pending(spark, sf):
     stream = as_stream(spark, M.assets(spark, sf), "arriving", "id")
     path = scratch_path(spark, "pending")
-    pending = views.stream_pending(stream, M.capabilities(spark, sf), "deep")
+    work = M.stored(spark, sf, "work", lambda s, d: completed_work(M.capabilities(s, d)))
+    pending = views.stream_pending(stream, work, "deep")
     finish(views.append_to(pending, path, scratch_path(spark, "pending-checkpoint")))
     return spark.read.parquet(path).select("id")
 
@@ -133,7 +135,7 @@ def stream_insights(spark, sf):
     totals = {
         "seen": F.count(F.lit(1)),
         "failed": F.count_if(F.col("event_type") == "error"),
-        "total": _known(F.floor(F.col("value") * 100)),
+        "total": known_sum(F.floor(F.col("value") * 100)),
     }
     path = scratch_path(spark, "insights")
     running = views.stream_totals(as_stream(spark, events, "seen", "event_id"), totals)

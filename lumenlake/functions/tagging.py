@@ -140,6 +140,11 @@ def evidence(text: Column, matchers: Rules = R.MATCHERS) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(R.words(p)), F.lit(name)) for name, p in matchers]))
 
 
+def protect_favorites(excluded: Column, cleanup: Column, destructive: Column) -> Column:
+    """Cleanup and destructive requests never touch favorites."""
+    return excluded | cleanup | destructive
+
+
 FILTERS = (
     "after_ms",
     "before_ms",
@@ -209,8 +214,9 @@ def classify_prompts(df: DataFrame, text: str, now: str, normalize: bool = True)
     df = df.withColumns(
         {
             "confidence": score_confidence(F.col("unresolved"), F.col("_single")),
-            # Cleanup never touches favorites.
-            "exclude_favorites": F.col("exclude_favorites") | F.col("cleanup"),
+            "exclude_favorites": protect_favorites(
+                F.col("exclude_favorites"), F.col("cleanup"), F.col("destructive")
+            ),
             "best_shot": F.lit(False),
         }
     )
@@ -291,8 +297,8 @@ def merge_semantic(df: DataFrame, from_similarity: float = R.SIMILARITY_FROM) ->
         ),
     }
     df = df.withColumns(changes)
-    protect = F.col("exclude_favorites") | F.col("cleanup") | F.col("destructive")
-    return df.withColumn("exclude_favorites", protect).drop("_m")
+    protected = protect_favorites(F.col("exclude_favorites"), F.col("cleanup"), F.col("destructive"))
+    return df.withColumn("exclude_favorites", protected).drop("_m")
 
 
 def plan_status(df: DataFrame, text: str) -> DataFrame:

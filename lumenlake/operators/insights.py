@@ -12,7 +12,8 @@ from lumenlake.operators.staleness import completed_work, needs_work
 from lumenlake.plans.ordering import row_numbers
 
 
-def _known(column: Column | str) -> Column:
+def known_sum(column: Column | str) -> Column:
+    """Sum of the known values, zero if there are none."""
     return F.coalesce(F.sum(column), F.lit(0).cast("bigint"))
 
 
@@ -28,7 +29,7 @@ def library_summary(assets: DataFrame) -> DataFrame:
     return assets.agg(
         F.count_if(F.col("media_type") == "photo").alias("photos"),
         F.count_if(F.col("media_type") == "video").alias("videos"),
-        _known("file_size").alias("known_bytes"),
+        known_sum("file_size").alias("known_bytes"),
     )
 
 
@@ -40,14 +41,14 @@ def library_insights(
     joined = enrich(assets, quality, content).join(completed_work(capabilities), "id", "left")
     return joined.agg(
         F.count(F.lit(1)).alias("total"),
-        _known("file_size").alias("known_bytes"),
+        known_sum("file_size").alias("known_bytes"),
         F.count_if(F.col("file_size").isNull()).alias("unknown_sizes"),
         F.count_if(needs_work("deep")).alias("pending"),
         F.count_if(needs_work("fast")).alias("fast_pending"),
         F.count_if(F.col("is_screenshot")).alias("screenshots"),
         F.count_if(F.col("blur_score") >= BLURRY_FROM).alias("blurry"),
         F.count_if(large).alias("large_videos"),
-        _known(F.when(large, F.col("file_size"))).alias("large_video_bytes"),
+        known_sum(F.when(large, F.col("file_size"))).alias("large_video_bytes"),
     )
 
 
@@ -65,7 +66,7 @@ def duplicate_savings(fresh: DataFrame) -> DataFrame:
         .agg(
             F.count_if(other).alias("others"),
             F.bool_or("favorite").alias("has_favorite"),
-            _known(F.when(other, F.col("file_size"))).alias("bytes"),
+            known_sum(F.when(other, F.col("file_size"))).alias("bytes"),
             F.min_by("file_size", F.when(other, F.col("id"))).alias("keeper_size"),
         )
     )
@@ -114,5 +115,5 @@ def cleanup_summary(df: DataFrame, run: str | Sequence[str], size: str = "file_s
     """Per cleanup run (and outcome): number of assets and recovered bytes; unknown sizes add nothing."""
     keys = [run] if isinstance(run, str) else list(run)
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("asset_count"), _known(size).alias("recovered_bytes")
+        F.count(F.lit(1)).alias("asset_count"), known_sum(size).alias("recovered_bytes")
     )

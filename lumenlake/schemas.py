@@ -44,12 +44,17 @@ HASH_SIGNALS = ("perceptual_hash", "content_hash")
 VERSION_COLUMNS = ("analysis_version", "model_version", "analyzed_at")
 
 
-def columns(schema: str) -> list[str]:
-    """Column names of a flat DDL schema."""
-    names, depth, start = [], 0, 0
+def column_types(schema: str) -> dict[str, str]:
+    """Column names and types of a DDL schema."""
+    found, depth, start = {}, 0, 0
     for i, char in enumerate(schema + ","):
         depth += (char in "<(") - (char in ">)")
         if char == "," and depth == 0:
-            names.append(schema[start:i].split()[0])
+            name, kind = schema[start:i].split(maxsplit=1)
+            found[name] = kind
             start = i + 1
-    return names
+    return found
+
+
+def columns(schema: str) -> list[str]:
+    return list(column_types(schema))

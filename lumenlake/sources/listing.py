@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake import schemas
 from lumenlake.constants import CATEGORIES
 
 # fixed value: the latest accepted creation-date bound, in epoch milliseconds
@@ -90,6 +91,17 @@ def count_assets(df: DataFrame) -> DataFrame:
     return live_assets(df).agg(F.count(F.lit(1)).alias("total"))
 
 
+def row_projection(df: DataFrame) -> DataFrame:
+    """Stored rows as asset records: declared columns in order, 0/1 flags as booleans, missing columns null."""
+    types = schemas.column_types(schemas.ASSETS)
+    return df.select(
+        *[
+            (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in types.items()
+        ]
+    )
+
+
 def screenshot_listing_rule(name: Column, path: Column) -> Column:
     """Listing rule: the folder must be named; ``_`` matches any character."""
     name, path = F.lower(name), F.lower(path)

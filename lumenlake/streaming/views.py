@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenlake.operators.staleness import completed_work, needs_work
+from lumenlake.operators.staleness import needs_work
 from lumenlake.sources.tables import write_batch, write_snapshot
 
-# fixed value: running counts are refreshed at most this often
+# fixed values: running counts and clusters are refreshed at most this often
 INSIGHT_INTERVAL = "1 second"
-CLUSTER_INTERVAL = "5 seconds"
+CLUSTER_SECONDS = 5.0
+
 
+def stream_pending(stream: DataFrame, work: DataFrame, stage: str) -> DataFrame:
+    """Of the arriving assets only those that need work: a stream joined with a static table.
 
-def stream_pending(stream: DataFrame, capabilities: DataFrame, stage: str) -> DataFrame:
-    """Of the arriving assets only those that need work: a stream joined with a static table."""
-    columns = stream.columns
-    return stream.join(completed_work(capabilities, (stage,)), "id", "left").where(needs_work(stage)).select(*columns)
+    ``work`` is the stored output of ``completed_work``, one narrow row per
+    asset. Every batch reads it, so it must not be an aggregation of its own;
+    bucketed by id it is not shuffled either.
+    """
+    return stream.join(work, "id", "left").where(needs_work(stage)).select(*stream.columns)
 
 
 def stream_latest(stream: DataFrame, key: str, seq: str) -> DataFrame:
@@ -35,6 +42,24 @@ def stream_totals(stream: DataFrame, totals: dict[str, Column]) -> DataFrame:
     return stream.agg(*[expr.alias(name) for name, expr in totals.items()])
 
 
+def at_most_every(
+    action: Callable[[SparkSession, int], None], seconds: float = CLUSTER_SECONDS
+) -> Callable[[SparkSession, int], None]:
+    """A commit callback that runs ``action`` (a cluster rebuild, say) no more often than given.
+
+    The caller runs the action once more when the stream has ended.
+    """
+    last = float("-inf")
+
+    def run(spark: SparkSession, batch_id: int) -> None:
+        nonlocal last
+        if time.monotonic() - last >= seconds:
+            action(spark, batch_id)
+            last = time.monotonic()
+
+    return run
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append output, one replaceable directory per batch."""
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)

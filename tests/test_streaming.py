@@ -92,3 +92,24 @@ def test_running_totals_and_layout(spark, tmp_path):
     laid.write.partitionBy("media_type", "created_month").parquet(str(tmp_path / "laid"))
     back = spark.read.parquet(str(tmp_path / "laid")).where("created_month = '1970-02'")
     assert back.count() == 28
+
+
+def test_refreshes_are_throttled(spark):
+    ran = []
+    refresh = views.at_most_every(lambda s, b: ran.append(b), seconds=60)
+    for batch in range(3):
+        refresh(spark, batch)
+    assert ran == [0]
+    always = views.at_most_every(lambda s, b: ran.append(b), seconds=0)
+    always(spark, 5)
+    always(spark, 6)
+    assert ran == [0, 5, 6]
+
+
+def test_stored_rows_become_asset_records(spark):
+    from lumenlake.sources.listing import row_projection
+
+    stored = spark.createDataFrame([("a", "photo", 5, 1), ("b", "video", 6, 0)], "id string, media_type string, created_at bigint, favorite int")
+    rows = row_projection(stored)
+    assert rows.columns[0] == "id" and len(rows.columns) == 12
+    assert [(r.favorite, r.file_size) for r in rows.collect()] == [(True, None), (False, None)]
