@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import model as M
-from checks.model import asset_id, with_tables
 from checks.q_clusters import GRID, GRID_SPARK
 from checks.q_text import INTENT_COLUMNS, _flat, intent_ctes, listed, status_sql
 from checks.register import query
-from lumenlake.functions import rules as R
 from lumenlake.functions import signals, tagging, vectors
 from lumenlake.operators.analysis import capability_results
 

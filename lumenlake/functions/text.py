@@ -112,10 +112,19 @@ def update_token_index(index: DataFrame, changed: DataFrame, key: str = "id") ->
     return kept.unionByName(build_token_index(changed.where(F.col("ocr_text").isNotNull()), key))
 
 
-def indexed_matches(index: DataFrame, terms: Sequence[str], key: str = "id") -> DataFrame:
-    """Keys holding every token of the terms: a candidate set to check with :func:`text_matches`."""
+def indexed_matches(
+    index: DataFrame, terms: Sequence[str], key: str = "id", buckets: int | None = None
+) -> DataFrame:
+    """Keys holding every token of the terms: a candidate set to check with :func:`text_matches`.
+
+    With the number of ``buckets`` of a laid-out index only the directories of
+    the wanted tokens are read.
+    """
     wanted = F.array_distinct(F.flatten(F.array(*[tokens(F.lit(t)) for t in terms])))
     hits = index.where(F.array_contains(wanted, F.col("token")))
+    if buckets is not None:
+        read = F.transform(wanted, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
+        hits = hits.where(F.array_contains(read, F.col("token_bucket")))
     return (
         hits.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_hits"))

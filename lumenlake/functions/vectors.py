@@ -68,19 +68,18 @@ def concept_scores(vectors: DataFrame, prototypes: DataFrame, vector: str) -> Da
 
     @F.pandas_udf("array<double>")
     def best(batch: pd.Series) -> pd.Series:
-        good = batch.map(lambda v: v is not None and len(v) == dims)
-        out = pd.Series([None] * len(batch), dtype=object)
+        good = np.array([v is not None and len(v) == dims for v in batch], dtype=bool)
+        out: list[np.ndarray | None] = [None] * len(batch)
         if good.any():
-            x = np.stack(batch[good].to_numpy()).astype(np.float64)
+            x = np.stack(batch.to_numpy()[good]).astype(np.float64)
             square = (x**2).sum(axis=1)
             ok = np.isfinite(x).all(axis=1) & (square > 0)
             with np.errstate(all="ignore"):
                 cosine = (x @ matrix.T) / np.sqrt(square[:, None] * norms[None, :])
             top = np.maximum.reduceat(cosine, starts, axis=1)
             for position, valid, scores in zip(np.flatnonzero(good), ok, top):
-                if valid:
-                    out.iloc[position] = scores
-        return out
+                out[position] = scores if valid else None
+        return pd.Series(out, dtype=object)
 
     names = F.array(*[F.lit(c) for c in concepts])
     scored = F.zip_with(

@@ -35,6 +35,17 @@ def test_token_index_follows_updates_and_deletes(spark):
     assert laid.count() == 3 and "token_bucket" in laid.columns
 
 
+def test_laid_out_index_reads_only_the_wanted_buckets(spark, tmp_path):
+    texts = spark.range(200).selectExpr("cast(id as string) id", "concat('word', id % 50, ' common') ocr_text")
+    laid = text.lay_out_token_index(text.build_token_index(texts), 16)
+    laid.write.partitionBy("token_bucket").parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    found = text.indexed_matches(index, ["Word7 common"], buckets=16)
+    assert {r.id for r in found.collect()} == {"7", "57", "107", "157"}
+    scanned = found._jdf.queryExecution().executedPlan().toString()
+    assert "token_bucket" in scanned.split("PartitionFilters: [")[1].split("]")[0]
+
+
 PHRASES = {
     "today": (ms(2026, 9, 9) - 1, ms(2026, 9, 10)),
     "yesterday": (ms(2026, 9, 8) - 1, ms(2026, 9, 9)),
