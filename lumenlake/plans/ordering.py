@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from lumenlake.session import cut_lineage
 
 
+def _join_slices(rows: DataFrame, slices: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Join rows to their (slice, group) row; a null group is a group too.
+
+    Without groups there is one row per partition, which always fits a broadcast.
+    """
+    named = slices.withColumnsRenamed({c: f"_of_{c}" for c in ("_slice", *group)})
+    same = F.col("_slice") == F.col("_of__slice")
+    for column in group:
+        same = same & F.col(column).eqNullSafe(F.col(f"_of_{column}"))
+    return rows.join(named if group else F.broadcast(named), same)
+
+
 def ordered_totals(
     df: DataFrame,
     order: Sequence[Column],
@@ -39,18 +51,46 @@ def ordered_totals(
         *keys,
         *[F.coalesce(F.sum(f"{v}_slice").over(before), F.lit(0)).alias(f"{v}_before") for v in values],
     )
-    # One row per slice, plus one per group boundary inside a slice: small next to
-    # the rows. Without groups it is one row per partition, which always fits.
-    side = offsets if group else F.broadcast(offsets)
     summed = ranged.select("*", *[F.sum(v).over(running).alias(f"{v}_run") for v in values])
-    joined = summed.join(side, ["_slice", *group])
+    joined = _join_slices(summed, offsets, group)
     return joined.select(
         *df.columns, *[(F.col(f"_{n}_run") + F.col(f"_{n}_before")).alias(n) for n in totals]
     )
 
 
+# monotonically_increasing_id holds the partition above bit 33 and the row within it below.
+ROW_BITS = 33
+
+
 def row_numbers(
     df: DataFrame, order: Sequence[Column], name: str = "position", group: Sequence[str] = ()
 ) -> DataFrame:
-    """Add the 1-based position of every row in the order (within its group)."""
-    return ordered_totals(df, order, {name: F.lit(1).cast("bigint")}, group)
+    """Add the 1-based position of every row in the order (within its group).
+
+    Each range-partitioned, sorted slice numbers its own rows; how many rows of
+    the group came in earlier slices, and where the group starts in this one,
+    is added from one small row per slice and group. Without groups nothing is
+    shuffled after the range partitioning.
+    """
+    keys = [F.col(column) for column in group]
+    sorting = [*[key.asc() for key in keys], *order]
+    ranged = cut_lineage(
+        df.repartitionByRange(*sorting)
+        .sortWithinPartitions(*sorting)
+        .withColumn("_row", F.monotonically_increasing_id())
+    ).withColumns(
+        {
+            "_slice": F.shiftright("_row", ROW_BITS),
+            "_index": F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)),
+        }
+    )
+    slices = ranged.groupBy("_slice", *keys).agg(
+        F.count(F.lit(1)).alias("_count"), F.min("_index").alias("_first")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select(
+        "_slice", *keys, "_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before")
+    )
+    joined = _join_slices(ranged, starts, group)
+    position = F.col("_before") + F.col("_index") - F.col("_first") + 1
+    return joined.select(*df.columns, position.alias(name))

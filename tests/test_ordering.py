@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenlake.operators import paging
-from lumenlake.plans.ordering import row_numbers
+from lumenlake.plans.ordering import ordered_totals, row_numbers
 
 
 @pytest.fixture(autouse=True)
@@ -16,12 +16,16 @@ def many_slices(spark):
 
 def test_positions_of_a_huge_group_match_a_window(spark):
     df = spark.range(3000).selectExpr(
-        "id", "case when id % 3 <> 0 then 'hot' else cast(id % 50 as string) end as g", "(id * 7919) % 101 as v"
+        "id", "case when id % 3 <> 0 then 'hot' when id % 5 > 0 then cast(id % 50 as string) end as g", "(id * 7919) % 101 as v"
     )
     order = [F.col("v").desc(), F.col("id").asc()]
     expected = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
     got = row_numbers(df, order, "n", ["g"])
     assert {(r.id, r.n) for r in got.collect()} == {(r.id, r.n) for r in expected.collect()}
+    running = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ordered_totals(df, order, {"s": F.col("v")}, ["g"])
+    expected = df.withColumn("s", F.sum("v").over(running))
+    assert {(r.id, r.s) for r in sums.collect()} == {(r.id, r.s) for r in expected.collect()}
     # The hot group is spread over several slices.
     ranged = df.repartitionByRange(F.col("g"), *order).withColumn("slice", F.spark_partition_id())
     hot = ranged.groupBy("g").agg(F.count_distinct("slice").alias("slices")).where("g = 'hot'").first()
