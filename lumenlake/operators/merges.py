@@ -173,11 +173,13 @@ def delete_cascade(
     gone = ids.select(key).distinct()
     kept = {name: df.join(gone, key, "left_anti") for name, df in tables.items() if name not in (set_null or {})}
     for name, column in (set_null or {}).items():
-        marked = tables[name].join(
-            gone.select(F.col(key).alias(column), F.lit(True).alias("_gone")), column, "left"
-        )
+        table = tables[name]
+        # Rows without a reference match nothing; a key of their own keeps them from one task.
+        own = F.concat(F.lit("\0"), F.xxhash64(*table.columns).cast("string"))
+        keyed = table.withColumn("_ref", F.coalesce(F.col(column), own))
+        marked = keyed.join(gone.select(F.col(key).alias("_ref"), F.lit(True).alias("_gone")), "_ref", "left")
         cleared = F.when(F.col("_gone").isNull(), F.col(column)).alias(column)
-        kept[name] = marked.select(*[cleared if c == column else c for c in tables[name].columns])
+        kept[name] = marked.select(*[cleared if c == column else c for c in table.columns])
     return kept
 
 
