@@ -30,9 +30,9 @@ def exclusion_flag(text: Column) -> Column:
     return text.rlike(R.words(R.EXCLUDE_FAVORITES))
 
 
-def ambiguity_flag(text: Column) -> Column:
+def ambiguity_flag(text: Column, pattern: str = R.AMBIGUITY) -> Column:
     """Any other negation or "or" needs a question back; the favorites phrase does not count."""
-    return _strip(text, R.EXCLUDE_FAVORITES).rlike(R.words(R.AMBIGUITY))
+    return _strip(text, R.EXCLUDE_FAVORITES).rlike(R.words(pattern))
 
 
 def tag_operation(text: Column) -> Column:
@@ -90,7 +90,7 @@ def tag_aliases(df: DataFrame, text: str, rules: Rules = R.ALIASES) -> DataFrame
     if present) wins over the word "large". Of two label words the later rule wins.
     """
     df = match_in_order(df, text, rules, "_a_")
-    on = {name: F.col(f"_a_{name}") for name, _ in rules}
+    on = {name: F.lit(False) for name, _ in R.ALIASES} | {name: F.col(f"_a_{name}") for name, _ in rules}
     explicit = F.col("min_file_size") if "min_file_size" in df.columns else F.lit(None).cast("bigint")
     media = F.array_compact(F.array(F.when(on["video"], "video"), F.when(on["photo"], "photo")))
     true = F.lit(True)
@@ -122,9 +122,9 @@ def wants_space(text: Column) -> Column:
     return text.rlike(R.words(R.FREE_WORD))
 
 
-def residual_terms(text: Column) -> Column:
+def residual_terms(text: Column, fillers: str = R.FILLERS) -> Column:
     """What is left without filler words and punctuation."""
-    return F.trim(F.regexp_replace(_strip(text, R.FILLERS), R.NOT_WORD, " "))
+    return F.trim(F.regexp_replace(_strip(text, fillers), R.NOT_WORD, " "))
 
 
 def word_count(residual: Column) -> Column:
@@ -164,7 +164,18 @@ def has_filters() -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in FILTERS])
 
 
-def classify_prompts(df: DataFrame, text: str, now: str, normalize: bool = True) -> DataFrame:
+def classify_prompts(
+    df: DataFrame,
+    text: str,
+    now: str,
+    normalize: bool = True,
+    actions: Rules = R.ACTIONS,
+    concepts: Rules = R.CONCEPTS,
+    aliases: Rules = R.ALIASES,
+    matchers: Rules = R.MATCHERS,
+    ambiguity: str = R.AMBIGUITY,
+    fillers: str = R.FILLERS,
+) -> DataFrame:
     """One typed row per text: action, operation, filters, concepts, flags, confidence.
 
     ``normalize=False`` skips the compatibility form for texts known to be clean;
@@ -174,13 +185,13 @@ def classify_prompts(df: DataFrame, text: str, now: str, normalize: bool = True)
     kept = df.columns
     t = F.col("_t")
     df = df.withColumn("_folded", fold(original)).withColumn("_t", F.col("_folded"))
-    df = df.withColumns({"evidence": evidence(t), "_quoted": F.regexp_extract_all(t, F.lit(R.QUOTED), 1)})
+    df = df.withColumns({"evidence": evidence(t, matchers), "_quoted": F.regexp_extract_all(t, F.lit(R.QUOTED), 1)})
     df = df.withColumn("_t", _strip(t, R.QUOTED))
     df = df.withColumn("exclude_favorites", exclusion_flag(t)).withColumn("_t", _strip(t, R.EXCLUDE_FAVORITES))
     df = df.withColumns(
-        {"ambiguous": t.rlike(R.words(R.AMBIGUITY)), "operation": tag_operation(t), "action": tag_action(t)}
+        {"ambiguous": t.rlike(R.words(ambiguity)), "operation": tag_operation(t), "action": tag_action(t, actions)}
     )
-    df = df.withColumn("_t", strip_action(t, F.col("action")))
+    df = df.withColumn("_t", strip_action(t, F.col("action"), actions))
     df = df.withColumn("cleanup", t.rlike(R.words(R.CLEANUP)) | (F.col("action") == "delete"))
     df = df.withColumn("_t", _strip(t, R.CLEANUP))
     df = df.withColumn("_free", t.rlike(R.words(R.FREE_SPACE))).withColumn("_t", _strip(t, R.FREE_SPACE))
@@ -196,9 +207,9 @@ def classify_prompts(df: DataFrame, text: str, now: str, normalize: bool = True)
         }
     )
     df = calendar_range(df, "_t", now).withColumn("_t", F.col("date_rest")).drop("date_rest")
-    df = tag_aliases(tag_concepts(df, "_t"), "_t")
+    df = tag_aliases(tag_concepts(df, "_t", concepts), "_t", aliases)
     df = df.withColumn("largest", t.rlike(R.words(R.LARGEST))).withColumn("_t", _strip(t, R.LARGEST))
-    df = df.withColumn("residual", residual_terms(t))
+    df = df.withColumn("residual", residual_terms(t, fillers))
     words = word_count(F.col("residual"))
     single = (words == 1) & ~F.col("ambiguous") & ~F.col("date_ambiguous")
     df = df.withColumn("_single", single)

@@ -36,7 +36,7 @@ def save_selections(
 
 
 def list_selections(headers: DataFrame, members: DataFrame) -> DataFrame:
-    """Headers with their number of members; unreadable specs become null.
+    """Headers with their number of members, last updated first; unreadable specs become null.
 
     Members stay rows (see :func:`selection_members`): a selection may hold any number of assets.
     """
@@ -48,6 +48,7 @@ def list_selections(headers: DataFrame, members: DataFrame) -> DataFrame:
         headers.withColumn("spec", readable)
         .join(counts, "selection_id", "left")
         .withColumn("member_count", F.coalesce("member_count", F.lit(0)))
+        .orderBy(F.col("updated_at").desc())
     )
 
 

@@ -126,6 +126,15 @@ def test_plan_status(intents):
     assert intents["delete blurry photos"].notices == ["cleanupRankingUnavailable"]
 
 
+def test_rules_are_arguments(spark):
+    rows = spark.createDataFrame([("o gato wasserfall", NOW)], "prompt string, now timestamp")
+    mine = tagging.classify_prompts(
+        rows, "prompt", "now", normalize=False, aliases=(("video", r"\b(wasserfall)\b"),),
+        concepts=(("cat", r"\b(gato)\b"),), ambiguity=r"\b(not)\b", fillers=r"\b(o)\b",
+    ).first()
+    assert (mine.media_types, mine.concepts, mine.ambiguous, mine.residual) == (["video"], ["cat"], False, "")
+
+
 def test_evidence_in_order_of_priority(intents):
     assert intents["find blurry photos"].evidence == ["media-type:media type", "quality:blur"]
 
