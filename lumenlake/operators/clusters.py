@@ -28,7 +28,7 @@ from lumenlake.session import cut_lineage
 HOT_BUCKET = 32_768
 # Up to this many leading digits the list of buckets itself is small (16 ** 5 rows).
 LISTED_DIGITS = 5
-CHUNK_BITS = 16
+CHUNK_BITS = 12
 
 
 def with_hashes(assets: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -104,6 +104,24 @@ def _masks(width: int, radius: int) -> list[int]:
     ]
 
 
+def _meeting_keys(width: int, radius: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(tag, mask) lists for both sides of a chunk join.
+
+    Two chunk values within ``radius`` get exactly one key in common, others
+    none. Tag 0 meets at the second value itself. Values two bits apart meet
+    halfway: the first side flips the lower bit, the second side the higher one,
+    and the tag says where the two bit numbers first differ, so that no other
+    combination of flips can meet.
+    """
+    if radius != 2:
+        return [(0, mask) for mask in _masks(width, radius)], [(0, 0)]
+    levels = range((width - 1).bit_length())
+    flips = [(bit, level, 1 + level * width + (bit >> (level + 1))) for bit in range(width) for level in levels]
+    low = [(tag, 1 << bit) for bit, level, tag in flips if not bit >> level & 1]
+    high = [(tag, 1 << bit) for bit, level, tag in flips if bit >> level & 1]
+    return [(0, mask) for mask in _masks(width, 1)] + low, [(0, 0)] + high
+
+
 def near_pairs(
     groups: DataFrame,
     bucket_digits: int | None = BUCKET_DIGITS,
@@ -116,13 +134,11 @@ def near_pairs(
     ``groups`` is :func:`hash_groups`. Only hashes with the same leading
     ``bucket_digits`` are compared (None compares all). A bucket of up to
     ``hot_bucket`` hashes is compared directly. A larger one is joined on
-    16-bit chunks instead: near hashes agree up to a small radius in some chunk.
-    One side offers its chunks with up to one bit flipped, the other its chunks
-    with the rest of the radius flipped, so both meet at a value in between.
-    Of all meeting points of a pair only one counts - the first chunk that is
-    near enough, one differing bit away from the first hash - hence no distinct
-    is needed. The distinct hashes are read three times, so they are
-    checkpointed first (this runs their aggregation).
+    12-bit chunks instead: near hashes agree up to a small radius in some chunk,
+    and each side offers keys such that two hashes meet once per chunk in which
+    they are near enough, and otherwise never. Only the first such chunk counts,
+    hence no distinct is needed. The distinct hashes are read three times, so
+    they are checkpointed first (this runs their aggregation).
     """
     digits = bucket_digits or 0
     chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance)
@@ -143,39 +159,38 @@ def near_pairs(
     def chunk_of(bits: Column, shift: int, width: int) -> Column:
         return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
-    def key(i: int, value: Column) -> Column:
-        return F.struct(F.lit(i).alias("chunk"), value.alias("value"))
-
-    whole = F.array(key(-1, F.lit(0).cast("bigint")))
-
-    def flipped(i: int, shift: int, width: int, radius: int) -> Column:
-        masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(width, radius)])
-        return F.transform(masks, lambda m: key(i, chunk_of(F.col("bits"), shift, width).bitwiseXOR(m)))
+    def keys_of(i: int, shift: int, width: int, marks: list[tuple[int, int]]) -> Column:
+        own = chunk_of(F.col("bits"), shift, width)
+        listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("m")) for t, m in marks])
+        return F.transform(
+            listed,
+            lambda k: F.struct(F.lit(i).alias("chunk"), k["t"].alias("tag"), own.bitwiseXOR(k["m"]).alias("value")),
+        )
 
-    first_keys = F.concat(*[flipped(i, s, w, min(r, 1)) for i, (s, w, r) in enumerate(chunks)])
-    second_keys = F.concat(*[flipped(i, s, w, max(r - 1, 0)) for i, (s, w, r) in enumerate(chunks)])
+    planned = [(i, s, w, *_meeting_keys(w, r)) for i, (s, w, r) in enumerate(chunks)]
+    first_keys = F.concat(*[keys_of(i, s, w, first) for i, s, w, first, _ in planned])
+    second_keys = F.concat(*[keys_of(i, s, w, second) for i, s, w, _, second in planned])
+    whole = F.array(
+        F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("tag"), F.lit(0).cast("bigint").alias("value"))
+    )
 
     def side(keys: Column, suffix: str) -> DataFrame:
         opened = marked.withColumn("_k", F.explode(F.when(F.col("_hot"), keys).otherwise(whole)))
         return opened.select(
             "bucket",
-            F.col("_k.chunk").alias("chunk"),
-            F.col("_k.value").alias("value"),
+            *[F.col(f"_k.{c}").alias(c) for c in ("chunk", "tag", "value")],
             *[F.col(c).alias(f"{c}_{suffix}") for c in ("hash", "bits", "n", "first")],
         )
 
     differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
     counted = F.lit(True)
-    for i, (shift, width, _) in enumerate(chunks):
-        here = chunk_of(differing, shift, width)
-        lowest = here.bitwiseAND(-here)
-        middle = chunk_of(F.col("bits_a"), shift, width).bitwiseXOR(lowest)
+    for i in range(1, len(chunks)):
         missed = [F.bit_count(chunk_of(differing, s, w)) > r for s, w, r in chunks[:i]]
-        counted = F.when(F.col("chunk") == i, all_of([F.col("value") == middle, *missed])).otherwise(counted)
+        counted = F.when(F.col("chunk") == i, all_of(missed)).otherwise(counted)
     distance = bit_distance(F.col("bits_a"), F.col("bits_b"))
     return (
         side(first_keys, "a")
-        .join(side(second_keys, "b"), ["bucket", "chunk", "value"])
+        .join(side(second_keys, "b"), ["bucket", "chunk", "tag", "value"])
         .where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance) & counted)
         .select(
             "hash_a",
