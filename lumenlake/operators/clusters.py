@@ -87,13 +87,13 @@ def _probe_plan(bits: int, max_distance: int) -> list[tuple[int, int, int]]:
     Two values within ``max_distance`` differ by at most ``radius`` in some
     chunk: otherwise the differences would add up to more than ``max_distance``.
     """
-    shifts = list(range(0, bits, CHUNK_BITS))[::-1]
-    spare = max(0, max_distance - len(shifts) + 1)
-    plan = []
-    for i, shift in enumerate(shifts):
-        radius = spare // len(shifts) + (1 if i < spare % len(shifts) else 0)
-        plan.append((shift, min(CHUNK_BITS, bits - shift), radius))
-    return plan
+    count = max(1, bits // CHUNK_BITS)
+    edges = [bits * i // count for i in range(count + 1)]
+    spare = max(0, max_distance - count + 1)
+    return [
+        (low, high - low, spare // count + (1 if i < spare % count else 0))
+        for i, (low, high) in enumerate(zip(edges, edges[1:]))
+    ]
 
 
 def _masks(width: int, radius: int) -> list[int]:
