@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import simhash
+from lumenlake.llm import simhash, substrings
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a window of a document with a smaller id."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (
+    select doc_id, i, array_to_string(ws[i : i + 12], ' ') k
+    from (select doc_id, ws, unnest(range(1, len(ws) - 11)) i from w where len(ws) >= 13)
+),
+least as (select k, min(doc_id) m from win group by k),
+gone as (
+    select distinct doc_id, i + o pos
+    from (select doc_id, i from win join least using (k) where doc_id > m), range(13) r(o)
+),
+kept as (
+    select doc_id, string_agg(word, ' ' order by pos) text, count(*) n
+    from (select doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) pos from w) anti join gone using (doc_id, pos)
+    group by doc_id
+)
+select w.doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_removed,
+    sha256(coalesce(kept.text, '')) kept_sha256
+from w left join kept using (doc_id)
+"""
