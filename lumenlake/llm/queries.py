@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import simhash, substrings
+from lumenlake.llm import mixing, simhash, substrings
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,41 @@ select w.doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_r
     sha256(coalesce(kept.text, '')) kept_sha256
 from w left join kept using (doc_id)
 """
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, and its source's target."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_mixing"] = r"""
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+        md5(coalesce(doc_id::varchar, '') || ':0') turn
+    from documents
+),
+s as (
+    select *, 1 + (row_number() over (order by encode(source) nulls last) - 1) % 3 weight, 3 * source_size cap
+    from (select source, sum(size)::bigint source_size from d group by source)
+),
+l as (
+    select *, ((sum(source_size) over () - coalesce(sum(cap) over filled, 0))
+        / (sum(weight) over () - coalesce(sum(weight) over filled, 0)))::double lev
+    from s window filled as (order by cap / weight, encode(source) nulls last rows between unbounded preceding and 1 preceding)
+),
+t as (
+    select source, source_size, weight,
+        least(cap::double, weight * (select lev from l where lev < cap / weight order by cap / weight limit 1)) target
+    from l
+),
+q as (
+    select d.*, source_size, target, sum(size) over (partition by d.source order by turn, doc_id rows unbounded preceding) - size before
+    from d join t on d.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+    (greatest(0, least(size, floor(target)::bigint - before))
+        + greatest(0, least(size, floor(target)::bigint - source_size - before))
+        + greatest(0, least(size, floor(target)::bigint - 2 * source_size - before)))::bigint taken
+from q
+"""
