@@ -98,3 +98,22 @@ class _Cut:
                 [pa.array(chunks), *batch.columns, pa.array(octets, pa.int64())],
                 ["chunk", *batch.schema.names, "octets"],
             )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, name: str, train: Column, most: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled rows, chosen by a hash of the id.
+
+    ``train`` says which ids may be learnt from. Null labels and ids are left out; of several labels the largest counts.
+    Only ids and labels are gathered for the choice; at most ``most`` of them are broadcast.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull() & train)
+    marks = marks.groupBy("doc_id").agg(F.max(name).cast("int").alias("label"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``sizes`` values; a run may be empty."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[ends] - total[ends - sizes]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import mixing, simhash, substrings
+from lumenlake.llm import mixing, simhash, substrings, toxicity
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ select doc_id, size, source_size, target,
         + greatest(0, least(size, floor(target)::bigint - 2 * source_size - before)))::bigint taken
 from q
 """
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
