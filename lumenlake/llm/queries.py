@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlake.llm import decontamination, mixing, simhash, substrings, toxicity
+from lumenlake.llm import decontamination, language_model, mixing, simhash, substrings, toxicity
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training mix of all documents."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the class-based model and the unigram base."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
