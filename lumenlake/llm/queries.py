@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlake.llm import decontamination, language_model, mixing, simhash, substrings, toxicity
+from lumenlake.llm import decontamination, language_id, language_model, mixing, simhash, substrings, toxicity
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the class-based model and the unigram base."""
     return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
