@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlake.llm import decontamination, language_id, language_model, mixing, simhash, substrings, toxicity
+from lumenlake.llm import decontamination, language_id, language_model, mixing, quality, simhash, substrings, toxicity
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,9 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its lines."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
