@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlake.llm import decontamination, language_id, language_model, mixing, quality, simhash, substrings, toxicity
+from lumenlake.llm import decontamination, language_id, language_model, licences, mixing, quality, simhash, substrings, toxicity
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its lines."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in every document."""
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
