@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenlake.llm import decontamination, language_id, language_model, licences, mixing, quality, simhash, substrings, toxicity
+from lumenlake.llm import decontamination, language_id, language_model, licences, mixing, neighbours, quality, simhash, substrings, toxicity
 from lumenlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families found in every document."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
