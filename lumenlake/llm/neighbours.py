@@ -123,7 +123,7 @@ class _Search:
     def __call__(self, rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[bytes, int, float]] = []
         if rows.num_rows and queries.num_rows:
-            vectors, wanted = _matrix(rows, "vector"), _matrix(queries, "vector")
+            vectors, wanted = _matrix(rows, "vector"), _matrix(queries, "asked")
             ids, keys = rows.column("ids").to_pylist(), queries.column("key").to_pylist()
             index = Index(self.codes.of(vectors))
             probes = self.codes.of(wanted, query=True)
@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 20) -> DataFrame:
     groups = max(1, -(-counted.count() // QUERIES))
     rows = nodes.select("vector", "ids", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     probes = nodes.join(counted, "key", "left_semi").select(
-        "key", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("part")
+        "key", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("part")
     )
     search = _Search(codes, k + 1)
     found = rows.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInArrow(lambda r, q: search(r, q), "key binary, vec_id long, score double")
