@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -117,3 +117,13 @@ def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     total = np.concatenate([[0], np.cumsum(values)])
     return total[ends] - total[ends - sizes]
+
+
+def pieces(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of rows whose sizes add up to about ``most``, so that arrays over a run stay small."""
+    first, size = 0, 0
+    for k, one in enumerate(sizes):
+        size += one + 1
+        if size >= most or k + 1 == len(sizes):
+            yield first, k + 1
+            first, size = k + 1, 0

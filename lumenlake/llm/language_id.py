@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import remainder, saved, spread_rows
+from lumenlake.llm.common import pieces, remainder, saved, spread_rows
 
 ORDER = 4
 #: Bounds of the training sample (documents of each language) and of the model (n-grams of all languages).
@@ -139,18 +139,6 @@ class Models:
         return -sums / np.maximum(lengths, 1)[:, None], lengths, letters
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about a million characters, so that the arrays stay small."""
-    first, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= _PIECE:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _confidence(entropies: np.ndarray, lengths: np.ndarray, sharpness: float) -> np.ndarray:
     logits = -entropies * np.sqrt(lengths)[:, None] * sharpness
     odds = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -165,7 +153,7 @@ class _Identify:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             kept = [n for n in batch.schema.names if n != "text"]
-            for a, b in _pieces(texts):
+            for a, b in pieces([len(t) for t in texts], _PIECE):
                 entropies, lengths, letters = self.models.entropies(texts[a:b])
                 best, least = entropies.argmin(axis=1), entropies.min(axis=1)
                 score = np.where(letters > 0, _confidence(entropies, np.maximum(lengths, 1), self.sharpness), 0.0)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import labelled, remainder, saved, spread_rows, texts_of
+from lumenlake.llm.common import labelled, pieces, remainder, saved, spread_rows, texts_of
 
 KEEP = 0.7
 #: Bounds of what the model is fitted on: labelled documents, and lines of one of them.
@@ -194,7 +194,7 @@ class Quality:
 
     def _shares(self, texts: list[bytes]) -> np.ndarray:
         shares = np.empty(len(texts))
-        for a, b in _pieces(texts):
+        for a, b in pieces([len(t) for t in texts], _PIECE):
             features, counts, octets = line_features(texts[a:b])
             good, _ = self.chain.marginals(self.chain.scaled(features), counts)
             starts, weight = np.cumsum(counts) - counts, octets + 1.0
@@ -212,16 +212,6 @@ class Quality:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about two million octets, so that the arrays stay small."""
-    first, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text) + 1
-        if size >= _PIECE or k + 1 == len(texts):
-            yield first, k + 1
-            first, size = k + 1, 0
-
-
 def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> Quality:
     """The model from at most ``rows`` labelled documents; the driver holds no more than these, cut to ``FIT_LINES`` lines."""
     sample = labelled(docs, labels, "quality", train, rows)
