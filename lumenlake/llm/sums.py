@@ -21,8 +21,8 @@ def slices(values: np.ndarray, part: int, width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["slice", "part", "sums"])
 
 
-def tree_sum(rows: DataFrame, kind: str) -> np.ndarray:
-    """The sum of all tasks' arrays, on the driver; the array is as long as the model asks for, whatever the input.
+def tree_sum(rows: DataFrame, kind: str, length: int) -> np.ndarray:
+    """The sum of all tasks' arrays of ``length`` values, on the driver: as long as the model asks for, whatever the input.
 
     No task adds more than ``FAN_IN`` slices at once: parts are joined level by level.
     """
@@ -37,4 +37,4 @@ def tree_sum(rows: DataFrame, kind: str) -> np.ndarray:
         up = rows.withColumn("up", F.floor(F.col("part") / FAN_IN).cast("int"))
         rows = up.groupBy("slice", "up").applyInArrow(lambda t: add(t), SCHEMA)
     found = rows.select("slice", "sums").collect()
-    return np.concatenate([np.frombuffer(r.sums, kind) for r in sorted(found)]) if found else np.zeros(0, kind)
+    return np.concatenate([np.frombuffer(r.sums, kind) for r in sorted(found)]) if found else np.zeros(length, kind)
