@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.constants import BUCKET_DIGITS
 from lumenlake.operators.clusters import asset_memberships, with_hashes
 from lumenlake.operators.specs import Catalog
 from lumenlake.plans.parallel import spread
@@ -361,7 +362,7 @@ def fresh(spark, sf_dir) -> DataFrame:
 
 
 def memberships(spark, sf_dir) -> DataFrame:
-    return asset_memberships(fresh(spark, sf_dir))
+    return asset_memberships(fresh(spark, sf_dir), BUCKET_DIGITS)
 
 
 def catalog(spark, sf_dir, clusters: bool = False) -> Catalog:

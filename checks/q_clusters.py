@@ -8,6 +8,7 @@ from checks import model as M
 from checks.model import with_tables
 from checks.q_tables import pending_sql
 from checks.register import query
+from lumenlake.constants import BUCKET_DIGITS
 from lumenlake.functions import hashing
 from lumenlake.operators import clusters, insights
 
@@ -92,7 +93,36 @@ def visual_clusters(spark, sf):
     with_tables(["pairs"], "select * from pairs"),
 )
 def near_pairs(spark, sf):
-    return clusters.near_pairs(clusters.hash_groups(M.fresh(spark, sf), "visual_hash"))
+    return clusters.near_pairs(clusters.hash_groups(M.fresh(spark, sf), "visual_hash"), BUCKET_DIGITS)
+
+
+ALL_PAIRS = (
+    "select a.visual_hash as hash_a, b.visual_hash as hash_b, cast(bit_count(xor(a.h, b.h)) as int) as distance,"
+    " a.member_count as members_a, b.member_count as members_b,"
+    " least(a.representative_id, b.representative_id) as representative_id"
+    " from bits a join bits b on a.visual_hash < b.visual_hash and bit_count(xor(a.h, b.h)) <= 8"
+)
+
+
+@query("near_pairs_all", with_tables(["bits"], ALL_PAIRS))
+def near_pairs_all(spark, sf):
+    """No prefix: every pair of hashes within the distance, from a bucket that is cut into chunks."""
+    groups = clusters.hash_groups(M.fresh(spark, sf), "visual_hash")
+    return clusters.near_pairs(groups, None, hot_bucket=64)
+
+
+@query(
+    "similar_members",
+    with_tables(
+        ["pairs", "fresh"],
+        "select distinct 'cluster-similar:' || hash_a || ':' || hash_b as cluster_id, 'similar' as kind, f.id from pairs p"
+        " join fresh f on f.visual_hash = p.hash_a or f.visual_hash = p.hash_b",
+    ),
+)
+def similar_members(spark, sf):
+    fresh = M.fresh(spark, sf)
+    found = clusters.similar_clusters(clusters.near_pairs(clusters.hash_groups(fresh, "visual_hash"), BUCKET_DIGITS))
+    return clusters.similar_members(found, fresh)
 
 
 SIMILAR = (
@@ -110,7 +140,7 @@ SIMILAR = (
     ),
 )
 def rebuild_clusters(spark, sf):
-    return clusters.rebuild_clusters(M.fresh(spark, sf))
+    return clusters.rebuild_clusters(M.fresh(spark, sf), BUCKET_DIGITS)
 
 
 MEMBERS = (
@@ -157,7 +187,7 @@ def redundancy(spark, sf):
 )
 def similar_partners(spark, sf):
     fresh = M.fresh(spark, sf)
-    pairs = clusters.near_pairs(clusters.hash_groups(fresh, "visual_hash"))
+    pairs = clusters.near_pairs(clusters.hash_groups(fresh, "visual_hash"), BUCKET_DIGITS)
     ids = M.table(spark, sf, "benchmark").selectExpr(f"{M.asset_id('item_id')} AS id")
     return clusters.similar_partners(ids, fresh, pairs)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import model as M
 from checks.model import DAY, NOW, START, with_tables
 from checks.register import query
+from lumenlake.constants import LOG_LENGTH
 from lumenlake.functions.text import has_text, text_matches
 from lumenlake.operators import candidates, insights, paging, predicates, selections, spec_tables, specs
 from lumenlake.plans.presets import preset
@@ -328,16 +329,30 @@ def spec_leaves(spark, sf):
     return spec_tables.explode_predicates(_stored_specs(spark, sf))
 
 
+# Every tenth item of the benchmark stands for an odd spec: without leaves, unreadable, or with an empty list.
+ODD_SPECS = (
+    "case item_id % 3 when 0 then '{\"type\":\"and\",\"children\":[]}' when 1 then '{{broken'"
+    f" else '{_json('text.ocr', 'containsAll', 'ocrTerms', '[]')}' end"
+)
+
+
+def _odd_specs(spark, sf):
+    odd = M.table(spark, sf, "benchmark").selectExpr("-1 - item_id AS spec_id", f"{ODD_SPECS} AS spec")
+    return _stored_specs(spark, sf).unionByName(odd)
+
+
 @query(
     "spec_coverage",
     f"with l as ({LEAVES}), s as (select *, case when position < 2 or position = 3 then 'available'"
     " when capability = 'content.document' then 'degraded' else 'unavailable' end as st from l)"
     " select spec_id, count_if(st = 'available') as available, count_if(st = 'degraded') as degraded,"
     " count_if(st = 'unavailable') as unavailable, case when count_if(st = 'unavailable') > 0 then 'unavailable'"
-    " when count_if(st = 'degraded') > 0 then 'degraded' else 'complete' end as status from s group by spec_id",
+    " when count_if(st = 'degraded') > 0 then 'degraded' else 'complete' end as status from s group by spec_id"
+    " union all select -1 - item_id, 0, 0, case item_id % 3 when 2 then 1 else 0 end,"
+    " case item_id % 3 when 0 then 'complete' when 1 then 'unreadable' else 'unavailable' end from benchmark",
 )
 def spec_coverage(spark, sf):
-    return spec_tables.spec_coverage(spec_tables.explode_predicates(_stored_specs(spark, sf)))
+    return spec_tables.spec_coverage(_odd_specs(spark, sf))
 
 
 @query(
@@ -356,6 +371,17 @@ def spec_limits(spark, sf):
     " from r where n <= 32 group by user_id",
 )
 def refinement_log(spark, sf):
+    log = M.table(spark, sf, "events").selectExpr(
+        "user_id AS selection_id", "event_id AS seq", "event_type AS operation"
+    )
+    return spec_tables.refinement_log(log, last=LOG_LENGTH).withColumn("operations", F.concat_ws(",", "operations"))
+
+
+@query(
+    "refinement_log_all",
+    "select user_id as selection_id, string_agg(event_type, ',' order by event_id) as operations from events group by user_id",
+)
+def refinement_log_all(spark, sf):
     log = M.table(spark, sf, "events").selectExpr(
         "user_id AS selection_id", "event_id AS seq", "event_type AS operation"
     )
@@ -584,6 +610,16 @@ def save_selection(spark, sf):
     return members.join(headers.select("selection_id", "name"), "selection_id").select("selection_id", "id", "name")
 
 
+@query(
+    "save_selection_rejects",
+    f"with r as (select {', '.join(REQUEST)} from events), j as (select selection_id, bool_or(trim(name) <> '') as named,"
+    " bool_or(trim(name) <> '' and id <> '') as filled from r group by selection_id) select selection_id,"
+    " case when named then 'EMPTY_SELECTION' else 'INVALID_NAME' end as reason from j where not filled",
+)
+def save_selection_rejects(spark, sf):
+    return selections.selection_rejects(M.table(spark, sf, "events").selectExpr(*REQUEST))
+
+
 LISTED_SQL = (
     f"+ {REQUESTS_SQL}, h as (select distinct selection_id, trim(name) as name, case when spec like '{{{{broken' then null"
     " else spec end as spec from ok), m as (select distinct selection_id, id from ok where id in (select id from assets)),"

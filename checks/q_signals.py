@@ -187,7 +187,7 @@ def merge_semantic(spark, sf):
     prompts = M.table(spark, sf, "embeddings").selectExpr(
         "vec_id", f"{M.prompt('vec_id')} AS prompt", f"{NOW} AS now"
     )
-    intents = tagging.classify_prompts(prompts, "prompt", "now")
+    intents = tagging.classify_prompts(prompts, "prompt", "now", most_terms=R.MAX_TERMS)
     matches = tagging.semantic_match(_vectors(spark, sf), _prototypes(spark, sf), "v", THRESHOLD)
     merged = tagging.merge_semantic(intents.join(matches.select("vec_id", "matches"), "vec_id"), THRESHOLD)
     planned = tagging.plan_status(merged, "prompt").withColumn("notices", F.concat_ws(",", "notices"))

@@ -73,8 +73,7 @@ def _last(column: str) -> str:
     return f"arg_max({column}, seq) filter (where analysed and {column} is not null)"
 
 
-@query(
-    "stream_ingest",
+INGESTED_SQL = (
     f"with u as (select {', '.join(CHANGE)}, {', '.join(ANALYSIS)}, not (lang = 'fr' and seq = 2) as analysed"
     f" from ({UPDATES_SQL})), l as (select * from u qualify row_number() over (partition by id order by seq desc) = 1),"
     " s as (select id, "
@@ -82,12 +81,19 @@ def _last(column: str) -> str:
     + ", arg_max(seq, seq) filter (where analysed) as last_seq,"
     " arg_max(coalesce(length(ocr_text), 0), seq) filter (where analysed and (ocr_text is not null or seq <> 2)) as text_length"
     " from u group by id) select l.id, l.file_size, l.modified_at, s.blur_score, s.quality_score, s.is_document, s.content_hash,"
-    " s.text_length, case when last_seq = 2 then 'failed' else 'completed' end as text_status from l join s on s.id = l.id",
+    " s.text_length, case when last_seq = 2 then 'failed' else 'completed' end as text_status from l join s on s.id = l.id"
 )
-def stream_ingest(spark, sf):
+
+
+def _ingested(spark, sf, after_commit=None):
     stream = as_stream(spark, _changes(spark, sf), "changes", "id")
     path = scratch_path(spark, "ingest")
-    finish(ingest.start_ingest(stream, path, scratch_path(spark, "ingest-checkpoint")))
+    commit = (lambda s, batch_id: after_commit(s, path, batch_id)) if after_commit else None
+    finish(ingest.start_ingest(stream, path, scratch_path(spark, "ingest-checkpoint"), after_commit=commit))
+    return path
+
+
+def _state(spark, path):
     now = ingest.current_tables(spark, path)
     return (
         now["assets"].select("id", "file_size", "modified_at")
@@ -99,6 +105,25 @@ def stream_ingest(spark, sf):
     )
 
 
+@query("stream_ingest", INGESTED_SQL)
+def stream_ingest(spark, sf):
+    return _state(spark, _ingested(spark, sf))
+
+
+@query("stream_compact", INGESTED_SQL)
+def stream_compact(spark, sf):
+    """Compacted twice after the second batch and once at the end, folded batches deleted: the same state."""
+
+    def fold(session, path, batch_id):
+        if batch_id == 1:
+            assert ingest.compact(session, path) == ingest.compact(session, path) == 1
+
+    path = _ingested(spark, sf, fold)
+    ingest.compact(spark, path)
+    ingest.expire(spark, path, keep=1)
+    return _state(spark, path)
+
+
 @query(
     "stream_pending",
     with_tables(["assets", "capabilities"], f"select a.id from assets a where {pending_sql('deep')}"),

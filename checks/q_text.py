@@ -149,6 +149,15 @@ def tag_operation(spark, sf):
     "select event_id, array_to_string(regexp_extract_all(props, '[\"“]([^\"”]+)[\"”]', 1)[1:5], ',') as terms from events",
 )
 def extract_quoted(spark, sf):
+    events = M.table(spark, sf, "events")
+    return events.select("event_id", F.concat_ws(",", tagging.extract_quoted(F.col("props"), R.MAX_TERMS)).alias("terms"))
+
+
+@query(
+    "extract_quoted_all",
+    "select event_id, array_to_string(regexp_extract_all(props, '[\"“]([^\"”]+)[\"”]', 1), ',') as terms from events",
+)
+def extract_quoted_all(spark, sf):
     events = M.table(spark, sf, "events")
     return events.select("event_id", F.concat_ws(",", tagging.extract_quoted(F.col("props"))).alias("terms"))
 
@@ -349,7 +358,7 @@ def listed(columns) -> str:
 
 
 def _intents(spark, sf):
-    return tagging.classify_prompts(M.prompts(spark, sf), "prompt", "now")
+    return tagging.classify_prompts(M.prompts(spark, sf), "prompt", "now", most_terms=R.MAX_TERMS)
 
 
 def _flat(df):
@@ -399,7 +408,7 @@ def status_sql(matched: str = "false") -> str:
     " select event_id, status, notices from planned",
 )
 def plan_status(spark, sf):
-    intents = tagging.classify_prompts(M.prompts(spark, sf), "prompt", "now")
+    intents = tagging.classify_prompts(M.prompts(spark, sf), "prompt", "now", most_terms=R.MAX_TERMS)
     cleaned = intents.withColumn("prompt", F.trim("prompt"))
     planned = tagging.plan_status(cleaned, "prompt")
     return planned.select("event_id", "status", F.concat_ws(",", "notices").alias("notices"))

@@ -21,7 +21,6 @@ HASH_BITS = 64
 BUCKET_DIGITS = 4
 CACHE_TTL_MS = 6 * 60 * 60 * 1000
 MAX_PAGE = 200
-UI_PAGE = 60
 MAX_BATCH = 200
 MAX_RESULTS_PER_ANALYSIS = 15
 MAX_TEXT_CHARS = 10000

@@ -3,7 +3,8 @@
 A closed set: today, yesterday, N units ago, last week/month/year, this year,
 last N units, before/after a year or a day phrase, and "old". Days, weeks
 (from Monday), months and years follow the session time zone; ``now`` is a
-timestamp Column, so every row may have its own clock.
+timestamp Column, so every row may have its own clock. A phrase that goes back
+further than ``EARLIEST`` has no bounds and is ambiguous.
 """
 
 from __future__ import annotations
@@ -39,13 +40,17 @@ def _amount(word: Column) -> Column:
     return number
 
 
+# Days before this are out of reach; so are longer amounts, which keeps all later steps from overflowing.
+EARLIEST = "1800-01-01"
+LARGEST_AMOUNT = 99_999
+
+
 def _back(day: Column, amount: Column, unit: Column) -> Column:
-    return (
-        F.when(unit.startswith("day"), F.date_sub(day, amount))
-        .when(unit.startswith("week"), F.date_sub(day, amount * 7))
-        .when(unit.startswith("month"), F.add_months(day, -amount))
-        .when(unit.startswith("year"), F.add_months(day, -amount * 12))
-    )
+    """The day so many units earlier; null for larger amounts than ``LARGEST_AMOUNT``."""
+    amount = F.when(amount <= LARGEST_AMOUNT, amount)
+    months = F.when(unit.startswith("month"), 1).when(unit.startswith("year"), 12).otherwise(0)
+    days = F.when(unit.startswith("day"), 1).when(unit.startswith("week"), 7).otherwise(0)
+    return F.date_sub(F.add_months(day, -amount * months), amount * days)
 
 
 def _day_of(phrase: Column, today: Column) -> Column:
@@ -94,6 +99,8 @@ def calendar_range(df: DataFrame, text: str, now: str) -> DataFrame:
             "_old": t.rlike(R.words(R.OLD)),
         }
     )
+    early = F.lit(EARLIEST).cast("date")
+    df = df.withColumns({c: F.when(F.col(c) >= early, F.col(c)) for c in ("_start", "_end")})
     # The word counts only directly before the first phrase.
     prefix = F.regexp_extract("_lead", R.words(r"\b(before|after)\s*$"), 1)
     monday, month, year = (F.trunc(today, unit) for unit in ("week", "month", "year"))
@@ -141,7 +148,10 @@ def calendar_range(df: DataFrame, text: str, now: str) -> DataFrame:
         .when(k == "old", drop_first(t, R.OLD))
         .otherwise(F.col("_days"))
     )
-    ambiguous = (k == "many") | ((k == "none") & F.col("_days").rlike(R.words(R.OPEN_DATE)))
+    unreached = k.isin("before day", "after day", "rolling", "days") & (
+        F.col("_start").isNull() | ((k == "days") & (F.size("_phrases") > 1) & F.col("_end").isNull())
+    )
+    ambiguous = (k == "many") | unreached | ((k == "none") & F.col("_days").rlike(R.words(R.OPEN_DATE)))
     added = {"after_ms": after, "before_ms": before, "date_ambiguous": ambiguous, "date_rest": rest}
     df = df.withColumns(added)
     working = ("_text", "_year", "_side", "_period", "_rolling", "_days", "_phrases", "_start", "_end")

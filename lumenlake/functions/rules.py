@@ -151,7 +151,6 @@ UNRESOLVED, SINGLE_TERM, RESOLVED = 0.35, 0.85, 0.96
 
 # fixed values: actions that are never executed
 UNAVAILABLE_ACTIONS = ("organize", "compare", "keep")
-UNAVAILABLE_RANKINGS = ("least-important", "most-redundant")
 
 # fixed values: what a semantic concept adds to an intent
 SEMANTIC_FLAGS = {

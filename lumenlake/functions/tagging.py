@@ -21,9 +21,13 @@ def _strip(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, R.words(pattern), "")
 
 
-def extract_quoted(text: Column) -> Column:
-    """Quoted phrases in order, at most five."""
-    return F.slice(F.regexp_extract_all(text, F.lit(R.QUOTED), 1), 1, R.MAX_TERMS)
+def _first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def extract_quoted(text: Column, most: int | None = None) -> Column:
+    """Quoted phrases in order; the first ``most`` of them if given."""
+    return _first(F.regexp_extract_all(text, F.lit(R.QUOTED), 1), most)
 
 
 def exclusion_flag(text: Column) -> Column:
@@ -175,9 +179,12 @@ def classify_prompts(
     matchers: Rules = R.MATCHERS,
     ambiguity: str = R.AMBIGUITY,
     fillers: str = R.FILLERS,
+    most_terms: int | None = None,
 ) -> DataFrame:
     """One typed row per text: action, operation, filters, concepts, flags, confidence.
 
+    ``terms`` has all quoted phrases and the one left-over word, or the first ``most_terms`` of them.
+
     ``normalize=False`` skips the compatibility form for texts known to be clean;
     the plan is then free of Python.
     """
@@ -213,11 +220,8 @@ def classify_prompts(
     words = word_count(F.col("residual"))
     single = (words == 1) & ~F.col("ambiguous") & ~F.col("date_ambiguous")
     df = df.withColumn("_single", single)
-    listed = F.slice(
-        F.concat("_quoted", F.when(F.col("_single"), F.array("residual")).otherwise(F.array().cast("array<string>"))),
-        1,
-        R.MAX_TERMS,
-    )
+    single_term = F.when(F.col("_single"), F.array("residual")).otherwise(F.array().cast("array<string>"))
+    listed = _first(F.concat("_quoted", single_term), most_terms)
     df = df.withColumn("terms", F.when(F.size(listed) > 0, listed))
     recognized = has_filters() | F.col("cleanup") | (F.size("concepts") > 0)
     unresolved = F.col("ambiguous") | F.col("date_ambiguous") | (words > 1) | ~recognized
@@ -242,7 +246,7 @@ def semantic_match(
     threshold: float = R.SIMILARITY_FROM,
     margin: float = R.SIMILARITY_MARGIN,
     rejection: str = R.REJECTION,
-    most: int = R.MOST_CONCEPTS,
+    most: int | None = R.MOST_CONCEPTS,
 ) -> DataFrame:
     """Add ``matches``: up to ``most`` concepts near the best one and clear of the rejection class."""
     scored = concept_scores(vectors, prototypes, vector)
@@ -262,7 +266,7 @@ def semantic_match(
         F.transform(kept, lambda s: F.struct((-s["similarity"]).alias("o"), s["concept"].alias("concept")))
     )
     top = F.transform(
-        F.slice(ranked, 1, most),
+        _first(ranked, most),
         lambda s: F.struct(s["concept"].alias("concept"), (-s["o"]).alias("similarity")),
     )
     return scored.withColumn("matches", top).drop("_best", "_rejected", "scores")

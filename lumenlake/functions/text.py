@@ -46,8 +46,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normal form; Spark has no built-in for it."""
-    return F.pandas_udf(_nfkc, "string")(text)
+    """Compatibility normal form; Spark has no built-in for it. ASCII text is its own and never leaves the JVM."""
+    other = F.when(F.octet_length(text) != F.length(text), text)
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(other), text)
 
 
 def clean_text(text: Column) -> Column:

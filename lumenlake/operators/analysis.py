@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.constants import ANALYSIS_VERSION, DEEP_MODEL, FAST_MODEL, MAX_TEXT_CHARS, STAGES
+from lumenlake.constants import ANALYSIS_VERSION, DEEP_MODEL, FAST_MODEL, STAGES
 from lumenlake.functions.hashing import average_hash
 from lumenlake.functions.signals import blur_score, brightness_score, quality_score
 from lumenlake.schemas import CAPABILITY_RESULT
@@ -60,10 +60,13 @@ def capability_results(
     return F.array(*entries).cast(f"array<{CAPABILITY_RESULT}>")
 
 
-def analyze_assets(df: DataFrame, stage: str, analyzed_at: Column, platform: str = "android") -> DataFrame:
+def analyze_assets(
+    df: DataFrame, stage: str, analyzed_at: Column, platform: str = "android", max_chars: int | None = None
+) -> DataFrame:
     """Analyses of a stage from (id, media_type, name, folder, grids[, content_hash, ocr_text, text_done]).
 
-    ``grids`` comes from ``luma_grids``; extracted text is an input. Everything
+    ``grids`` comes from ``luma_grids``; extracted text is an input, kept whole
+    unless ``max_chars`` says where to cut it. Everything
     after the grids is built-in expressions in one pass without a shuffle.
     """
     deep = stage == "deep"
@@ -79,7 +82,9 @@ def analyze_assets(df: DataFrame, stage: str, analyzed_at: Column, platform: str
             "content_hash": F.when(~video, F.col("content_hash")) if deep else nothing.cast("string"),
         }
     )
-    text = F.substring("ocr_text", 1, MAX_TEXT_CHARS) if deep else nothing
+    text = nothing
+    if deep:
+        text = F.col("ocr_text") if max_chars is None else F.substring("ocr_text", 1, max_chars)
     readable = ~video & pixels & (F.length(F.trim(text)) > 0) if deep else F.lit(False)
     results = capability_results(
         stage,

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.constants import (
-    BUCKET_DIGITS,
     HASH_BITS,
     NEAR_DISTANCE,
     VISUAL_GENERATION,
@@ -124,7 +123,7 @@ def _meeting_keys(width: int, radius: int) -> tuple[list[tuple[int, int]], list[
 
 def near_pairs(
     groups: DataFrame,
-    bucket_digits: int | None = BUCKET_DIGITS,
+    bucket_digits: int | None,
     max_distance: int = NEAR_DISTANCE,
     hot_bucket: int = HOT_BUCKET,
     column: str = "visual_hash",
@@ -132,7 +131,7 @@ def near_pairs(
     """Pairs of distinct hashes within ``max_distance``, as (hash_a < hash_b).
 
     ``groups`` is :func:`hash_groups`. Only hashes with the same leading
-    ``bucket_digits`` are compared (None compares all). A bucket of up to
+    ``bucket_digits`` are compared; None compares all and misses no pair. A bucket of up to
     ``hot_bucket`` hashes is compared directly. A larger one is joined on
     12-bit chunks instead: near hashes agree up to a small radius in some chunk,
     and each side offers keys such that two hashes meet once per chunk in which
@@ -228,7 +227,7 @@ def similar_degrees(groups: DataFrame, pairs: DataFrame, column: str = "visual_h
     return groups.join(others, column, "left").select(column, "member_count", degree.alias("degree"))
 
 
-def asset_memberships(fresh: DataFrame, bucket_digits: int | None = BUCKET_DIGITS) -> DataFrame:
+def asset_memberships(fresh: DataFrame, bucket_digits: int | None) -> DataFrame:
     """Per asset: sizes of its exact and visual groups, near assets, and total memberships.
 
     ``memberships`` counts one exact group, one visual group and one per near
@@ -265,7 +264,18 @@ def cluster_members(fresh: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def rebuild_clusters(fresh: DataFrame, bucket_digits: int | None = BUCKET_DIGITS) -> DataFrame:
+def similar_members(cluster_ids: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(cluster_id, kind, id) of given similar clusters: the assets of both hashes, which the id of the cluster names.
+
+    For given clusters only; the pairs of all clusters are never expanded.
+    """
+    wanted = cluster_ids.where(F.col("cluster_id").startswith("cluster-similar:")).select("cluster_id").distinct()
+    hashes = wanted.select("cluster_id", F.explode(F.slice(F.split("cluster_id", ":"), 2, 2)).alias("visual_hash"))
+    found = fresh.select("id", "visual_hash").join(hashes, "visual_hash")
+    return found.select("cluster_id", F.lit("similar").alias("kind"), "id")
+
+
+def rebuild_clusters(fresh: DataFrame, bucket_digits: int | None) -> DataFrame:
     """All clusters of the three independent kinds, as one new snapshot (checkpoints the hashes once)."""
     fresh = cut_lineage(fresh.select("id", "content_hash", "visual_hash"))
     columns = ["cluster_id", "kind", "representative_id", "member_count"]

@@ -20,11 +20,6 @@ def job_progress(log: DataFrame) -> DataFrame:
     return latest.withColumn("percent", percent(F.col("processed"), F.col("total")))
 
 
-def latest_job(log: DataFrame) -> DataFrame:
-    """The job updated last."""
-    return log.orderBy(F.col("updated_at").desc()).limit(1)
-
-
 def may_reconcile(log: DataFrame, job_id: str) -> DataFrame:
     """One row: whether the job completed. Only then may unseen assets be dropped."""
     mine = log.where(F.col("job_id") == job_id)

@@ -29,10 +29,14 @@ def check_limit(limit: int) -> int:
 
 
 def seek(ranking: Ranking, value: object, key_value: object, key: str = "id") -> Column:
-    """Rows after a position of the order."""
+    """Rows after a position of the order. Nulls come first in rising and last in falling order, as Spark sorts them."""
     sort, by_key = ranking.value, F.col(key)
     if ranking.descending:
-        return (sort < value) | ((sort == value) & (by_key < key_value))
+        if value is None:
+            return sort.isNull() & (by_key < key_value)
+        return (sort < value) | sort.isNull() | ((sort == value) & (by_key < key_value))
+    if value is None:
+        return sort.isNotNull() | (by_key > key_value)
     return (sort > value) | ((sort == value) & (by_key > key_value))
 
 
@@ -61,7 +65,9 @@ def export_pages(df: DataFrame, order: Sequence[Column], page_size: int) -> Data
     The order must be total. Many tasks sort their own range; see ``ordered_totals``.
     """
     numbered = row_numbers(df, order, "position")
-    page = F.ceil(F.col("position") / F.lit(check_limit(page_size))).cast("bigint")
+    if page_size < 1:
+        raise ValueError("page_size must be positive")
+    page = F.ceil(F.col("position") / F.lit(page_size)).cast("bigint")
     return numbered.withColumn("page", page)
 
 

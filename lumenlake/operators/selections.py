@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed value: longest selection name
 LONGEST_NAME = 120
 
 
+def _named() -> Column:
+    return F.coalesce(F.length(F.trim("name")).between(1, LONGEST_NAME), F.lit(False))
+
+
+def selection_rejects(requests: DataFrame) -> DataFrame:
+    """(selection_id, reason) of the requests that ``save_selections`` refuses.
+
+    A selection whose names are all empty or too long has an invalid name; one without any id under a valid name is
+    empty.
+    """
+    judged = requests.groupBy("selection_id").agg(
+        F.bool_or(_named()).alias("_named"),
+        F.bool_or(_named() & F.coalesce(F.col("id") != "", F.lit(False))).alias("_filled"),
+    )
+    reason = F.when(~F.col("_named"), "INVALID_NAME").otherwise("EMPTY_SELECTION")
+    return judged.where(~F.col("_filled")).select("selection_id", reason.alias("reason"))
+
+
 def save_selections(
     requests: DataFrame, assets: DataFrame, now: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(headers, members) from rows (selection_id, name, spec, id).
+    """(headers, members) from rows (selection_id, name, spec, id[, context]).
 
     Names are trimmed and must have 1 to 120 characters, a selection needs at
     least one non-empty id, repeated ids count once and only existing assets
-    become members.
+    become members. What is refused is in :func:`selection_rejects`. The context
+    of the request is stored with the header where there is one.
     """
-    named = requests.withColumn("name", F.trim("name")).where(
-        F.length("name").between(1, LONGEST_NAME) & (F.col("id") != "")
-    )
+    named = requests.withColumn("name", F.trim("name")).where(_named() & (F.col("id") != ""))
+    texts = ["name", "spec", *(["context"] if "context" in requests.columns else [])]
     headers = (
         named.groupBy("selection_id")
-        .agg(F.min("name").alias("name"), F.min("spec").alias("spec"))
+        .agg(*[F.min(c).alias(c) for c in texts])
         .withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)})
     )
     members = (

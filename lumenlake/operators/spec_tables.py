@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.constants import (
-    LOG_LENGTH,
     MEDIA_TYPES,
     SPEC_MAX_CHILDREN,
     SPEC_MAX_DEPTH,
@@ -30,7 +29,7 @@ def _kind(value: object) -> str:
         return "boolean"
     if isinstance(value, int | float):
         return "number"
-    if isinstance(value, list) and all(isinstance(v, str) for v in value):
+    if isinstance(value, list) and value and all(isinstance(v, str) for v in value):
         return "media" if all(v in MEDIA_TYPES for v in value) else "strings"
     return "other"
 
@@ -117,51 +116,57 @@ EXECUTABLE = (
 )
 
 
-def leaf_status() -> Column:
-    """available, degraded or unavailable for one leaf."""
+def leaf_status(leaf: Column) -> Column:
+    """available, degraded or unavailable for one leaf (a struct of ``WALK``)."""
     status = F.lit("unavailable")
     for name, value in catalog_status().items():
-        status = F.when(F.col("capability") == name, value).otherwise(status)
-    named = F.concat_ws("|", "capability", F.coalesce("field", F.lit("")), "kind")
-    wild = F.concat_ws("|", "capability", F.lit("*"), "kind")
-    refused = F.coalesce(F.col("field").isin(*UNSUPPORTED_EXCLUSIONS, *UNSUPPORTED_ENTITIES), F.lit(False))
+        status = F.when(leaf["capability"] == name, value).otherwise(status)
+    named = F.concat_ws("|", leaf["capability"], F.coalesce(leaf["field"], F.lit("")), leaf["kind"])
+    wild = F.concat_ws("|", leaf["capability"], F.lit("*"), leaf["kind"])
+    refused = F.coalesce(leaf["field"].isin(*UNSUPPORTED_EXCLUSIONS, *UNSUPPORTED_ENTITIES), F.lit(False))
     can = (named.isin(*EXECUTABLE) | wild.isin(*EXECUTABLE)) & ~refused
     return F.when(can, status).otherwise("unavailable")
 
 
-def spec_coverage(leaf_rows: DataFrame, key: str = "spec_id") -> DataFrame:
-    """Per spec: leaves that run, run degraded or cannot run, and the status of the whole.
+def spec_coverage(specs: DataFrame, key: str = "spec_id", spec: str = "spec") -> DataFrame:
+    """Per stored spec: leaves that run, run degraded or cannot run, and the status of the whole.
 
-    One leaf that cannot run makes the whole spec unavailable. The capability
-    list is fixed, so this is a map over leaves and one aggregation.
+    One leaf that cannot run makes the whole spec unavailable; a spec without
+    leaves is complete, and one that can't be read is unreadable. Every spec has
+    its row: leaves are counted in their array, without exploding or a shuffle.
     """
-    counted = (
-        leaf_rows.withColumn("_status", leaf_status())
-        .groupBy(key)
-        .agg(
-            *[
-                F.count_if(F.col("_status") == name).alias(name)
-                for name in ("available", "degraded", "unavailable")
-            ]
-        )
-    )
+    walked = specs.select(key, walk_spec(F.col(spec)).alias("_w"))
+    states = F.transform("_w.leaves", leaf_status)
+    counted = walked.select(key, states.alias("_states"))
+
+    def count(name: str) -> Column:
+        return F.greatest(F.lit(0), F.size(F.filter("_states", lambda s: s == name))).cast("bigint")
+
+    counted = counted.withColumns({name: count(name) for name in ("available", "degraded", "unavailable")})
     status = (
-        F.when(F.col("unavailable") > 0, "unavailable")
+        F.when(F.col("_states").isNull(), "unreadable")
+        .when(F.col("unavailable") > 0, "unavailable")
         .when(F.col("degraded") > 0, "degraded")
         .otherwise("complete")
     )
-    return counted.withColumn("status", status)
+    return counted.withColumn("status", status).drop("_states")
 
 
 def refinement_log(
-    operations: DataFrame, key: str = "selection_id", seq: str = "seq", operation: str = "operation"
+    operations: DataFrame,
+    key: str = "selection_id",
+    seq: str = "seq",
+    operation: str = "operation",
+    last: int | None = None,
 ) -> DataFrame:
-    """The last operations per selection, oldest first, as one array of bounded length.
+    """The operations per selection, oldest first, as one array; the ``last`` ones if given.
 
     ``row_number`` up to a constant is cut per input partition before the
-    shuffle, so a selection with very many operations stays small.
+    shuffle, so a selection with very many operations then stays small.
     """
-    newest = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    recent = operations.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= LOG_LENGTH)
+    recent = operations
+    if last is not None:
+        newest = Window.partitionBy(key).orderBy(F.col(seq).desc())
+        recent = operations.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last)
     ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(operation).alias("o"))))
     return recent.groupBy(key).agg(F.transform(ordered, lambda e: e["o"]).alias("operations"))

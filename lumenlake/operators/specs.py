@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.constants import (
-    LOG_LENGTH,
     SPEC_MAX_CHILDREN,
     SPEC_MAX_DEPTH,
     SPEC_MAX_NODES,
@@ -151,8 +150,8 @@ def refine(current: Spec | None, incoming: Spec, operation: str) -> Spec:
     raise ValueError(f"unknown operation {operation!r}")
 
 
-def refine_request(context: dict | None, request: dict, operation: str) -> dict:
-    """Refine a whole request; ranking and target carry over, the last operations are kept."""
+def refine_request(context: dict | None, request: dict, operation: str, last: int | None = None) -> dict:
+    """Refine a whole request; ranking and target carry over, as do the operations (the ``last`` ones if given)."""
     held = (context or {}).get("request", {})
     merged = dict(request)
     merged["expression"] = refine(held.get("expression"), request.get("expression", EVERYTHING), operation)
@@ -161,7 +160,8 @@ def refine_request(context: dict | None, request: dict, operation: str) -> dict:
             if merged.get(name) is None and held.get(name) is not None:
                 merged[name] = held[name]
     past = [] if operation == "new" else (context or {}).get("operations", [])
-    return {"request": merged, "operations": [*past, operation][-LOG_LENGTH:]}
+    operations = [*past, operation]
+    return {"request": merged, "operations": operations if last is None else operations[-last:]}
 
 
 def compile_spec(spec: Spec, registry: Registry | None = None) -> Column:

@@ -27,15 +27,6 @@ TEXTS = ("id string, ocr_text string, " + _VERSION)
 SELECTIONS = (
     "selection_id string, name string, spec string, created_at bigint, updated_at bigint, context string"
 )
-SELECTION_MEMBERS = ("selection_id string, id string")
-SCAN_JOBS = (
-    "job_id string, processed bigint, total bigint, status string, checkpoint string,"
-    " started_at bigint, updated_at bigint, error string"
-)
-CLEANUP_HISTORY = (
-    "run_id string, created_at bigint, asset_count bigint, recovered_bytes bigint, outcome string"
-)
-CLEANUP_FEEDBACK = ("id string, recommendation string, decision string, created_at bigint")
 
 # fixed values: the columns each signal table merges
 QUALITY_SIGNALS = ("blur_score", "quality_score", "brightness_score", "face_count")

@@ -17,27 +17,33 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of the table at ``path``, oldest first (one directory listing)."""
-    fs, root = _filesystem(spark, path)
-    if not fs.exists(root):
-        return []
-    names = [status.getPath() for status in fs.listStatus(root)]
-    done = [
-        int(p.getName().removeprefix("version="))
-        for p in names
-        if p.getName().startswith("version=")
-        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    ]
-    return sorted(done)
+    """Complete versions of the table at ``path``, oldest first (one listing of the markers)."""
+    fs, marks = _filesystem(spark, f"{path}/version=*/_SUCCESS")
+    found = fs.globStatus(marks) or []
+    return sorted(int(mark.getPath().getParent().getName().removeprefix("version=")) for mark in found)
 
 
 def write_snapshot(df: DataFrame, path: str, version: int) -> str:
-    """Write a whole new version next to the old ones; readers switch when it is complete."""
+    """Write a whole new version next to the old ones; readers switch when it is complete.
+
+    A complete version is never written again, as it may be what ``df`` or another reader reads.
+    """
     target = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(target)
+    fs, mark = _filesystem(df.sparkSession, f"{target}/_SUCCESS")
+    if not fs.exists(mark):
+        df.write.mode("overwrite").parquet(target)
     return target
 
 
+def drop_old_snapshots(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Delete all but the newest ``keep`` complete versions; returns what went. Readers of those need to be done."""
+    old = snapshot_versions(spark, path)[:-keep]
+    for version in old:
+        fs, folder = _filesystem(spark, f"{path}/version={version}")
+        fs.delete(folder, True)
+    return old
+
+
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """Read one version, the newest complete one by default."""
     if version is None:
@@ -53,9 +59,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All deltas with their ``batch_id``; merge them by key to get the current state."""
-    return spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+def drop_batches(spark: SparkSession, path: str, upto: int) -> list[int]:
+    """Delete the deltas of all batches up to one; returns their ids."""
+    fs, folders = _filesystem(spark, f"{path}/batch_id=*")
+    gone = []
+    for status in fs.globStatus(folders) or []:
+        batch_id = int(status.getPath().getName().removeprefix("batch_id="))
+        if batch_id <= upto:
+            fs.delete(status.getPath(), True)
+            gone.append(batch_id)
+    return sorted(gone)
 
 
 def partition_for_reading(df: DataFrame, buckets: int) -> DataFrame:

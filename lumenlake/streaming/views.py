@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenlake.operators.staleness import needs_work
-from lumenlake.sources.tables import write_batch, write_snapshot
+from lumenlake.sources.tables import drop_old_snapshots, write_batch, write_snapshot
 
 # fixed values: running counts and clusters are refreshed at most this often
 INSIGHT_INTERVAL = "1 second"
 CLUSTER_SECONDS = 5.0
+KEPT_VERSIONS = 3
 
 
 def stream_pending(stream: DataFrame, work: DataFrame, stage: str) -> DataFrame:
@@ -42,22 +43,39 @@ def stream_totals(stream: DataFrame, totals: dict[str, Column]) -> DataFrame:
     return stream.agg(*[expr.alias(name) for name, expr in totals.items()])
 
 
-def at_most_every(
-    action: Callable[[SparkSession, int], None], seconds: float = CLUSTER_SECONDS
-) -> Callable[[SparkSession, int], None]:
+class AtMostEvery:
     """A commit callback that runs ``action`` (a cluster rebuild, say) no more often than given.
 
-    The caller runs the action once more when the stream has ended.
+    A batch inside the interval is remembered; ``finish`` runs the action for it. See :func:`finish_stream`.
     """
-    last = float("-inf")
 
-    def run(spark: SparkSession, batch_id: int) -> None:
-        nonlocal last
-        if time.monotonic() - last >= seconds:
-            action(spark, batch_id)
-            last = time.monotonic()
+    def __init__(self, action: Callable[[SparkSession, int], None], seconds: float = CLUSTER_SECONDS):
+        self.action, self.seconds = action, seconds
+        self.last, self.missed = float("-inf"), None
 
-    return run
+    def __call__(self, spark: SparkSession, batch_id: int) -> None:
+        self.missed = batch_id
+        if time.monotonic() - self.last >= self.seconds:
+            self.finish(spark)
+
+    def finish(self, spark: SparkSession) -> None:
+        """Run the action for the last batch, if it hasn't been."""
+        if self.missed is not None:
+            batch_id, self.missed = self.missed, None
+            self.action(spark, batch_id)
+            self.last = time.monotonic()
+
+
+def at_most_every(action: Callable[[SparkSession, int], None], seconds: float = CLUSTER_SECONDS) -> AtMostEvery:
+    return AtMostEvery(action, seconds)
+
+
+def finish_stream(query: StreamingQuery, refresh: AtMostEvery, spark: SparkSession) -> None:
+    """Wait for a stream to end, however it ends, and refresh once more for its last batches."""
+    try:
+        query.awaitTermination()
+    finally:
+        refresh.finish(spark)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -75,7 +93,14 @@ def updates_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 
 def totals_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Replace a one-row table with every refresh; the default trigger limits the rate."""
-    writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda batch, batch_id: write_snapshot(batch, path, batch_id))
+    """Replace a one-row table with every refresh; the default trigger limits the rate.
+
+    Of the older versions the last few stay, for readers that hold one.
+    """
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        write_snapshot(batch, path, batch_id)
+        drop_old_snapshots(batch.sparkSession, path, KEPT_VERSIONS)
+
+    writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
     return writer.trigger(**(trigger or {"processingTime": INSIGHT_INTERVAL})).start()

@@ -61,7 +61,7 @@ def test_memberships_count_the_clusters_of_every_asset(spark):
     hashes = clustered_hashes(120, seed=3)
     fresh = fresh_table(spark, hashes)
     near = near_ids(hashes, 4)
-    result = {r.id: r for r in clusters.asset_memberships(fresh).collect()}
+    result = {r.id: r for r in clusters.asset_memberships(fresh, 4).collect()}
     for i, h in enumerate(hashes):
         key = f"a{i:04d}"
         exact = sum(o[:6] == h[:6] for o in hashes) > 1
@@ -75,7 +75,7 @@ def test_memberships_count_the_clusters_of_every_asset(spark):
 def test_partners_of_given_assets(spark):
     hashes = clustered_hashes(80, seed=5)
     fresh = fresh_table(spark, hashes)
-    pairs = clusters.near_pairs(clusters.hash_groups(fresh, "visual_hash"))
+    pairs = clusters.near_pairs(clusters.hash_groups(fresh, "visual_hash"), 4)
     ids = spark.createDataFrame([("a0003",), ("a0010",)], "id string")
     found = {(r.id, r.partner_id) for r in clusters.similar_partners(ids, fresh, pairs).collect()}
     near = near_ids(hashes, 4)
@@ -89,7 +89,7 @@ def test_hot_keys_join_like_cold_ones(spark):
     )
     lookup = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     plain = {tuple(r) for r in rows.join(lookup, "key", "left").select("id", "key", "n").collect()}
-    salted = join_lookup(rows, lookup, "key", F.col("n"), "id", hot_rows=10, salts=8)
+    salted = join_lookup(rows, lookup, "key", F.col("n"), "id", hot_rows=10)
     assert sorted(map(str, map(tuple, salted.select("id", "key", "n").collect()))) == sorted(map(str, plain))
 
 

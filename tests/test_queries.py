@@ -10,12 +10,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
 from checks import model as M  # noqa: E402
-from checks import q_search  # noqa: E402
+from checks import q_search, register  # noqa: E402
 from lumenlake.operators import specs  # noqa: E402
 from tools.check import TABLES, rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = register.QUERIES, register.SQL
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,10 @@ def test_query_equals_sql_without_cross_joins(spark, db, name):
     assert got == rows_of([d[0] for d in cursor.description], cursor.fetchall())
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= entry.queries().items() and SQL.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["duplicate_copies", "duplicate_bytes"]
 

@@ -113,7 +113,7 @@ def test_refinement():
     other = predicate("content.screenshot", "eq", {"field": "screenshot", "value": False})
     assert specs.refine(current, other, "replace") == all_specs(BIG, other)
     context = {"request": {"ranking": {"strategy": "largest"}}, "operations": ["restrict"] * 32}
-    later = specs.refine_request(context, {"expression": BIG}, "restrict")
+    later = specs.refine_request(context, {"expression": BIG}, "restrict", last=32)
     assert len(later["operations"]) == 32 and later["request"]["ranking"] == {"strategy": "largest"}
 
 
@@ -186,8 +186,8 @@ def test_stored_specs_as_tables(spark):
     ]
     limits = {r.spec_id: (r.nodes, r.depth) for r in spec_tables.spec_limits(rows).collect()}
     assert limits == {"s1": (5, 2), "s2": (None, None), "s3": (1, 0)}
-    coverage = spec_tables.spec_coverage(spec_tables.explode_predicates(rows)).first()
-    assert (coverage.available, coverage.status) == (2, "complete")
+    coverage = {r.spec_id: (r.available, r.status) for r in spec_tables.spec_coverage(rows).collect()}
+    assert coverage == {"s1": (2, "complete"), "s2": (0, "unreadable"), "s3": (0, "complete")}
 
 
 def test_selections(spark, catalog):
@@ -198,6 +198,8 @@ def test_selections(spark, catalog):
     headers, members = selections.save_selections(requests, catalog.assets, 5)
     assert [(r.selection_id, r.name) for r in headers.collect()] == [("s", "Trip")]
     assert {r.id for r in members.collect()} == {"a", "b"}
+    refused = {tuple(r) for r in selections.selection_rejects(requests).collect()}
+    assert refused == {("t", "INVALID_NAME"), ("u", "INVALID_NAME")}
     wanted = spark.createDataFrame([("s",), ("nope",)], "selection_id string")
     left, left_members, report = selections.delete_selections(headers, members, wanted)
     assert left.count() == 0 and left_members.count() == 0

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.operators.jobs import job_progress, may_reconcile
@@ -51,9 +52,31 @@ def test_stop_resume_replay_and_compaction(spark, tmp_path):
     assert state(spark, path) == expected
     assert ingest.compact(spark, path) == 1
     assert state(spark, path) == expected
+    # Compacting again without a new batch writes nothing.
+    assert ingest.compact(spark, path) == 1
+    assert state(spark, path) == expected
     arrive([change("c", 1, 31)], "three")
     run()
-    assert state(spark, path)[0] == {("a", None), ("b", 20), ("c", 31)}
+    later = {("a", None), ("b", 20), ("c", 31)}
+    assert state(spark, path)[0] == later
+
+    # A compaction that breaks off between two tables leaves everything as it was.
+    good = ingest.write_snapshot
+    ingest.write_snapshot = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        with pytest.raises(OSError):
+            ingest.compact(spark, path)
+    finally:
+        ingest.write_snapshot = good
+    assert state(spark, path)[0] == later
+    assert ingest.compact(spark, path) == 2
+    assert ingest.expire(spark, path, keep=1) == [0, 1, 2]
+    assert state(spark, path)[0] == later
+    assert ingest.compact(spark, path) == 2
+    arrive([change("d", 1, 40)], "four")
+    run()
+    assert ingest.compact(spark, path) == 3
+    assert state(spark, path)[0] == later | {("d", 40)}
 
 
 def test_unseen_assets_are_dropped_only_after_completion(spark):
@@ -100,10 +123,15 @@ def test_refreshes_are_throttled(spark):
     for batch in range(3):
         refresh(spark, batch)
     assert ran == [0]
+    refresh.finish(spark)
+    refresh.finish(spark)
+    assert ran == [0, 2]
+    ran.clear()
     always = views.at_most_every(lambda s, b: ran.append(b), seconds=0)
     always(spark, 5)
     always(spark, 6)
-    assert ran == [0, 5, 6]
+    always.finish(spark)
+    assert ran == [5, 6]
 
 
 def test_stored_rows_become_asset_records(spark):

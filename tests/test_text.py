@@ -166,3 +166,23 @@ def test_semantic_match_rejects_and_merges(spark):
     assert merged["near"].duplicate and merged["near"].min_blur == 0.55 and merged["near"].confidence > 0.9
     assert merged["near"].action == "find" and merged["code"].concepts == ["otp"]
     assert not merged["rejected"].matched and merged["rejected"].confidence == 0.35
+
+
+def test_calendar_phrases_beyond_reach_are_ambiguous(spark):
+    from lumenlake.functions.calendar import calendar_range
+
+    texts = ["last 900000000 weeks", "300000000 years ago", "9999999 days ago", "123456789012345 days ago", "before 90000 days ago"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "2 days ago"]], "t string")
+    rows = rows.withColumn("now", F.lit("2024-06-15 10:00:00").cast("timestamp"))
+    found = {r.t: r for r in calendar_range(rows, "t", "now").collect()}
+    for text in texts:
+        assert found[text].after_ms is None and found[text].date_ambiguous
+    assert found["2 days ago"].after_ms is not None and not found["2 days ago"].date_ambiguous
+
+
+def test_more_than_five_phrases_are_kept(spark):
+    from lumenlake.functions import tagging
+
+    rows = spark.createDataFrame([(" ".join(f'"p{k}"' for k in range(8)),)], "t string")
+    assert rows.select(tagging.extract_quoted(F.col("t"))).first()[0] == [f"p{k}" for k in range(8)]
+    assert rows.select(tagging.extract_quoted(F.col("t"), 5)).first()[0] == [f"p{k}" for k in range(5)]
