@@ -104,3 +104,29 @@ def test_a_failing_signal_blocks_only_its_dependants(spark):
     assert status["abcde"] == {"base.size": None, "ratio.size": None, "other.upper": None, "missing.one": "UNAVAILABLE"}
     assert status[""]["base.size"] == "FAILED" and status[""]["ratio.size"] == "UNAVAILABLE"
     assert status[""]["other.upper"] is None and status["ab"]["ratio.size"] == "FAILED"
+
+
+def test_both_grids_equal_plain_averages():
+    import numpy as np
+
+    from lumenlake.sources.images import both_grids
+
+    draw = np.random.default_rng(1)
+    for height, width in ((32, 32), (100, 57), (5, 90), (1, 1)):
+        pixels = draw.integers(0, 256, (height, width, 3), np.uint8)
+        for grid, n in zip(both_grids(pixels), (32, 8)):
+            for i in range(n):
+                for j in range(n):
+                    top, left = i * height // n, j * width // n
+                    cell = pixels[top : max(top + 1, (i + 1) * height // n), left : max(left + 1, (j + 1) * width // n)]
+                    blue, green, red = cell.reshape(-1, 3).astype(int).sum(axis=0) // (cell.shape[0] * cell.shape[1])
+                    assert grid[i, j] == int(0.299 * red + 0.587 * green + 0.114 * blue)
+
+
+def test_only_pending_files_are_read(spark, tmp_path):
+    for name in ("a.png", "b.png"):
+        (tmp_path / name).write_bytes(png(40, 40, lambda x, y: (9, 9, 9)))
+    rows = read_images(spark, [str(tmp_path / "b.png")], hashes=False)
+    assert rows.columns == ["path", "grids"]
+    assert [r.path.rsplit("/", 1)[1] for r in rows.collect()] == ["b.png"]
+    assert read_images(spark, str(tmp_path), "*.png", modified_after="2999-01-01T00:00:00").count() == 0
