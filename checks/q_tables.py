@@ -66,6 +66,27 @@ def normalize_listing(spark, sf):
     return listing.normalize_listing(_raw(spark, sf))
 
 
+@query(
+    "row_projection",
+    "select 'd' || cast(doc_id as string) as id, 'photo' as media_type, n_chars as created_at, cast(null as bigint) as modified_at,"
+    " cast(n_chars % 4000 as int) as width, cast(null as int) as height, cast(null as double) as duration,"
+    " n_chars * 10 as file_size, lang = 'de' as favorite, cast(null as double) as latitude, cast(null as double) as longitude,"
+    " cast(null as bigint) as indexed_at from documents",
+)
+def row_projection(spark, sf):
+    """Stored rows with flags as numbers and without half of the columns."""
+    stored = M.table(spark, sf, "documents").selectExpr(
+        "n_chars * 10 AS file_size",
+        "'d' || cast(doc_id as string) AS id",
+        "'photo' AS media_type",
+        "cast(n_chars as int) AS created_at",
+        "n_chars % 4000 AS width",
+        "case when lang = 'de' then 1 else 0 end AS favorite",
+        "source AS extra",
+    )
+    return listing.row_projection(stored)
+
+
 @query(
     "count_assets",
     f"with raw as ({RAW_SQL}) select count(*) as total from raw"
