@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.plans.parallel import spread
 from lumenlake.session import scratch_path
 
 # A word is a run of anything but ASCII white space; bytes.split() cuts at the same six bytes.
@@ -58,7 +59,7 @@ def chunked(docs: DataFrame, columns: list[str], text: str = "text", chunk_bytes
     small answers for it while only the answers move. Columns: ``chunk``, the given columns, ``octets``.
     """
     spark = docs.sparkSession
-    slim = spread_rows(docs.select(*columns))
+    slim = spread(docs.select(*columns))
     schema = f"chunk long, {', '.join(f'`{n}` {t}' for n, t in slim.dtypes)}, octets long"
     rows = slim.mapInArrow(_Cut(text, chunk_bytes), schema)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -69,12 +70,6 @@ def chunked(docs: DataFrame, columns: list[str], text: str = "text", chunk_bytes
     return spark.table(name)
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Redistribute a table of very few partitions, so that heavy per-row work uses all slots."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
-
-
 class _Cut:
     """Number the chunks of a partition: the partition in the high bits, the chunk in the low ones."""
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import saved, spread_rows
+from lumenlake.llm.common import saved
+from lumenlake.plans.parallel import spread
 from lumenlake.plans.skew import join_lookup
 
 #: Bounds of the sample that rotations and radius are learnt from: vectors, and queries among them.
@@ -160,7 +161,7 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 20) -> DataFrame:
     """
     spark = vectors.sparkSession
     slim = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
-    clean = saved(spread_rows(slim).mapInArrow(_clean, "vec_id long, vector array<double>, key binary"), "vectors")
+    clean = saved(spread(slim).mapInArrow(_clean, "vec_id long, vector array<double>, key binary"), "vectors")
     lengths = clean.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

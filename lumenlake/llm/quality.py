@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import labelled, pieces, remainder, saved, spread_rows, texts_of
+from lumenlake.llm.common import labelled, pieces, remainder, saved, texts_of
+from lumenlake.plans.parallel import spread
 
 KEEP = 0.7
 #: Bounds of what the model is fitted on: labelled documents, and lines of one of them.
@@ -229,5 +230,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     train = remainder("doc_id", 4) != 2
     model = fit(docs, labels, train)
-    scored = spread_rows(docs.select("doc_id", "text")).mapInArrow(model, "doc_id long, score double")
+    scored = spread(docs.select("doc_id", "text")).mapInArrow(model, "doc_id long, score double")
     return scored.select("doc_id", (~train).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
