@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import saved, spread_rows, texts_of
+from lumenlake.llm.common import saved, texts_of
 from lumenlake.llm.components import components
+from lumenlake.plans.parallel import spread
 from lumenlake.plans.skew import join_lookup
 
 SEED = 42
@@ -103,7 +104,7 @@ def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1) -> DataFrame:
 
     A null text has no words. The node is the fingerprint itself where it has 64 bits, else a hash of it.
     """
-    slim = spread_rows(docs.select("doc_id", "text"))
+    slim = spread(docs.select("doc_id", "text"))
     return slim.mapInArrow(_Fingerprints(size, lanes), "doc_id long, print binary, node long")
 
 
@@ -227,11 +228,12 @@ def hex_print(column: str = "print"):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) by wide fingerprints of five-word shingles, for a similarity of 0.8 or more.
 
-    At that similarity about 15 % of the bits differ, far beyond what blocks of 64 bits can find. So 1,024 bits are
-    cut into 51 bands of 20 bits: texts with similarity 0.8 share a band with probability 0.86, 0.85 with 0.96, and
-    0.9 with 0.998. The first 256 bits decide: up to 44 may differ.
+    At that similarity about 15 % of the bits differ, far beyond what blocks of 64 bits can find. So 2,048 bits are
+    cut into 85 bands of 24 bits: texts with similarity 0.8 share a band with probability 0.81, 0.85 with 0.96, and
+    0.9 with 0.998. Bands are longer than the logarithm of the number of documents, so that few meet by chance. The
+    first 256 bits decide: up to 44 may differ.
     """
-    return groups(docs, size=5, lanes=16, blocks=51, equal=1, most=44, kept=4).select("doc_id", "component_id")
+    return groups(docs, size=5, lanes=32, blocks=85, equal=1, most=44, kept=4).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
