@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.boosting import Boosted
-from lumenlake.llm.common import labelled, per_text, remainder, saved, spread_rows, texts_of
+from lumenlake.llm.common import labelled, per_text, pieces, remainder, saved, texts_of
+from lumenlake.plans.parallel import spread
 
 REJECT = 0.7
 #: Bound of the labelled sample that the lexicon and the trees are fitted on.
@@ -23,6 +24,8 @@ LEXICON = 4_000
 LEAST_Z = 3.0
 PREFIXES = (4, 5, 6)
 NEAR = 3
+#: Octets of text whose features are worked out at once, and words whose kind a task remembers.
+_PIECE, _MEMO = 2 << 20, 200_000
 
 # fixed values: common insults, and second-person words, of four languages
 INSULTS = frozenset(
@@ -114,10 +117,8 @@ class Features:
                 flags |= VEILED
         return flags, max(found, default=0.0)
 
-    def of(self, texts: list[bytes]) -> np.ndarray:
-        """A row of features for every text."""
-        memo: dict[bytes, int] = {}
-        kinds: list[tuple[int, float]] = []
+    def of(self, texts: list[bytes], memo: dict[bytes, int], kinds: list[tuple[int, float]]) -> np.ndarray:
+        """A row of features for every text; ``memo`` has the place of each word met so far in ``kinds``."""
         numbers: list[int] = []
         sizes = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -150,8 +151,15 @@ class Features:
         return np.stack([*columns, *rates, np.log1p(sizes)], axis=1)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        kinds: list[tuple[int, float]] = []
         for batch in batches:
-            rows = self.of(texts_of(batch))
+            texts, found = texts_of(batch), []
+            for a, b in pieces([len(t) for t in texts], _PIECE):
+                if len(kinds) > _MEMO:
+                    memo, kinds = {}, []
+                found.append(self.of(texts[a:b], memo, kinds))
+            rows = np.concatenate(found) if found else np.zeros((0, 1))
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
             lists = pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
             kept = [n for n in batch.schema.names if n != "text"]
@@ -162,14 +170,14 @@ class Toxicity:
     """A fitted model: ``score`` gives every document a probability."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS):
-        sample = saved(spread_rows(labelled(docs, labels, "toxic", train, sample_rows)), "toxic_sample")
+        sample = saved(spread(labelled(docs, labels, "toxic", train, sample_rows)), "toxic_sample")
         self.features = Features(learn_lexicon(sample))
         rows = saved(sample.mapInArrow(self.features, "doc_id long, label int, features array<double>"), "toxic_features")
         self.model = Boosted(rows)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, score, predicted) of every whole text."""
-        rows = spread_rows(docs.select("doc_id", "text")).mapInArrow(self.features, "doc_id long, features array<double>")
+        rows = spread(docs.select("doc_id", "text")).mapInArrow(self.features, "doc_id long, features array<double>")
         return self.model.score(rows, ["doc_id"]).withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
 
