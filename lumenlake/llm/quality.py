@@ -15,8 +15,8 @@ from lumenlake.llm.common import labelled, pieces, remainder, saved, texts_of
 from lumenlake.plans.parallel import spread
 
 KEEP = 0.7
-#: Bounds of what the model is fitted on: labelled documents, and lines of one of them.
-SAMPLE_ROWS, FIT_LINES = 4_000, 400
+#: Bounds of what the model is fitted on: labelled documents, and lines and characters of one of them.
+SAMPLE_ROWS, FIT_LINES, FIT_CHARS = 4_000, 400, 50_000
 STEPS, ROUNDS, RATE, RIDGE = 80, 2, 0.15, 1e-3
 _PIECE = 2 << 20
 
@@ -214,9 +214,13 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> Quality:
-    """The model from at most ``rows`` labelled documents; the driver holds no more than these, cut to ``FIT_LINES`` lines."""
+    """The model from at most ``rows`` labelled documents.
+
+    The driver holds no more than these, and no more than ``FIT_LINES`` lines or ``FIT_CHARS`` characters of each.
+    """
     sample = labelled(docs, labels, "quality", train, rows)
-    lines = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, FIT_LINES), "\n").alias("text")
+    start = F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS)
+    lines = F.array_join(F.slice(F.split(start, "\n"), 1, FIT_LINES), "\n").alias("text")
     found = saved(sample.select("doc_id", lines, "label"), "quality_sample").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
     return Quality([r.text.encode() for r in found], np.array([r.label for r in found], np.int64))
 
