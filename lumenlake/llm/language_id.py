@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import pieces, remainder, saved, spread_rows
+from lumenlake.llm.common import pieces, remainder, saved
+from lumenlake.plans.parallel import spread
 
 ORDER = 4
-#: Bounds of the training sample (documents of each language) and of the model (n-grams of all languages).
-SAMPLE_ROWS = 4_000
+#: Bounds of the training sample (documents of each language, of all, and languages) and of the model (n-grams of all languages).
+SAMPLE_ROWS, ALL_ROWS, MOST_LANGUAGES = 4_000, 40_000, 1_000
 MOST_NGRAMS = 1_000_000
 UNKNOWN = "und"
 #: Share of the training documents that the rejection is calibrated to accept.
@@ -167,11 +169,16 @@ _FOUND = "lang_pred string, score double, entropy double, length long, accepted
 
 
 def _fit(docs: DataFrame, train: Column, rows: int) -> _Identify | None:
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.where(F.col("lang").isNotNull() & train).select("doc_id", F.col("lang").alias("label"), "lang")
-    chosen = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= rows).select("doc_id", "label").distinct()
-    sample = docs.where(train).select("doc_id", "text", F.col("lang").alias("label")).join(chosen, ["doc_id", "label"], "left_semi")
-    sample = saved(spread_rows(sample.select("text", "label")), "languages")
+    known = docs.where(F.col("lang").isNotNull() & train).select("doc_id", F.col("lang").alias("label"))
+    sizes = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return None
+    share = F.create_map(*chain(*((F.lit(r.label), F.lit(rows / r["count"])) for r in sizes)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
+    even = known.where(place < share[F.col("label")]).select("doc_id", "label", (place / share[F.col("label")]).alias("place"))
+    chosen = even.orderBy("place", "doc_id").limit(ALL_ROWS).select("doc_id", "label").distinct()
+    sample = docs.where(train).select("doc_id", "text", F.col("lang").alias("label")).join(F.broadcast(chosen), ["doc_id", "label"], "left_semi")
+    sample = saved(spread(sample.select("text", "label")), "languages")
     counted = sample.mapInArrow(_Count(), "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "label", "key").limit(MOST_NGRAMS).toPandas()
     languages = sorted(rows["label"].unique())
@@ -203,8 +210,8 @@ def identify(docs: DataFrame, train: Column | None = None, rows: int = SAMPLE_RO
 
     The language is the one with the least cross-entropy per character; ``score`` is its calibrated share. A text is
     ``accepted`` if its cross-entropy is one that ``ACCEPT`` of the training documents stay below: others are in none
-    of the languages. The models are fitted on at most ``rows`` documents of each language, chosen by a hash of the
-    id, of those that ``train`` allows.
+    of the languages. The models are fitted on about ``rows`` documents of each language (and
+    ``ALL_ROWS`` of all, evenly), chosen by a hash of the id, of those that ``train`` allows; only their ids are broadcast.
 
     A null text, or one without letters, is ``und`` with score 0 and not accepted; so is every text if nothing can be
     learnt. Null ids and repeated rows are judged by their text as any other. Ties go to the first language by name.
@@ -213,7 +220,7 @@ def identify(docs: DataFrame, train: Column | None = None, rows: int = SAMPLE_RO
     model = _fit(docs, allowed, rows)
     if model is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    found = spread_rows(docs.select("doc_id", "text")).mapInArrow(model, f"doc_id long, {_FOUND}")
+    found = spread(docs.select("doc_id", "text")).mapInArrow(model, f"doc_id long, {_FOUND}")
     return found.select("doc_id", "lang_pred", "score", "accepted")
 
 
