@@ -31,6 +31,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number ``_row`` for each row, written once so that all reads agree on it."""
+    return saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo a number; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

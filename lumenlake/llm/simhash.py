@@ -1,4 +1,4 @@
-"""SimHash fingerprints of word shingles, and near-duplicate groups by pigeonhole blocks."""
+"""SimHash fingerprints of word shingles with groups by pigeonhole blocks, and near duplicates by exact shingle similarity."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import saved, texts_of
+from lumenlake.llm.common import numbered, saved, texts_of
 from lumenlake.llm.components import components
 from lumenlake.plans.parallel import spread
 from lumenlake.plans.skew import join_lookup
@@ -225,24 +225,196 @@ def hex_print(column: str = "print"):
     return F.lower(F.hex(column))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) by wide fingerprints of five-word shingles, for a similarity of 0.8 or more.
+#: Texts are near duplicates if they share this part (of 5 parts) of their distinct shingles, or more.
+ALIKE = (4, 5)
+#: Bands of minima: a pair at the limit shares one of 32 bands of 6 with probability 0.99994, at 0.5 with 0.40, at 0.2 with 0.002.
+BANDS, MINIMA = 32, 6
+#: Runs of up to so many texts are compared as single pairs; longer runs with their shingles at hand.
+_PAIRED = 16
+#: Shingles that a slice of a run holds, about.
+_HELD = 2 << 20
+_FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    At that similarity about 15 % of the bits differ, far beyond what blocks of 64 bits can find. So 2,048 bits are
-    cut into 85 bands of 24 bits: texts with similarity 0.8 share a band with probability 0.81, 0.85 with 0.96, and
-    0.9 with 0.998. Bands are longer than the logarithm of the number of documents, so that few meet by chance. The
-    first 256 bits decide: up to 44 may differ.
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)), np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes: one for each band of least values under ``MINIMA`` orders; none of an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (_FACTORS[:, None] * found[None, at : at + 4096]).min(axis=1), out=least)
+    numbered = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], least.reshape(BANDS, MINIMA)], axis=1)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in numbered], np.uint64).view(np.int64)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of ``ALIKE`` or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return ALIKE[1] * both >= ALIKE[0] * (len(x) + len(y) - both)
+
+
+def _alike_sizes(x: Column, y: Column) -> Column:
+    return ALIKE[1] * F.least(x, y) >= ALIKE[0] * F.greatest(x, y)
+
+
+class _Marks:
+    """(row, doc_id, node, size, keys): the number of a text's shingle set, its size and its band keys."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, self.size) for t in texts_of(batch)]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            keys = [band_keys(x) for x in sets]
+            offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            columns = [batch.column("_row"), batch.column("doc_id"), pa.array(nodes), sizes, lists]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "node", "size", "keys"])
+
+
+class _Sets:
+    """(node, shingles) of texts; the hashes as bytes."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, self.size).tobytes() for t in texts_of(batch)]
+            nodes = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def _alike_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose shingles x and y are alike."""
+    for batch in batches:
+        found = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"))]
+        yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+
+def _alike_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a forest that joins the same sets as all alike pairs would, by breadth-first search."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = [numbers[end - size : end] for end, size in zip(ends, sizes)]
+    mark = np.zeros(int(numbers.max()) + 1 if len(numbers) else 1, bool)
+    links, left = [], np.arange(len(sets))
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            mark[own[at]] = True
+            both = np.zeros(len(left), np.int64)
+            fit = ALIKE[1] * np.minimum(sizes[left], sizes[at]) >= ALIKE[0] * np.maximum(sizes[left], sizes[at])
+            both[fit] = [np.count_nonzero(mark[own[k]]) for k in left[fit]]
+            mark[own[at]] = False
+            near = fit & (ALIKE[1] * both >= ALIKE[0] * (sizes[left] + sizes[at] - both))
+            found = left[near].tolist()
+            links += [(at, other) for other in found]
+            frontier += found
+            left = left[~near]
+    return links
+
+
+def _alike_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each run of rows with the same (key, part); runs are sorted, and bounded in length."""
+
+    def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        links = [(nodes[i], nodes[j]) for i, j in _alike_forest(sets)]
+        columns = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    run, nodes, sets = None, [], []
+    for batch in batches:
+        for key, part, node, found in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "node", "shingles"))):
+            if (key, part) != run:
+                if nodes:
+                    yield linked(nodes, sets)
+                run, nodes, sets = (key, part), [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(found, np.uint64))
+    if nodes:
+        yield linked(nodes, sets)
+
+
+def _alike_links(rows: DataFrame, nodes: DataFrame, size: int, paired: int, slice_rows: int) -> DataFrame:
+    """Links (a, b) that join the same nodes as all pairs that share a band key and are alike would.
+
+    Keys held by the same nodes are one run. The pairs of runs of up to ``paired`` nodes are compared once each, whatever
+    the number of runs they meet in. Longer runs get the shingles of their nodes and write a spanning forest only; they
+    are cut into slices as in ``near_links``, by their nodes and by their shingles.
+    """
+    postings = nodes.select("node", "size", F.explode("keys").alias("key"))
+    held = postings.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")
+    )
+    runs = saved(held.where("n > 1").groupBy("n", "p", "q").agg(F.min("key").alias("key"), F.max("total").alias("total")), "runs")
+    short = postings.join(runs.where(F.col("n") <= paired).select("key"), "key")
+    members = short.groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("them"))
+    pairs = members.select(F.explode("them").alias("x"), "them").select("x", F.explode("them").alias("y"))
+    pairs = pairs.where((F.col("x.node") < F.col("y.node")) & _alike_sizes(F.col("x.size"), F.col("y.size")))
+    pairs = saved(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+
+    slices = F.ceil(F.greatest(F.col("n") / slice_rows, F.col("total") / _HELD)).cast("int")
+    long = postings.join(runs.where(F.col("n") > paired).select("key", slices.alias("_slices")), "key")
+    long = saved(long.select("key", "node", "_slices", F.pmod(F.xxhash64("node"), "_slices").cast("int").alias("_own")), "long_runs")
+    other = F.sequence(F.lit(0), F.col("_slices") - 1)
+    parts = F.transform(other, lambda o: F.least(o, F.col("_own")).cast("long") * F.col("_slices") + F.greatest(o, F.col("_own")))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    needed = ends.unionByName(long.select("node")).distinct().join(nodes.select("node", F.col("first._row").alias("_row")), "node").select("_row")
+    texts = rows.select("_row", "text").join(needed, "_row", "left_semi")
+    sets = saved(texts.mapInArrow(_Sets(size), "node long, shingles binary"), "sets")
+    told = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    told = told.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    near = told.mapInArrow(_alike_pairs, "a long, b long")
+    whole = long.select("key", "node", F.explode(parts).alias("part")).join(sets, "node")
+    ordered = whole.repartition("key", "part").sortWithinPartitions("key", "part")
+    return near.unionByName(ordered.mapInArrow(_alike_runs, "a long, b long"))
+
+
+def _alike_nodes(rows: DataFrame, size: int, paired: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(_row, doc_id, node) of numbered rows, and (node, n, root, first) of distinct shingle sets."""
+    slim = spread(rows.select("_row", "doc_id", "text"))
+    marks = saved(slim.mapInArrow(_Marks(size), "_row long, doc_id long, node long, size long, keys array<long>"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("first")
+    nodes = saved(marks.groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    member = components(_alike_links(rows, nodes, size, paired, slice_rows))
+    named = nodes.select("node", "n", "first").join(member, "node", "left")
+    return marks.select("_row", "doc_id", "node"), named.select("node", "n", F.coalesce("component", "node").alias("root"), "first")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, paired: int = _PAIRED, slice_rows: int = SLICE) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
+
+    Candidates share one of 32 bands of 6 least hashes (a pair at 0.8 does with probability 0.99994, and surer above);
+    only pairs whose exact sets of shingles reach the similarity are linked. Bits of fingerprints can't tell 0.8 from
+    0.75, and would need thousands of them to find 99 % of the pairs. Texts without words are one group.
+    The component is the smallest doc_id of the group, null for null ids alone; every row has a row.
     """
-    return groups(docs, size=5, lanes=32, blocks=85, equal=1, most=44, kept=4).select("doc_id", "component_id")
+    marks, named = _alike_nodes(numbered(docs.select("doc_id", "text")), size, paired, slice_rows)
+    named = saved(named, "named")
+    smallest = named.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
+    lookup = named.select("node", "n", "root").join(smallest, "root").select("node", "n", "component_id")
+    return join_lookup(marks, lookup, "node", F.col("n"), "_row").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns: that of the smallest doc_id.
+    """One row of each near-duplicate group, with all its columns: that of the smallest doc_id.
 
-    Of rows repeated with the same doc_id one stays. Rows without a doc_id have no smallest one: of those with the
-    same text one stays.
+    Every row is judged by its own text: rows that repeat a doc_id stay if their texts are not alike, and rows without
+    a doc_id are matched as others are, but stay only if their group has no doc_id.
     """
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.unionByName(nameless)
+    rows = numbered(docs)
+    _, named = _alike_nodes(rows, 5, _PAIRED, SLICE)
+    chosen = named.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least._row").alias("_row"))
+    return rows.join(chosen, "_row", "left_semi").drop("_row")

@@ -91,6 +91,36 @@ def test_near_copies_keep_one(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 3}
 
 
+def _jaccard_texts(seed):
+    """Pairs of texts at similarities from 0.7 to 0.95, a large group, and a group of copies."""
+    draw = random.Random(seed)
+    texts = []
+    for k in range(150):
+        words = [f"w{draw.randrange(50_000)}" for _ in range(160)]
+        changed = list(words)
+        for at in draw.sample(range(4, 156, 6), 1 + k % 6):
+            changed[at] = f"v{draw.randrange(50_000)}"
+        texts += [" ".join(words), " ".join(changed)]
+    words = [f"u{draw.randrange(50_000)}" for _ in range(160)]
+    for _ in range(40):
+        changed = list(words)
+        for at in draw.sample(range(4, 156, 6), 2):
+            changed[at] = f"v{draw.randrange(50_000)}"
+        texts.append(" ".join(changed))
+    return texts + [texts[0]] * 3
+
+
+@pytest.mark.parametrize("paired,slice_rows", [(16, 4096), (2, 8), (1000, 4096)])
+def test_near_duplicates_equal_brute_force(spark, paired, slice_rows):
+    texts = _jaccard_texts(5)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    shares = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(texts)), 2)}
+    assert any(0.7 < x < 0.8 for x in shares.values()) and sum(0.8 <= x < 0.86 for x in shares.values()) > 20
+    want = _least_reachable(len(texts), [p for p, x in shares.items() if x >= 0.8])
+    found = simhash.near_duplicates(_docs(spark, texts), paired=paired, slice_rows=slice_rows).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want))
+
+
 def test_components_equal_union_find(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
