@@ -248,8 +248,8 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
     for at in range(0, len(found), 4096):
         np.minimum(least, (_FACTORS[:, None] * found[None, at : at + 4096]).min(axis=1), out=least)
-    numbered = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], least.reshape(BANDS, MINIMA)], axis=1)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in numbered], np.uint64).view(np.int64)
+    tagged = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], least.reshape(BANDS, MINIMA)], axis=1)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in tagged], np.uint64).view(np.int64)
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.boosting import Boosted
-from lumenlake.llm.common import labelled, per_text, pieces, remainder, saved, texts_of
+from lumenlake.llm.common import labelled, numbered, per_text, pieces, remainder, saved, texts_of
 from lumenlake.plans.parallel import spread
 
 REJECT = 0.7
@@ -198,7 +198,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that are not rejected. Columns named like the features are no matter."""
-    rejected = Toxicity(docs, labels, train_rows()).score(docs).where("predicted = 1").select("doc_id")
-    bad = rejected.where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents, with all their columns, that are not rejected. Columns named like the features are no matter.
+
+    Every row is judged by its own text, also rows without a doc_id and rows that repeat one.
+    """
+    rows = numbered(docs)
+    scored = Toxicity(docs, labels, train_rows()).score(rows.select(F.col("_row").alias("doc_id"), "text"))
+    bad = scored.where("predicted = 1").select(F.col("doc_id").alias("_row"))
+    return rows.join(bad, "_row", "left_anti").drop("_row")

@@ -131,3 +131,24 @@ def test_stages(spark, odd, none, labels, bench, tmp_path, name, stage):
         assert out.dtypes == odd.dtypes
     assert out.count() > 0
     assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_stages_judge_each_row_by_its_own_text(spark):
+    words = [f"w{k}" for k in range(300)]
+    near = " ".join(w if k != 150 else "changed" for k, w in enumerate(words))
+    rows = [(None, near), (1, " ".join(words)), (None, PLAIN), (7, "another text of more than five words"), (7, LONG[:400]), (None, LONG[:400])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()}
+    assert kept == {rows[1], rows[2], rows[3], rows[4]}
+    item = spark.createDataFrame([(1, LONG[:400])], "item_id long, text string")
+    clean = sorted((r.text for r in decontamination.without_leaks(docs, item).collect()), key=len)
+    assert clean == sorted((text for _, text in rows[:4]), key=len)
+
+
+def test_toxic_rows_without_an_id_go(spark):
+    rows = [(k, f"plain words number {k} of a calm day" if k % 4 else f"you are zorb and scum {k}") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    more = [(None, "you are zorb and scum 8"), (None, "plain words number 9 of a calm day"), (9, "you are zorb and scum 12")]
+    kept = [(r.doc_id, r.text) for r in toxicity.keep_clean(spark.createDataFrame(rows + more, "doc_id long, text string"), labels).collect()]
+    assert all("zorb" not in text for _, text in kept)
+    assert (None, more[1][1]) in kept and rows[9] in kept
