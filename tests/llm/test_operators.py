@@ -371,3 +371,11 @@ def test_licence_families(spark):
     texts = [f"An ordinary line of text number {k}.\n{line}\nAnd another one." for k, (line, _) in lines.items()]
     found = {(r.doc_id, r.licence) for r in licences.scan_licences(_docs(spark, texts)).collect()}
     assert found == {(k, f) for k, (_, f) in lines.items() if f}
+
+
+def test_licence_names_are_never_ordinary(spark):
+    lines = [("Released under GPLv3.", "GPL-3.0"), ("Available under AGPL-3.0.", "AGPL-3.0"), ("Released under the MPL 2.0.", "MPL-2.0")]
+    lines += [("Distributed under the CC BY 4.0.", "CC-BY-4.0"), ("Released under ISC.", "ISC")]
+    texts = [f"An ordinary line of text number {k}.\n{lines[k % 5][0]}\nAnd another one." for k in range(50)]
+    found = {(r.doc_id, r.licence) for r in licences.scan_licences(_docs(spark, texts)).collect()}
+    assert found == {(k, lines[k % 5][1]) for k in range(50)}
