@@ -9,8 +9,8 @@ from tools.check import TABLES, rows_of
 SF = "/root/testdata/sf0.001"
 
 
-def test_eleven_queries():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+def test_all_queries():
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", SQL)
