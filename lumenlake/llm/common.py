@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number ``_row`` for each row, written once so that all reads agree on it."""
-    return saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the next one with a number that no column has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    names = (name if k == 1 else f"{name}_{k}" for k in count(1))
+    return next(n for n in names if n.lower() not in taken)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, written once so that all reads agree on it, and that column's name."""
+    name = free_name(docs, "_row")
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def remainder(column: str, divisor: int) -> Column:
@@ -72,7 +81,9 @@ def chunked(docs: DataFrame, columns: list[str], text: str = "text", chunk_bytes
     path = scratch_path(spark, "chunks")
     writer = rows.write.bucketBy(slots, "chunk").option("compression", "zstd").option("path", path)
     writer.saveAsTable(name)
-    return spark.table(name)
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE `{name}`")  # its files stay, and the frame knows them: nothing is left in the catalog
+    return chunks
 
 
 class _Cut:

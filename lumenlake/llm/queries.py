@@ -85,8 +85,8 @@ with d as (
     from documents
 ),
 s as (
-    select *, 1 + (row_number() over (order by encode(source) nulls last) - 1) % 3 weight, 3 * source_size cap
-    from (select source, sum(size)::bigint source_size from d group by source)
+    select *, 1 + (rank - 1) % 3 weight, 3 * source_size cap
+    from (select *, row_number() over (order by encode(source) nulls last) rank from (select source, sum(size)::bigint source_size from d group by source))
 ),
 l as (
     select *, ((sum(source_size) over () - coalesce(sum(cap) over filled, 0))
@@ -94,19 +94,28 @@ l as (
     from s window filled as (order by cap / weight, encode(source) nulls last rows between unbounded preceding and 1 preceding)
 ),
 t as (
-    select source, source_size, weight,
+    select source, rank, source_size, weight,
         least(cap::double, weight * (select lev from l where lev < cap / weight order by cap / weight limit 1)) target
     from l
 ),
 q as (
-    select d.*, source_size, target, sum(size) over (partition by d.source order by turn, doc_id rows unbounded preceding) - size before
+    select row_number() over () row, d.*, rank, source_size, target,
+        sum(size) over (partition by d.source order by turn, doc_id rows unbounded preceding) - size before
     from d join t on d.source is not distinct from t.source
-)
-select doc_id, size, source_size, target,
-    (greatest(0, least(size, floor(target)::bigint - before))
-        + greatest(0, least(size, floor(target)::bigint - source_size - before))
-        + greatest(0, least(size, floor(target)::bigint - 2 * source_size - before)))::bigint taken
-from q
+),
+r as (
+    select *, before + k * source_size start, least(size, floor(target)::bigint - before - k * source_size) inside
+    from q, range(3) r(k) where size > 0 and before + k * source_size < target
+),
+e as (
+    select row, rank, start first, inside length, target from r where inside > 0
+    union all
+    select row, rank, start + inside, size - inside, target from r where size > inside
+),
+c as (select *, sum(length) over (order by (first + length) / target, rank, first rows unbounded preceding) served from e),
+f as (select row, sum(least(length, (select sum(size) from d) - served + length)) taken from c
+    where (select sum(size) from d) - served + length > 0 group by row)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken from q left join f using (row)
 """
 
 
@@ -240,7 +249,8 @@ masks as (
         case when len(ws) < 200 then 'A' else '' end || case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end
         || case when 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) then 'C' else '' end
         || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when repeated then 'E' else '' end fails
-    from (select *, regexp_extract_all(text, '[^ 	-]+') ws from docs)
+    from (select *, regexp_extract_all(text, '[^ 	-
+]+') ws from docs)
 ),
 counted as (select part, fails, count(*) n, sum(good) good, sum(toxic) toxic from masks group by part, fails),
 letters as (select unnest(['A', 'B', 'C', 'D', 'E']) l),

@@ -401,7 +401,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, paired: int = _PAIRED, slice
     0.75, and would need thousands of them to find 99 % of the pairs. Texts without words are one group.
     The component is the smallest doc_id of the group, null for null ids alone; every row has a row.
     """
-    marks, named = _alike_nodes(numbered(docs.select("doc_id", "text")), size, paired, slice_rows)
+    marks, named = _alike_nodes(numbered(docs.select("doc_id", "text"))[0], size, paired, slice_rows)
     named = saved(named, "named")
     smallest = named.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
     lookup = named.select("node", "n", "root").join(smallest, "root").select("node", "n", "component_id")
@@ -414,7 +414,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Every row is judged by its own text: rows that repeat a doc_id stay if their texts are not alike, and rows without
     a doc_id are matched as others are, but stay only if their group has no doc_id.
     """
-    rows = numbered(docs)
-    _, named = _alike_nodes(rows, 5, _PAIRED, SLICE)
-    chosen = named.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least._row").alias("_row"))
-    return rows.join(chosen, "_row", "left_semi").drop("_row")
+    rows, row = numbered(docs)
+    _, named = _alike_nodes(rows.select(F.col(row).alias("_row"), "doc_id", "text"), 5, _PAIRED, SLICE)
+    chosen = named.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least._row").alias(row))
+    return rows.join(chosen, row, "left_semi").drop(row)

@@ -202,7 +202,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Every row is judged by its own text, also rows without a doc_id and rows that repeat one.
     """
-    rows = numbered(docs)
-    scored = Toxicity(docs, labels, train_rows()).score(rows.select(F.col("_row").alias("doc_id"), "text"))
-    bad = scored.where("predicted = 1").select(F.col("doc_id").alias("_row"))
-    return rows.join(bad, "_row", "left_anti").drop("_row")
+    rows, row = numbered(docs)
+    scored = Toxicity(docs, labels, train_rows()).score(rows.select(F.col(row).alias("doc_id"), "text"))
+    bad = scored.where("predicted = 1").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").drop(row)

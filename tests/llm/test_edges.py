@@ -16,7 +16,7 @@ from lumenlake.llm import (
     toxicity,
 )
 
-CLASHING = "chunk octets key size part node print words score features label rest vector turn kept taken weight n id".split()
+CLASHING = "chunk octets key size part node print words score features label rest vector turn kept taken weight n id _row virtual_finish rank round start row".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 LABELS = "doc_id long, quality int, toxic int"
 LONG = " ".join(f"word{k % 977} of{k % 13}" for k in range(30_000))
@@ -129,7 +129,8 @@ def test_stages(spark, odd, none, labels, bench, tmp_path, name, stage):
     assert out.columns[: len(odd.columns)] == odd.columns
     if name != "mixing":
         assert out.dtypes == odd.dtypes
-    assert out.count() > 0
+    out.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
     assert stage(spark, none, str(tmp_path)).count() == 0
 
 
