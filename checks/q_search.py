@@ -9,7 +9,7 @@ from checks.model import DAY, NOW, START, with_tables
 from checks.register import query
 from lumenlake.constants import LOG_LENGTH
 from lumenlake.functions.text import has_text, text_matches
-from lumenlake.operators import candidates, insights, paging, predicates, selections, spec_tables, specs
+from lumenlake.operators import candidates, insights, paging, predicates, selections, spec_index, spec_tables, specs
 from lumenlake.plans.presets import preset
 
 MIDDLE = START + 150 * DAY
@@ -663,3 +663,70 @@ def delete_selection(spark, sf):
         )
         .unionByName(report.select(existed, "selection_id", F.lit(1).cast("bigint").alias("n")))
     )
+
+
+# Thousands of stored specs, one for each customer, in seven forms: NOT, OR, empty trees and unknown values included.
+_VALUE = "cast(c_custkey * 7919 % 300 * 86400000 + 1704067200000 as string)"
+_SIZE = "cast(c_custkey * 104729 % 2000 * 100000 as string)"
+_SCORE = "cast(cast(c_custkey % 101 as double) / 100 as string)"
+
+
+def _and(*children: str) -> str:
+    return f"'{{\"type\":\"and\",\"children\":[' || {" || ',' || ".join(children)} || ']}}'"
+
+
+def _or(*children: str) -> str:
+    return _and(*children).replace('"and"', '"or"')
+
+
+def _not(child: str) -> str:
+    return f"'{{\"type\":\"not\",\"child\":' || {child} || '}}'"
+
+
+def _leaf(capability: str, field: str, value: str) -> str:
+    text = _json(capability, "eq", field, "@")
+    before, after = text.split("@")
+    return f"'{before}' || {value} || '{after}'"
+
+
+_DATE, _BIG = _leaf("query.date", "before", _VALUE), _leaf("metadata.core", "minFileSize", _SIZE)
+_POOR, _SHOT = _leaf("quality.visual", "maxQuality", _SCORE), _leaf("content.screenshot", "screenshot", "'true'")
+_BLUR, _FAVORITE = _leaf("quality.visual", "minBlur", _SCORE), _leaf("metadata.core", "favorite", "'true'")
+_PHOTO, _WRITTEN = _leaf("metadata.core", "mediaTypes", "'[\"photo\"]'"), _leaf("content.document", "document", "'true'")
+_WORDS = _leaf("text.ocr", "ocrTerms", "case when c_custkey % 2 = 0 then '[\"and the\",\"of\"]' else '[\"THÉ\"]' end")
+FORMS = [
+    (_and(_BIG, _not(_FAVORITE)), "file_size >= size and not favorite"),
+    (_or(_DATE, _SHOT), "created_at < value or coalesce(is_screenshot, false)"),
+    (_not(_or(_BLUR, _BIG)), "not (blur_score >= score or file_size >= size)"),
+    ("'{\"type\":\"and\",\"children\":[]}'", "true"),
+    (_and(_PHOTO, _or(_POOR, _not(_WRITTEN))), "media_type = 'photo' and (quality_score <= score or not has_text)"),
+    (_and(_WORDS, _not(_BLUR)), "case when c_custkey % 2 = 0 then w1 else w2 end and not (blur_score >= score)"),
+    ("'{\"type\":\"or\",\"children\":[]}'", "false"),
+]
+STORED = "case c_custkey % 7 " + " ".join(f"when {k} then {form}" for k, (form, _) in enumerate(FORMS)) + " end"
+
+
+@query(
+    "bulk_match_many",
+    with_tables(
+        ["plain"],
+        f"+ s as (select c_custkey, {_VALUE}::bigint as value, {_SIZE}::bigint as size, {_SCORE}::double as score from customer),"
+        f" p as materialized (select *, coalesce({phrase_sql('ocr_text', 'and the')} and {phrase_sql('ocr_text', 'of')}, false) as w1,"
+        f" coalesce({phrase_sql('ocr_text', 'the')}, false) as w2 from plain)"
+        " select c_custkey as spec_id, count(*) as n, min(id) as first_id, max(id) as last_id,"
+        " cast(sum(created_at // 86400000) as bigint) as days from s, p where case c_custkey % 7 "
+        + " ".join(f"when {k} then ({condition})" for k, (_, condition) in enumerate(FORMS))
+        + " end group by 1",
+    ),
+)
+def bulk_match_many(spark, sf):
+    """What each of thousands of stored specs finds; the plan is the same for any number of them."""
+    stored = M.table(spark, sf, "customer").selectExpr("c_custkey AS spec_id", f"{STORED} AS spec")
+    catalog = M.catalog(spark, sf)
+    found = spec_index.bulk_match_many(catalog, stored)
+    days = F.floor(F.col("created_at") / 86400000)
+    return (
+        found.join(catalog.assets.select("id", "created_at"), "id")
+        .groupBy("spec_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(days).alias("days"))
+    )
