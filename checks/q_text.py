@@ -239,8 +239,14 @@ def _day_sql(phrase: str) -> str:
     numbers = " ".join(f"when '{w}' then {n}" for w, n in R.NUMBER_WORDS.items())
     amount = f"(case {word} {numbers} else try_cast({word} as int) end)"
     unit = f"regexp_extract({phrase}, '{pattern}', 2)"
+    named = f"regexp_extract({phrase}, '({'|'.join(R.MONTHS)})', 1)"
+    number = f"coalesce(nullif(regexp_extract({phrase}, '\\b(\\d{{1,2}})\\b', 1), ''), '1')"
+    listed = ", ".join(f"'{m}'" for m in R.MONTHS)
+    month = f"lpad(list_position([{listed}], {named})::varchar, 2, '0')"
     return (
         f"case when {phrase} = 'today' then today when {phrase} = 'yesterday' then today - 1"
+        f" when regexp_full_match({phrase}, '{R.ISO_DAY}') then try_cast({phrase} as date)"
+        f" when {named} <> '' then try_cast(regexp_extract({phrase}, '(\\d{{4}})$', 1) || '-' || {month} || '-' || lpad({number}, 2, '0') as date)"
         f" when starts_with({unit}, 'day') then today - {amount} when starts_with({unit}, 'week') then today - 7 * {amount}"
         f" when starts_with({unit}, 'month') then cast(today - to_months({amount}) as date)"
         f" when starts_with({unit}, 'year') then cast(today - to_years({amount}) as date) end"
@@ -272,14 +278,15 @@ def calendar_ctes(source: str) -> str:
         f" when 'last month' then {_ms("date_trunc('month', today) - interval 1 month")} - 1"
         f" when 'last year' then {_ms("date_trunc('year', today) - interval 1 year")} - 1"
         f" when 'this year' then {_ms("date_trunc('year', today)")} - 1 when 'after day' then {_ms('d1 + 1')} - 1"
-        f" when 'rolling' then {_ms('d1')} - 1 when 'days' then {_ms('d1')} - 1 end as after_ms,"
+        f" when 'rolling' then {_ms('d1')} - 1 when 'days' then case when len(ph) = 1 or d2 is not null then {_ms('d1')} - 1 end end as after_ms,"
         f" case kind when 'before year' then {_ms('jan')} when 'last week' then {_ms("date_trunc('week', today)")}"
         f" when 'last month' then {_ms("date_trunc('month', today)")} when 'last year' then {_ms("date_trunc('year', today)")}"
-        f" when 'this year' then epoch_us(now) // 1000 + 1 when 'rolling' then epoch_us(now) // 1000 + 1"
-        f" when 'before day' then {_ms('d1')} when 'days' then {_ms('coalesce(d2, d1) + 1')}"
+        f" when 'this year' then epoch_us(now) // 1000 + 1 when 'rolling' then case when d1 is not null then epoch_us(now) // 1000 + 1 end"
+        f" when 'before day' then {_ms('d1')} when 'days' then case when len(ph) = 1 or d2 is not null then {_ms('coalesce(d2, d1) + 1')} end"
         f" when 'old' then {_ms('make_date(year(today) - 1, month(today), 1) + cast(day(today) - 1 as int)')}"
         f" + epoch_us(now) // 1000 - {_ms('today')} end as before_ms,"
-        f" kind = 'many' or (kind = 'none' and {has(R.OPEN_DATE, 'd')}) as date_ambiguous,"
+        f" kind = 'many' or (kind in ('before day', 'after day', 'rolling', 'days') and (d1 is null or (kind = 'days' and len(ph) > 1 and d2 is null)))"
+        f" or (kind = 'none' and {has(R.OPEN_DATE, 'd')}) as date_ambiguous,"
         f" case when kind like '% year' and yr <> '' then {once(R.YEAR_BOUND)} when period <> '' and yr = '' then {once(R.PERIOD)}"
         f" when kind = 'before day' then {once('\\bbefore\\b', 'nodays')} when kind = 'after day' then {once('\\bafter\\b', 'nodays')}"
         f" when kind = 'days' then {without(R.RANGE_WORDS, 'nodays')} when kind in ('rolling', 'many') then nodays"
@@ -304,6 +311,27 @@ def calendar_ranges(spark, sf):
     )
 
 
+NAMED_DAYS = (
+    "photos from march 2024|2024-05-01|before january 2023|after 2 february 2022|between 5 may 2023 and june 7, 2023"
+    "|fotos de marco 2024|31 february 2024|2023-13-40|videos before 7 dezembro 2021|july 4 1999|may I see"
+    "|between 2023-01-01 and yesterday|2 enero 2020 e 3 marzo 2021|between 1 may 2023 and 31 june 2023"
+)
+NAMED = M.pick(NAMED_DAYS, "o_orderkey", 1)
+
+
+@query(
+    "calendar_months",
+    f"with o as (select o_orderkey, lower(strip_accents({NAMED})) as t, o_orderdate as now from orders),"
+    f" {calendar_ctes('o')} select o_orderkey, after_ms, before_ms, date_ambiguous, t as date_rest from dated",
+)
+def calendar_months(spark, sf):
+    """Named months and absolute days, possible and impossible ones."""
+    orders = spread(M.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+    phrases = orders.selectExpr("o_orderkey", f"{NAMED} AS phrase", "o_orderdate AS now")
+    folded = phrases.withColumn("t", text.fold(F.col("phrase")))
+    return calendar_range(folded, "t", "now").select("o_orderkey", "after_ms", "before_ms", "date_ambiguous", "date_rest")
+
+
 # --- the whole row -------------------------------------------------------------------------
 
 
@@ -412,3 +440,24 @@ def plan_status(spark, sf):
     cleaned = intents.withColumn("prompt", F.trim("prompt"))
     planned = tagging.plan_status(cleaned, "prompt")
     return planned.select("event_id", "status", F.concat_ws(",", "notices").alias("notices"))
+
+
+RANKINGS = "newest|largest|least-important|most-redundant||worst-quality"
+
+
+@query(
+    "planned_action",
+    f"with {INTENT}, merged as (select *, false as best_shot, nullif({M.pick(RANKINGS, 'event_id', 1)}, '') as ranking from intent),"
+    f" {status_sql()}, r as (select *, case when status = 'ready' and ranking in ('least-important', 'most-redundant')"
+    " then 'unsupported' else status end as decided from planned)"
+    " select event_id, decided as status, notices, case when decided = 'ready' then case when action = 'delete' then 'trash'"
+    " when action in ('favorite', 'unfavorite', 'share') then action end end as planned_action,"
+    " coalesce(decided = 'ready' and action in ('delete', 'favorite', 'unfavorite', 'share'), false) as requires_confirmation from r",
+)
+def planned_action(spark, sf):
+    """What a ready plan does, after a confirmation; rankings that can't run make it unsupported."""
+    intents = tagging.classify_prompts(M.prompts(spark, sf), "prompt", "now", most_terms=R.MAX_TERMS)
+    ranked = intents.withColumn("ranking", F.expr(f"nullif({M.pick(RANKINGS, 'event_id', 1)}, '')"))
+    planned = tagging.plan_status(ranked.withColumn("prompt", F.trim("prompt")), "prompt")
+    notices = F.concat_ws(",", "notices").alias("notices")
+    return planned.select("event_id", "status", notices, "planned_action", "requires_confirmation")

@@ -1,7 +1,9 @@
 """Calendar phrases to exclusive millisecond bounds.
 
-A closed set: today, yesterday, N units ago, last week/month/year, this year,
-last N units, before/after a year or a day phrase, and "old". Days, weeks
+A closed set: today, yesterday, N units ago, a day like 2024-05-01, 5 may 2024 or
+may 5, 2024, a month and year (which stand for the month's first day), last
+week/month/year, this year, last N units, before/after a year or a day phrase, and
+"old". A day that no calendar has is ambiguous. Days, weeks
 (from Monday), months and years follow the session time zone; ``now`` is a
 timestamp Column, so every row may have its own clock. A phrase that goes back
 further than ``EARLIEST`` has no bounds and is ambiguous.
@@ -55,12 +57,18 @@ def _back(day: Column, amount: Column, unit: Column) -> Column:
 
 def _day_of(phrase: Column, today: Column) -> Column:
     """The day a phrase names."""
+    named = F.regexp_extract(phrase, f"({'|'.join(R.MONTHS)})", 1)
+    month = F.array_position(F.array(*map(F.lit, R.MONTHS)), named)
+    number = F.regexp_extract(phrase, r"\b(\d{1,2})\b", 1)
+    parts = (F.regexp_extract(phrase, r"(\d{4})$", 1), month.cast("string"), F.when(number == "", "1").otherwise(number))
     pattern = rf"{R.AMOUNT}\s+{R.UNIT}\s+ago"
     amount = _amount(F.regexp_extract(phrase, pattern, 1))
     unit = F.regexp_extract(phrase, pattern, 2)
     return (
         F.when(phrase == "today", today)
         .when(phrase == "yesterday", F.date_sub(today, 1))
+        .when(phrase.rlike(f"^{R.ISO_DAY}$"), F.try_to_date(phrase, "yyyy-MM-dd"))
+        .when(named != "", F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d"))
         .otherwise(_back(today, amount, unit))
     )
 
@@ -137,6 +145,10 @@ def calendar_range(df: DataFrame, text: str, now: str) -> DataFrame:
         .when(k == "days", _millis(F.date_add(F.coalesce("_end", "_start"), 1)))
         .when(k == "old", _year_before(clock))
     )
+    unreached = k.isin("before day", "after day", "rolling", "days") & (
+        F.col("_start").isNull() | ((k == "days") & (F.size("_phrases") > 1) & F.col("_end").isNull())
+    )
+    after, before = F.when(~unreached, after), F.when(~unreached, before)
     without_days = F.regexp_replace("_days", R.words(R.DAY_PHRASE), "")
     rest = (
         F.when(k.isin("before year", "after year"), drop_first(t, R.YEAR_BOUND))
@@ -148,9 +160,6 @@ def calendar_range(df: DataFrame, text: str, now: str) -> DataFrame:
         .when(k == "old", drop_first(t, R.OLD))
         .otherwise(F.col("_days"))
     )
-    unreached = k.isin("before day", "after day", "rolling", "days") & (
-        F.col("_start").isNull() | ((k == "days") & (F.size("_phrases") > 1) & F.col("_end").isNull())
-    )
     ambiguous = (k == "many") | unreached | ((k == "none") & F.col("_days").rlike(R.words(R.OPEN_DATE)))
     added = {"after_ms": after, "before_ms": before, "date_ambiguous": ambiguous, "date_rest": rest}
     df = df.withColumns(added)

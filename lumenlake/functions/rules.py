@@ -131,6 +131,18 @@ CALENDAR_WORDS = (
     (r"\b(antes de|antes del)\b", "before"),
     (r"\b(depois de|despues de|despues del)\b", "after"),
     (r"\b(entre)\b", "between"),
+    (r"\b(janeiro|enero)\b", "january"),
+    (r"\b(fevereiro|febrero)\b", "february"),
+    (r"\b(marco|marzo)\b", "march"),
+    (r"\b(abril)\b", "april"),
+    (r"\b(maio|mayo)\b", "may"),
+    (r"\b(junho|junio)\b", "june"),
+    (r"\b(julho|julio)\b", "july"),
+    (r"\b(agosto)\b", "august"),
+    (r"\b(setembro|septiembre)\b", "september"),
+    (r"\b(outubro|octubre)\b", "october"),
+    (r"\b(novembro|noviembre)\b", "november"),
+    (r"\b(dezembro|diciembre)\b", "december"),
 )
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "thirty": 30}
 AMOUNT = r"(\d+|one|two|three|four|five|six|seven|thirty)"
@@ -138,9 +150,16 @@ UNIT = r"(days?|weeks?|months?|years?)"
 YEAR_BOUND = r"\b(before|after)\s+(\d{4})\b"
 PERIOD = r"\b(last week|last month|last year|this year)\b"
 ROLLING = rf"\blast\s+{AMOUNT}\s+{UNIT}\b"
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+)
+ISO_DAY = r"\d{4}-\d{2}-\d{2}"
+_MONTH = f"(?:{'|'.join(MONTHS)})"
+MONTH_YEAR = rf"(?:\d{{1,2}}\s+)?{_MONTH}\s+\d{{4}}"
+MONTH_DAY_YEAR = rf"{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}"
 DAY_PHRASE = (
     r"\b(today|yesterday|(?:\d+|one|two|three|four|five|six|seven|thirty)"
-    r"\s+(?:days?|weeks?|months?|years?)\s+ago)\b"
+    rf"\s+(?:days?|weeks?|months?|years?)\s+ago|{ISO_DAY}|{MONTH_DAY_YEAR}|{MONTH_YEAR})\b"
 )
 OLD = r"\b(old|older|antig\w*|velh\w*|viejos?|antigu\w*)\b"
 OPEN_DATE = r"\b(before|after|between|last|ago)\b"
@@ -151,6 +170,9 @@ UNRESOLVED, SINGLE_TERM, RESOLVED = 0.35, 0.85, 0.96
 
 # fixed values: actions that are never executed
 UNAVAILABLE_ACTIONS = ("organize", "compare", "keep")
+# fixed values: orders that no search runs, and what a confirmed plan does
+UNAVAILABLE_RANKINGS = ("least-important", "most-redundant")
+PLANNED_ACTIONS = (("delete", "trash"), ("favorite", "favorite"), ("unfavorite", "unfavorite"), ("share", "share"))
 
 # fixed values: what a semantic concept adds to an intent
 SEMANTIC_FLAGS = {

@@ -317,7 +317,12 @@ def merge_semantic(df: DataFrame, from_similarity: float = R.SIMILARITY_FROM) ->
 
 
 def plan_status(df: DataFrame, text: str) -> DataFrame:
-    """Add ``status`` (ready, clarification, unsupported) and ``notices`` to intents."""
+    """Add ``status`` (ready, clarification, unsupported), ``notices`` and the planned action to intents.
+
+    A column ``ranking``, if there is one, names the order the request asks for; one that no search runs makes the plan
+    unsupported. ``planned_action`` is what a ready plan would do, and ``requires_confirmation`` says that it changes
+    assets; a search alone has no action.
+    """
     matched = F.col("matched") if "matched" in df.columns else F.lit(False)
     raw = F.trim(F.col(text))
     unclear = (raw.rlike(R.words(R.RAW_NEGATION)) & ~raw.rlike(R.words(R.RAW_FAVORITES))) | (F.col("unresolved") & ~matched)
@@ -335,14 +340,21 @@ def plan_status(df: DataFrame, text: str) -> DataFrame:
     )
     df = df.withColumn("_blocking", blocking)
     blocked = (F.size("concepts") > 0) | (F.size("_blocking") > 0)
+    asked = F.col("ranking") if "ranking" in df.columns else F.lit(None).cast("string")
+    unranked = F.coalesce(asked.isin(*R.UNAVAILABLE_RANKINGS), F.lit(False))
     open_ended = ~has_filters() & (F.col("cleanup") | F.col("free_space"))
     status = (
         F.when(unclear, "clarification")
         .when(blocked, "unsupported")
         .when(open_ended, "clarification")
+        .when(unranked, "unsupported")
         .otherwise("ready")
     )
     notices = (
         F.when(unclear, F.array().cast("array<string>")).when(blocked, F.col("_blocking")).otherwise(advisory)
     )
-    return df.withColumns({"status": status, "notices": notices}).drop("_blocking")
+    df = df.withColumns({"status": status, "notices": notices}).drop("_blocking")
+    known = [F.when(F.col("action") == name, F.lit(planned)) for name, planned in R.PLANNED_ACTIONS]
+    action = F.when(F.col("status") == "ready", F.coalesce(*known))
+    df = df.withColumn("planned_action", action)
+    return df.withColumn("requires_confirmation", F.col("planned_action").isNotNull())
