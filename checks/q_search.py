@@ -10,6 +10,7 @@ from checks.register import query
 from lumenlake.constants import LOG_LENGTH
 from lumenlake.functions.text import has_text, text_matches
 from lumenlake.operators import candidates, insights, paging, predicates, selections, spec_index, spec_tables, specs
+from lumenlake.operators.capabilities import Capability, Provider, Resolver, apply_resolved, default_resolver
 from lumenlake.plans.presets import preset
 
 MIDDLE = START + 150 * DAY
@@ -703,7 +704,7 @@ FORMS = [
     (_and(_WORDS, _not(_BLUR)), "case when c_custkey % 2 = 0 then w1 else w2 end and not (blur_score >= score)"),
     ("'{\"type\":\"or\",\"children\":[]}'", "false"),
 ]
-STORED = "case c_custkey % 7 " + " ".join(f"when {k} then {form}" for k, (form, _) in enumerate(FORMS)) + " end"
+CUSTOMER_SPECS = "case c_custkey % 7 " + " ".join(f"when {k} then {form}" for k, (form, _) in enumerate(FORMS)) + " end"
 
 
 @query(
@@ -721,7 +722,7 @@ STORED = "case c_custkey % 7 " + " ".join(f"when {k} then {form}" for k, (form,
 )
 def bulk_match_many(spark, sf):
     """What each of thousands of stored specs finds; the plan is the same for any number of them."""
-    stored = M.table(spark, sf, "customer").selectExpr("c_custkey AS spec_id", f"{STORED} AS spec")
+    stored = M.table(spark, sf, "customer").selectExpr("c_custkey AS spec_id", f"{CUSTOMER_SPECS} AS spec")
     catalog = M.catalog(spark, sf)
     found = spec_index.bulk_match_many(catalog, stored)
     days = F.floor(F.col("created_at") / 86400000)
@@ -730,3 +731,62 @@ def bulk_match_many(spark, sf):
         .groupBy("spec_id")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(days).alias("days"))
     )
+
+
+# Providers that bring a table of their own: labels answer the fields quality and toxic of a capability of theirs.
+def _number_equals(field, value):
+    return F.col({"quality": "quality", "toxic": "toxic"}[field]) == value if field in ("quality", "toxic") else None
+
+
+def _plugged(spark, sf) -> Resolver:
+    marks = M.table(spark, sf, "labels").selectExpr(f"{M.ID.replace(' AS id', ' AS asset')}", "quality", "toxic")
+    both = (("quality", "number"), ("toxic", "number"))
+    found = default_resolver()
+    found.register(Capability("label.review", dependencies=("metadata.core",)))
+    found.add_provider("label.review", Provider("better", both, priority=9, missing="MISSING_MODEL"))
+    found.add_provider("label.review", Provider("labels", both, _number_equals, marks, "asset", ("quality", "toxic")))
+    found.register(Capability("label.other", fallbacks=("label.none", "label.review")))
+    found.add_provider("visual.labels", Provider("guess", (("labels", "strings"),), degraded=True))
+    return found
+
+
+REVIEWED = specs.all_specs(
+    leaf("label.review", "eq", {"field": "quality", "value": 1}),
+    specs.not_spec(leaf("label.other", "eq", {"field": "toxic", "value": 1})),
+)
+
+
+@query(
+    "plugin_predicate",
+    with_tables(["assets"], "select a.id from assets a join labels l using (doc_id) where l.quality = 1 and not l.toxic = 1"),
+)
+def plugin_predicate(spark, sf):
+    """A spec over a plugged-in table: one leaf by its provider, one by a fallback to it."""
+    return apply_resolved(M.assets(spark, sf), REVIEWED, _plugged(spark, sf)).select("id")
+
+
+PLUGGED = (
+    "case doc_id % 3 when 0 then '"
+    + _json("label.review", "eq", "quality", "1")
+    + "' when 1 then '"
+    + _json("label.other", "eq", "toxic", "0")
+    + "' else '"
+    + _json("visual.labels", "containsAny", "labels", '["beach"]')
+    + "' end"
+)
+
+
+@query(
+    "plugin_coverage",
+    "select doc_id as spec_id, case when doc_id % 3 = 0 then 1::bigint else 0 end as available,"
+    " case when doc_id % 3 = 0 then 0::bigint else 1 end as degraded, 0::bigint as unavailable,"
+    " case when doc_id % 3 = 0 then 'complete' else 'degraded' end as status from documents"
+    " union all select -1 - doc_id, 0, 0, 1, 'unavailable' from documents",
+)
+def plugin_coverage(spark, sf):
+    """The resolver that runs plugged-in predicates also says which stored specs can run."""
+    documents = M.table(spark, sf, "documents")
+    stored = documents.selectExpr("doc_id AS spec_id", f"{PLUGGED} AS spec")
+    odd = _json("label.review", "eq", "people", '["a"]')
+    refused = documents.selectExpr("-1 - doc_id AS spec_id", f"'{odd}' AS spec")
+    return spec_tables.spec_coverage(stored.unionByName(refused), resolver=_plugged(spark, sf))

@@ -11,6 +11,8 @@ from checks.register import query
 from lumenlake.functions import rules as R
 from lumenlake.functions import signals, tagging, vectors
 from lumenlake.operators.analysis import capability_results
+from lumenlake.plans.parallel import spread
+from lumenlake.registry import Analyser, AnalyserRegistry
 
 GRID_CTE = f"g as (select vec_id, {GRID} as g from embeddings)"
 INNER = [y * 8 + x for y in range(1, 7) for x in range(1, 7)]
@@ -249,3 +251,37 @@ def stage_results(spark, sf):
         text_done=lang != "de",
     )
     return rows.select("doc_id", F.explode(results).alias("r")).select("doc_id", "r.*")
+
+
+# --- plugged-in analysers ------------------------------------------------------------------
+
+
+def _words(rows):
+    if any(k % 37 == 0 for k in rows["doc_id"]):
+        raise RuntimeError("some rows can't be analysed")
+    return rows.assign(n_words=[len((t or "").encode().split()) for t in rows["text"]])
+
+
+def _density(rows):
+    return rows.assign(density=[None if n == 0 else n / max(1, w) for n, w in zip(rows["n_chars"], rows["n_words"])])
+
+
+@query(
+    "plugin_signal",
+    "with w as (select doc_id, n_chars, doc_id % 37 = 0 as bad,"
+    " len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_words from documents)"
+    " select doc_id, case when not bad then n_words end as n_words,"
+    " case when not bad and n_chars <> 0 then n_chars::double / greatest(1, n_words) end as density,"
+    " case when bad then 'text.words failed FAILED,text.density failed UNAVAILABLE,text.none failed UNAVAILABLE'"
+    " when n_chars = 0 then 'text.words completed,text.density failed FAILED,text.none failed UNAVAILABLE'"
+    " else 'text.words completed,text.density completed,text.none failed UNAVAILABLE' end as results from w",
+)
+def plugin_signal(spark, sf):
+    """Analysers in batches: one raises on some rows, one depends on it, one isn't there."""
+    registry = AnalyserRegistry()
+    registry.register(Analyser("text.density", ("n_chars", "n_words"), {"density": "double"}, _density, 64, ("text.words",), "cheap"))
+    registry.register(Analyser("text.words", ("doc_id", "text"), {"n_words": "bigint"}, _words, 500))
+    documents = spread(M.table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
+    done = registry.run(documents, ["text.density", "text.words", "text.none"])
+    listed = F.transform("capability_results", lambda r: F.concat_ws(" ", r["capability_id"], r["status"], r["error"]))
+    return done.select("doc_id", "n_words", "density", F.concat_ws(",", listed).alias("results"))

@@ -16,7 +16,7 @@ from lumenlake.constants import (
     UNSUPPORTED_ENTITIES,
     UNSUPPORTED_EXCLUSIONS,
 )
-from lumenlake.registry import catalog_status
+from lumenlake.operators.capabilities import Resolver, default_resolver
 
 WALK = (
     "struct<nodes:int,depth:int,widest:int,leaves:array<struct<position:int,depth:int,negated:boolean,"
@@ -97,46 +97,26 @@ def spec_limits(specs: DataFrame, key: str = "spec_id", spec: str = "spec") -> D
     return walked.withColumn("too_complex", too_big)
 
 
-# fixed values: which field and kind of value a capability can execute; * takes any field
-EXECUTABLE = (
-    "query.date|before|number",
-    "query.date|after|number",
-    "metadata.core|mediaTypes|media",
-    "metadata.core|favorite|boolean",
-    "metadata.core|favorites|boolean",
-    "metadata.core|minFileSize|number",
-    "quality.visual|maxQuality|number",
-    "quality.visual|minBlur|number",
-    "text.ocr|ocrTerms|strings",
-    "text.ocr|ocrTerms|media",
-    "content.screenshot|*|boolean",
-    "content.document|*|boolean",
-    "duplicate.exact|*|boolean",
-    "similarity.perceptual|*|boolean",
-)
-
-
-def leaf_status(leaf: Column) -> Column:
-    """available, degraded or unavailable for one leaf (a struct of ``WALK``)."""
-    status = F.lit("unavailable")
-    for name, value in catalog_status().items():
-        status = F.when(leaf["capability"] == name, value).otherwise(status)
+def leaf_status(leaf: Column, statuses: dict[str, str]) -> Column:
+    """available, degraded or unavailable for one leaf (a struct of ``WALK``), by ``Resolver.statuses``."""
+    held = F.create_map(*[F.lit(x) for pair in statuses.items() for x in pair])
+    refused = F.coalesce(leaf["field"].isin(*UNSUPPORTED_EXCLUSIONS, *UNSUPPORTED_ENTITIES), F.lit(False))
     named = F.concat_ws("|", leaf["capability"], F.coalesce(leaf["field"], F.lit("")), leaf["kind"])
     wild = F.concat_ws("|", leaf["capability"], F.lit("*"), leaf["kind"])
-    refused = F.coalesce(leaf["field"].isin(*UNSUPPORTED_EXCLUSIONS, *UNSUPPORTED_ENTITIES), F.lit(False))
-    can = (named.isin(*EXECUTABLE) | wild.isin(*EXECUTABLE)) & ~refused
-    return F.when(can, status).otherwise("unavailable")
+    found = F.coalesce(F.try_element_at(held, named), F.try_element_at(held, wild), F.lit("unavailable"))
+    return F.when(refused, "unavailable").otherwise(found)
 
 
-def spec_coverage(specs: DataFrame, key: str = "spec_id", spec: str = "spec") -> DataFrame:
+def spec_coverage(specs: DataFrame, key: str = "spec_id", spec: str = "spec", resolver: Resolver | None = None) -> DataFrame:
     """Per stored spec: leaves that run, run degraded or cannot run, and the status of the whole.
 
-    One leaf that cannot run makes the whole spec unavailable; a spec without
-    leaves is complete, and one that can't be read is unreadable. Every spec has
-    its row: leaves are counted in their array, without exploding or a shuffle.
+    The resolver that runs specs is asked (the catalog's own by default). One leaf that cannot run makes the whole spec
+    unavailable; a spec without leaves is complete, and one that can't be read is unreadable. Every spec has its row:
+    leaves are counted in their array, without exploding or a shuffle.
     """
+    statuses = (resolver or default_resolver()).statuses()
     walked = specs.select(key, walk_spec(F.col(spec)).alias("_w"))
-    states = F.transform("_w.leaves", leaf_status)
+    states = F.transform("_w.leaves", lambda leaf: leaf_status(leaf, statuses))
     counted = walked.select(key, states.alias("_states"))
 
     def count(name: str) -> Column:
