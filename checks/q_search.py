@@ -790,3 +790,17 @@ def plugin_coverage(spark, sf):
     odd = _json("label.review", "eq", "people", '["a"]')
     refused = documents.selectExpr("-1 - doc_id AS spec_id", f"'{odd}' AS spec")
     return spec_tables.spec_coverage(stored.unionByName(refused), resolver=_plugged(spark, sf))
+
+
+@query(
+    "deep_page",
+    with_tables(
+        ["assets"],
+        "select id, position from (select id, row_number() over (order by created_at desc, id desc) as position, count(*) over () as n"
+        " from assets) where position > n // 2 and position <= n // 2 + 150",
+    ),
+)
+def deep_page(spark, sf):
+    """A page from the middle of all assets: only the slices that hold it are sorted."""
+    assets = M.assets(spark, sf)
+    return paging.deep_page(assets, [F.desc("created_at"), F.desc("id")], assets.count() // 2, 150).select("id", "position")

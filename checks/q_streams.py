@@ -16,7 +16,7 @@ from lumenlake.operators.staleness import completed_work
 from lumenlake.plans.two_stage import two_stage_run
 from lumenlake.session import scratch_path
 from lumenlake.sources.tables import read_snapshot
-from lumenlake.streaming import ingest, views
+from lumenlake.streaming import cluster_stream, ingest, views
 
 PARTS = 4
 
@@ -150,6 +150,55 @@ def stream_latest(spark, sf):
     return latest_by_key(spark.read.parquet(path), "user_id", "batch_id").drop("batch_id")
 
 
+@query(
+    "stream_latest_folded",
+    "select user_id, event_id, event_type, value from events"
+    " qualify row_number() over (partition by user_id order by event_id desc) = 1",
+)
+def stream_latest_folded(spark, sf):
+    """The same with the deltas folded every second batch: one snapshot and the last deltas are read."""
+    events = M.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    path = scratch_path(spark, "latest")
+    latest = views.stream_latest(as_stream(spark, events, "updates", "event_id"), "user_id", "event_id")
+    finish(views.latest_to(latest, path, scratch_path(spark, "latest-checkpoint"), "user_id", fold_every=2))
+    return views.read_latest(spark, path, "user_id", latest.schema).select(*events.columns)
+
+
+KEPT = (
+    "k as (select * from fresh where doc_id % 29 <> 0),"
+    " ke as (select content_hash, min(id) as representative_id, count(*) as n from k where content_hash is not null group by 1),"
+    " kv as (select visual_hash, min(id) as representative_id, count(*) as n from k where visual_hash is not null group by 1),"
+    " kb as (select *, ('0x' || visual_hash)::ubigint as h from kv)"
+)
+
+
+@query(
+    "stream_clusters",
+    with_tables(
+        ["fresh"],
+        f"+ {KEPT} select 'cluster-exact:' || content_hash as cluster_id, 'exact' as kind, representative_id, n as member_count"
+        " from ke where n > 1 union all select 'cluster-visual:android-v2:' || visual_hash, 'visual', representative_id, n"
+        " from kv where n > 1 union all select 'cluster-similar:' || a.visual_hash || ':' || b.visual_hash, 'similar',"
+        " least(a.representative_id, b.representative_id), a.n + b.n from kb a join kb b"
+        " on substr(a.visual_hash, 1, 4) = substr(b.visual_hash, 1, 4) and a.visual_hash < b.visual_hash"
+        " where bit_count(xor(a.h, b.h)) <= 8",
+    ),
+)
+def stream_clusters(spark, sf):
+    """Clusters kept over several batches, after which some assets are deleted and some come again unchanged."""
+    fresh = M.fresh(spark, sf)
+    doc_id = F.split("id", ":")[1].cast("bigint") - 1
+    rows = fresh.select("id", "content_hash", "visual_hash", F.lit(False).alias("gone"), F.lit(1).cast("bigint").alias("seq"), doc_id.alias("n"))
+    path, columns = scratch_path(spark, "clusters"), ["id", "content_hash", "visual_hash", "gone", "seq"]
+    finish(cluster_stream.start_clusters(as_stream(spark, rows.select(*columns), "hashes", "id"), path, scratch_path(spark, "clusters-checkpoint")))
+    nothing = F.lit(None).cast("string")
+    gone = rows.where("n % 29 = 0").withColumns({"content_hash": nothing, "visual_hash": nothing, "gone": F.lit(True)})
+    again = rows.where("n % 29 <> 0 and n % 31 = 0")
+    last = spark.read.parquet(f"{path}/changes").agg(F.max("batch_id")).first()[0]
+    cluster_stream.commit_batch(gone.unionByName(again).select(*columns), path, int(last) + 1)
+    return cluster_stream.current_clusters(spark, path)
+
+
 @query(
     "stream_insights",
     "select count(*) as seen, count_if(event_type = 'error') as failed,"

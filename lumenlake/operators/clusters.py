@@ -121,6 +121,43 @@ def _meeting_keys(width: int, radius: int) -> tuple[list[tuple[int, int]], list[
     return [(0, mask) for mask in _masks(width, 1)] + low, [(0, 0)] + high
 
 
+class ChunkKeys:
+    """Keys on which hashes of a bucket meet that are near enough in some chunk of their bits.
+
+    Every hash offers ``first`` keys to the ``second`` keys of the others. Two hashes meet exactly once for each chunk in
+    which they are near enough, and ``counted`` is true for the first of these, so no distinct is needed.
+    """
+
+    def __init__(self, digits: int, max_distance: int = NEAR_DISTANCE):
+        self.chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance)
+        self.marks = [(i, s, w, *_meeting_keys(w, r)) for i, (s, w, r) in enumerate(self.chunks)]
+
+    @staticmethod
+    def _chunk(bits: Column, shift: int, width: int) -> Column:
+        return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+    def _keys(self, bits: Column, i: int, shift: int, width: int, marks: list[tuple[int, int]]) -> Column:
+        own = self._chunk(bits, shift, width)
+        listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("m")) for t, m in marks])
+        return F.transform(
+            listed,
+            lambda k: F.struct(F.lit(i).alias("chunk"), k["t"].alias("tag"), own.bitwiseXOR(k["m"]).alias("value")),
+        )
+
+    def first(self, bits: Column) -> Column:
+        return F.concat(*[self._keys(bits, i, s, w, marks) for i, s, w, marks, _ in self.marks])
+
+    def second(self, bits: Column) -> Column:
+        return F.concat(*[self._keys(bits, i, s, w, marks) for i, s, w, _, marks in self.marks])
+
+    def counted(self, differing: Column, chunk: Column) -> Column:
+        answer = F.lit(True)
+        for i in range(1, len(self.chunks)):
+            missed = [F.bit_count(self._chunk(differing, s, w)) > r for s, w, r in self.chunks[:i]]
+            answer = F.when(chunk == i, all_of(missed)).otherwise(answer)
+        return answer
+
+
 def near_pairs(
     groups: DataFrame,
     bucket_digits: int | None,
@@ -140,7 +177,7 @@ def near_pairs(
     they are checkpointed first (this runs their aggregation).
     """
     digits = bucket_digits or 0
-    chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance)
+    plan = ChunkKeys(digits, max_distance)
     base = cut_lineage(
         groups.select(
             F.col(column).alias("hash"),
@@ -155,20 +192,7 @@ def near_pairs(
     # At most 16 ** digits rows (65536 by default), whatever the table size.
     marked = base.join(F.broadcast(hot) if digits <= LISTED_DIGITS else hot, "bucket", "left")
 
-    def chunk_of(bits: Column, shift: int, width: int) -> Column:
-        return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-
-    def keys_of(i: int, shift: int, width: int, marks: list[tuple[int, int]]) -> Column:
-        own = chunk_of(F.col("bits"), shift, width)
-        listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("m")) for t, m in marks])
-        return F.transform(
-            listed,
-            lambda k: F.struct(F.lit(i).alias("chunk"), k["t"].alias("tag"), own.bitwiseXOR(k["m"]).alias("value")),
-        )
-
-    planned = [(i, s, w, *_meeting_keys(w, r)) for i, (s, w, r) in enumerate(chunks)]
-    first_keys = F.concat(*[keys_of(i, s, w, first) for i, s, w, first, _ in planned])
-    second_keys = F.concat(*[keys_of(i, s, w, second) for i, s, w, _, second in planned])
+    first_keys, second_keys = plan.first(F.col("bits")), plan.second(F.col("bits"))
     whole = F.array(
         F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("tag"), F.lit(0).cast("bigint").alias("value"))
     )
@@ -182,10 +206,7 @@ def near_pairs(
         )
 
     differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    counted = F.lit(True)
-    for i in range(1, len(chunks)):
-        missed = [F.bit_count(chunk_of(differing, s, w)) > r for s, w, r in chunks[:i]]
-        counted = F.when(F.col("chunk") == i, all_of(missed)).otherwise(counted)
+    counted = plan.counted(differing, F.col("chunk"))
     distance = bit_distance(F.col("bits_a"), F.col("bits_b"))
     return (
         side(first_keys, "a")

@@ -18,7 +18,7 @@ from lumenlake.operators.specs import (
     ranking_of,
     wide_catalog,
 )
-from lumenlake.plans.ordering import ordered_totals, row_numbers
+from lumenlake.plans.ordering import prefix_totals, row_numbers, rows_between
 from lumenlake.registry import Ranking, Registry
 
 
@@ -48,17 +48,32 @@ def keyset_page(
     return rows.withColumn("sort_value", ranking.value).orderBy(*ranking.order(key)).limit(limit + 1)
 
 
+#: Up to so many rows, the first ones of an order are kept by every task on the way; beyond, slices are counted first.
+SHALLOW = 10_000
+
+
 def max_results(df: DataFrame, ranking: Ranking, count: int, key: str = "id") -> DataFrame:
-    """At most ``count`` rows over all pages of an order."""
-    return df.orderBy(*ranking.order(key)).limit(count)
+    """At most ``count`` rows over all pages of an order; a large count is cut from slices, by many tasks."""
+    order = ranking.order(key)
+    if count <= SHALLOW:
+        return df.orderBy(*order).limit(count)
+    return rows_between(df, order, 0, count).drop("position")
 
 
 def offset_page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """``limit`` rows of a total order after the first ``offset``, in order; see :func:`deep_page` for large offsets."""
     if offset < 0:
         raise ValueError("offset must not be negative")
+    if offset + limit > SHALLOW:
+        return deep_page(df, order, offset, limit).drop("position")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def deep_page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """A page at any depth, with the position of its rows: only the slices that hold it are sorted."""
+    return rows_between(df, order, offset, offset + limit).orderBy("position")
+
+
 def export_pages(df: DataFrame, order: Sequence[Column], page_size: int) -> DataFrame:
     """Add the page number (from 1) and position of every row of the whole order.
 
@@ -79,7 +94,7 @@ def recoverable_target(
     An extension: requests can state such a target, but a page search does not act on it.
     """
     known = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
-    summed = ordered_totals(df, order, {"running_bytes": known})
+    summed = prefix_totals(df, order, "running_bytes", known, target_bytes)
     return summed.where(F.col("running_bytes") - known < F.lit(target_bytes))
 
 

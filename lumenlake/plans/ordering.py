@@ -94,3 +94,44 @@ def row_numbers(
     joined = _join_slices(ranged, starts, group)
     position = F.col("_before") + F.col("_index") - F.col("_first") + 1
     return joined.select(*df.columns, position.alias(name))
+
+
+def rows_between(df: DataFrame, order: Sequence[Column], after: int, upto: int, name: str = "position") -> DataFrame:
+    """The rows whose 1-based position in a total order is above ``after`` and not above ``upto``, with it.
+
+    Rows are range-partitioned once and counted by slice; the counts, one for each partition, tell which slices hold the
+    wanted positions. Only these are sorted, so a deep page costs a pass over the rows and the sort of a slice or two.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    touched, before = [], 0
+    for row in ranged.groupBy("_slice").count().orderBy("_slice").collect():
+        if before < upto and before + row["count"] > after:
+            touched.append((row["_slice"], before))
+        before += row["count"]
+    if not touched:
+        return ranged.where(F.lit(False)).drop("_slice").withColumn(name, F.lit(0).cast("bigint"))
+    starts = F.create_map(*[F.lit(x) for pair in touched for x in pair])
+    mine = ranged.where(F.col("_slice").isin([s for s, _ in touched]))
+    within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    placed = mine.withColumn(name, (F.element_at(starts, F.col("_slice")) + within).cast("bigint"))
+    return placed.where((F.col(name) > after) & (F.col(name) <= upto)).drop("_slice")
+
+
+def prefix_totals(df: DataFrame, order: Sequence[Column], name: str, value: Column, bound: int) -> DataFrame:
+    """Rows of a total order with their running sum, up to the slice in which it reaches ``bound``; values are not negative.
+
+    Slices behind that one are summed but not sorted.
+    """
+    ranged = cut_lineage(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    touched, before = [], 0
+    for row in ranged.groupBy("_slice").agg(F.sum("_value").alias("s")).orderBy("_slice").collect():
+        if before < bound:
+            touched.append((row["_slice"], before))
+        before += row["s"] or 0
+    if not touched:
+        return ranged.where(F.lit(False)).select(*df.columns, F.lit(0).cast("bigint").alias(name))
+    starts = F.create_map(*[F.lit(x) for pair in touched for x in pair])
+    mine = ranged.where(F.col("_slice").isin([s for s, _ in touched]))
+    running = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = (F.element_at(starts, F.col("_slice")) + F.sum("_value").over(running)).cast("bigint")
+    return mine.withColumn(name, summed).select(*df.columns, name)

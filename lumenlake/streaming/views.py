@@ -8,9 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from lumenlake.operators.merges import latest_by_key
 from lumenlake.operators.staleness import needs_work
-from lumenlake.sources.tables import drop_old_snapshots, write_batch, write_snapshot
+from lumenlake.sources.tables import (
+    _filesystem,
+    drop_batches,
+    drop_old_snapshots,
+    read_snapshot,
+    snapshot_versions,
+    write_batch,
+    write_snapshot,
+)
 
 # fixed values: running counts and clusters are refreshed at most this often
 INSIGHT_INTERVAL = "1 second"
@@ -92,6 +102,46 @@ def updates_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+FOLD_EVERY = 10
+
+
+def latest_to(
+    df: DataFrame, path: str, checkpoint: str, key: str, trigger: dict | None = None, fold_every: int = FOLD_EVERY
+) -> StreamingQuery:
+    """Changed keys of every batch (output of :func:`stream_latest`), folded into one row for each key as it goes.
+
+    Every ``fold_every`` batches the deltas since the last fold become a new snapshot and are deleted once it is
+    complete; two snapshots stay, for readers that hold one. So the number of folders does not grow with the batches,
+    and a run that breaks off anywhere has either the deltas or the snapshot they are in. Read with :func:`read_latest`.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        write_batch(batch, f"{path}/updates", batch_id)
+        if (batch_id + 1) % fold_every == 0:
+            write_snapshot(read_latest(spark, path, key, batch.schema), f"{path}/folded", batch_id)
+            drop_batches(spark, f"{path}/updates", batch_id)
+            drop_old_snapshots(spark, f"{path}/folded", 2)
+
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(commit)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_latest(spark: SparkSession, path: str, key: str, schema: StructType) -> DataFrame:
+    """One row for each key, as of the last batch that :func:`latest_to` has stored."""
+    versions = snapshot_versions(spark, f"{path}/folded")
+    done = versions[-1] if versions else -1
+    files, folder = _filesystem(spark, f"{path}/updates/batch_id=*")
+    rows = read_snapshot(spark, f"{path}/folded", done).select(*schema.names).withColumn("batch_id", F.lit(done).cast("bigint")) if versions else None
+    if files.globStatus(folder):
+        held = StructType([*schema.fields, StructField("batch_id", LongType())])
+        updates = spark.read.schema(held).option("basePath", f"{path}/updates").parquet(f"{path}/updates").where(F.col("batch_id") > done)
+        rows = updates if rows is None else rows.unionByName(updates)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return latest_by_key(rows, key, "batch_id").drop("batch_id")
+
+
 def totals_to(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Replace a one-row table with every refresh; the default trigger limits the rate.
 
