@@ -8,16 +8,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import pieces, remainder, saved
 from lumenlake.plans.parallel import spread
 
 ORDER = 4
-#: Bounds of the training sample (documents of each language, of all, and languages) and of the model (n-grams of all languages).
-SAMPLE_ROWS, ALL_ROWS, MOST_LANGUAGES = 4_000, 40_000, 1_000
-MOST_NGRAMS = 1_000_000
+#: Bounds of the training sample: documents of each language, and of all, but never fewer than ``EACH`` of each. All of
+#: its n-grams make up the model.
+SAMPLE_ROWS, ALL_ROWS, EACH = 4_000, 40_000, 20
+#: Languages whose probabilities stand in one table.
+TABLE = 8
+#: One sampled document in so many is kept for the calibration.
+CHECK = 5
 UNKNOWN = "und"
 #: Share of the training documents that the rejection is calibrated to accept.
 ACCEPT = 0.995
@@ -27,11 +31,17 @@ _CHAR = np.uint64(16)
 
 @cache
 def _folded() -> np.ndarray:
-    """Lower-case letter of every code point, in 16 bits; 0 for everything that is no letter."""
+    """Lower-case letter of every code point, in 16 bits; 0 for everything that is no letter.
+
+    Letters above U+FFFF are numbered in turn through the codes that no letter has (surrogates and private use), so
+    they never meet those below, nor the next 8,447 of their own.
+    """
     table = np.zeros(0x110000, np.uint16)
+    above: dict[int, int] = {}
     for code in range(0x110000):
         if (char := chr(code)).isalpha():
-            table[code] = ord(char.lower()[0]) & 0xFFFF or 1
+            lower = ord(char.lower()[0])
+            table[code] = lower if lower <= 0xFFFF else 0xD800 + above.setdefault(lower, len(above)) % 0x2100
     return table
 
 
@@ -80,17 +90,22 @@ class _Count:
                 yield pa.RecordBatch.from_arrays(columns, ["label", "key", "n"])
 
 
+def letters_of(counts: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    """Number of different characters in n-gram counts."""
+    return len(np.unique(np.concatenate([np.unique(keys & np.uint64(0xFFFF)) for keys, _ in counts])))
+
+
 class Models:
-    """All languages' models in common sorted arrays: a row of probabilities for each n-gram any language has seen."""
+    """Models of some languages in common sorted arrays: a row of probabilities for each n-gram any of them has seen."""
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """``counts`` has (n-gram keys, counts) of each language."""
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int | None = None):
+        """``counts`` has (n-gram keys, counts) of each language, ``alphabet`` the characters of all languages."""
         self.keys, self.probabilities, self.contexts, self.weights = {}, {}, {}, {}
         own = {ORDER: counts}
         for order in range(ORDER - 1, 0, -1):
             mask = np.uint64((1 << 16 * order) - 1)
             own[order] = [np.unique(keys & mask, return_counts=True) for keys, _ in own[order + 1]]  # continuations
-        self.blank = 1 / (1 + len(np.unique(np.concatenate([k for k, _ in own[1]]))))
+        self.blank = 1 / (1 + (letters_of(counts) if alphabet is None else alphabet))
         for order in range(1, ORDER + 1):
             self._add(order, own[order])
         self.logs = np.log(self.probabilities[ORDER]).astype(np.float32)
@@ -148,15 +163,20 @@ def _confidence(entropies: np.ndarray, lengths: np.ndarray, sharpness: float) ->
 
 
 class _Identify:
-    def __init__(self, languages: list[str], models: Models, sharpness: float = 1.0, limit: float = np.inf):
+    def __init__(self, languages: list[str], models: list[Models], sharpness: float = 1.0, limit: float = np.inf):
         self.languages, self.models, self.sharpness, self.limit = languages, models, sharpness, limit
 
+    def _entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropies in all languages, table by table."""
+        parts = [m.entropies(texts) for m in self.models]
+        return np.concatenate([p[0] for p in parts], axis=1), parts[0][1], parts[0][2]
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             kept = [n for n in batch.schema.names if n != "text"]
             for a, b in pieces([len(t) for t in texts], _PIECE):
-                entropies, lengths, letters = self.models.entropies(texts[a:b])
+                entropies, lengths, letters = self._entropies(texts[a:b])
                 best, least = entropies.argmin(axis=1), entropies.min(axis=1)
                 score = np.where(letters > 0, _confidence(entropies, np.maximum(lengths, 1), self.sharpness), 0.0)
                 found = [self.languages[k] if n else UNKNOWN for k, n in zip(best.tolist(), letters.tolist())]
@@ -170,27 +190,36 @@ _FOUND = "lang_pred string, score double, entropy double, length long, accepted
 
 def _fit(docs: DataFrame, train: Column, rows: int) -> _Identify | None:
     known = docs.where(F.col("lang").isNotNull() & train).select("doc_id", F.col("lang").alias("label"))
-    sizes = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("label").count().orderBy("label").collect()
     if not sizes:
         return None
-    share = F.create_map(*chain(*((F.lit(r.label), F.lit(rows / r["count"])) for r in sizes)))
+    each = max(EACH, min(rows, ALL_ROWS // len(sizes)))
+    share = F.create_map(*chain(*((F.lit(r.label), F.lit(each / r["count"])) for r in sizes)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
-    even = known.where(place < share[F.col("label")]).select("doc_id", "label", (place / share[F.col("label")]).alias("place"))
-    chosen = even.orderBy("place", "doc_id").limit(ALL_ROWS).select("doc_id", "label").distinct()
-    sample = docs.where(train).select("doc_id", "text", F.col("lang").alias("label")).join(F.broadcast(chosen), ["doc_id", "label"], "left_semi")
-    sample = saved(spread(sample.select("text", "label")), "languages")
-    counted = sample.mapInArrow(_Count(), "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "label", "key").limit(MOST_NGRAMS).toPandas()
-    languages = sorted(rows["label"].unique())
+    # twice the share by a hash, so that a small language's documents are not left to chance; then exactly the first ones
+    even = known.where(place < 2 * share[F.col("label")]).select("doc_id", "label", place.alias("place")).distinct()
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("place", "doc_id"))
+    chosen = even.withColumn("turn", turn).where(F.col("turn") <= each)
+    chosen = chosen.select("doc_id", "label", ((F.col("turn") > 1) & (F.col("turn") % CHECK == 0)).alias("check"))
+    sample = docs.where(train).select("doc_id", "text", F.col("lang").alias("label")).join(F.broadcast(chosen), ["doc_id", "label"])
+    sample = saved(spread(sample.select("text", "label", "check")), "languages")
+    learn = sample.where("not check").select("text", "label")
+    counted = learn.mapInArrow(_Count(), "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("key", "n")))
+    packed = counted.groupBy("label").agg(listed.alias("grams")).select("label", "grams.key", "grams.n").orderBy("label")
+    languages, counts = [], []
+    for batch in packed.toArrow().to_batches():
+        for label, keys, n in zip(batch.column("label").to_pylist(), batch.column("key"), batch.column("n")):
+            keys, n = (x.values.to_numpy(zero_copy_only=False) for x in (keys, n))
+            order = np.argsort(keys.view(np.uint64))
+            languages.append(label)
+            counts.append((keys.view(np.uint64)[order], n[order]))
     if not languages:
         return None
-    counts = []
-    for language in languages:
-        mine = rows[rows["label"] == language]
-        keys = mine["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        counts.append((keys[order], mine["n"].to_numpy()[order]))
-    plain = _Identify(languages, Models(counts))
+    alphabet = letters_of(counts)
+    tables = [Models(counts[a : a + TABLE], alphabet) for a in range(0, len(counts), TABLE)]
+    sample = sample.where("check").select("text", "label")
+    plain = _Identify(languages, tables)
     check = sample.mapInArrow(plain, f"label string, {_FOUND}").select("label", "lang_pred", "score", "entropy", "length").where("length > 0")
     seen = check.select("length", "entropy", (F.col("label") == F.col("lang_pred")).cast("int").alias("right"), "score").toPandas()
     if not len(seen):
@@ -209,9 +238,11 @@ def identify(docs: DataFrame, train: Column | None = None, rows: int = SAMPLE_RO
     """doc_id, lang_pred, score and accepted of every whole text.
 
     The language is the one with the least cross-entropy per character; ``score`` is its calibrated share. A text is
-    ``accepted`` if its cross-entropy is one that ``ACCEPT`` of the training documents stay below: others are in none
-    of the languages. The models are fitted on about ``rows`` documents of each language (and
-    ``ALL_ROWS`` of all, evenly), chosen by a hash of the id, of those that ``train`` allows; only their ids are broadcast.
+    ``accepted`` if its cross-entropy is one that ``ACCEPT`` of the documents kept for the calibration stay below: others
+    are in none of the languages. The models are fitted on all n-grams of at most ``rows`` documents of each language
+    (and about ``ALL_ROWS`` of all, evenly, though ``EACH`` of each), chosen by a hash of the id, of those that ``train``
+    allows; only their ids are broadcast. One in ``CHECK`` of these is kept for the calibration. Every language that has
+    a training document has a model.
 
     A null text, or one without letters, is ``und`` with score 0 and not accepted; so is every text if nothing can be
     learnt. Null ids and repeated rows are judged by their text as any other. Ties go to the first language by name.

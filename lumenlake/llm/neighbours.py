@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 8_000, 300
 CODE_BITS, SUBSTRING_BITS = 256, 16
 #: Share of the sample's true neighbours that the radius reaches.
 REACH = 0.98
-#: Distinct vectors of one index, and distinct queries that probe it in one task.
-BLOCK, QUERIES = 16_384, 2_048
-_PROBE = 64
+#: Distinct vectors of one index, and distinct queries of one pass over all rows.
+BLOCK, QUERIES = 16_384, 16_384
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,57 +93,108 @@ class Codes:
 
 
 class Index:
-    """One block's codes: for each substring its distinct values, and the value of each row."""
+    """One block's codes: for each substring the buckets of its values, each a run of rows."""
 
     def __init__(self, codes: np.ndarray):
-        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def probe(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """(queries x rows): is the code within the radius?
-
-        Of codes that differ in at most ``radius`` bits, one substring differs in at most radius / substrings: only rows
-        in such a bucket of some substring can be hits. Their whole distance, the sum over substrings, decides.
+        self.codes, self.tables, self.touched = codes, [], 0
+        for j in range(codes.shape[1]):
+            order = np.argsort(codes[:, j], kind="stable")
+            values, starts = np.unique(codes[order, j], return_index=True)
+            self.tables.append((values, np.append(starts, len(order)), order))
+
+    @staticmethod
+    @cache
+    def _masks(bits: int) -> np.ndarray:
+        """All patterns of so many differing bits."""
+        every = np.arange(1 << SUBSTRING_BITS, dtype=np.uint16)
+        return every[np.bitwise_count(every) == bits]
+
+    def _buckets(self, query: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+        """Rows of the buckets that differ from the query in 0, 1, 2, ... bits of some substring."""
+        steps = range(SUBSTRING_BITS + 1)
+        patterns = sum(len(self._masks(b)) for b in steps[: radius // len(self.tables) + 1])
+        near = [None if patterns < len(v) else np.bitwise_count(v ^ own) for (v, _, _), own in zip(self.tables, query)]
+        for bits in steps:
+            rows = []
+            for (values, starts, order), own, distance in zip(self.tables, query, near):
+                if distance is None:
+                    wanted = own ^ self._masks(bits)
+                    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+                    at = at[values[at] == wanted]
+                else:  # fewer buckets than patterns of bits: their list is gone through, once
+                    at = np.flatnonzero(distance == bits)
+                lengths = starts[at + 1] - starts[at]
+                ends = np.cumsum(lengths)
+                rows.append(order[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(int(lengths.sum()))])
+            yield np.concatenate(rows)
+
+    def probe(self, query: np.ndarray, radius: int, least: int = 0) -> np.ndarray:
+        """Rows whose code is within the radius of the query's; if these are fewer than ``least``, within a larger one.
+
+        Of codes that differ in fewer than (s + 1) x substrings bits, one substring differs in at most s. So buckets are
+        looked up at 0, 1, 2, ... differing bits until all codes within the radius have been met, and only rows that
+        were met have their whole distance worked out. The radius grows a step at a time while there are too few.
         """
-        most = radius // len(self.tables)
-        size = len(self.tables[0][1])
-        met = np.zeros((len(queries), size), bool)
-        total = np.zeros((len(queries), size), np.uint16)
-        for j, (values, of) in enumerate(self.tables):
-            distance = np.bitwise_count(queries[:, j, None] ^ values)
-            met |= (distance <= most)[:, of]
-            total += distance[:, of]
-        return met & (total <= radius)
+        met = np.zeros(len(self.codes), bool)
+        distances = np.full(len(self.codes), 8 * self.codes.itemsize * self.codes.shape[1] + 1)
+        within = met
+        for bits, rows in enumerate(self._buckets(query, radius)):
+            new = np.zeros(len(met), bool)
+            new[rows] = True
+            new = np.flatnonzero(new & ~met)
+            met[new] = True
+            distances[new] = np.bitwise_count(self.codes[new] ^ query).sum(axis=1, dtype=np.int64)
+            sure = (bits + 1) * len(self.tables) - 1  # every code within this distance has been met
+            if sure >= radius:
+                within = distances <= radius
+                if within.sum() < least:
+                    within = distances <= sure
+                if within.sum() >= least:
+                    break
+        self.touched += int(met.sum())
+        return np.flatnonzero(within)
 
 
 class _Search:
-    """(key of the query, vec_id, score) of the ``k`` nearest of a block for each query of a group."""
-
-    def __init__(self, codes: Codes, k: int):
-        self.codes, self.k = codes, k
-
-    def __call__(self, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[bytes, int, float]] = []
-        if rows.num_rows and queries.num_rows:
-            vectors, wanted = _matrix(rows, "vector"), _matrix(queries, "asked")
-            ids, keys = rows.column("ids").to_pylist(), queries.column("key").to_pylist()
-            index = Index(self.codes.of(vectors))
-            probes = self.codes.of(wanted, query=True)
-            for a in range(0, len(wanted), _PROBE):
-                hits = index.probe(probes[a : a + _PROBE], self.codes.radius)
-                for q, hit in enumerate(hits, start=a):
-                    found = np.flatnonzero(hit)
-                    if len(found) < self.k:  # too few within the radius: the whole block is compared
-                        found = np.arange(len(vectors))
-                    scores = vectors[found] @ wanted[q]
-                    if len(found) > self.k:
-                        least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                        found = found[scores >= least]
-                    exact = (vectors[found] * wanted[q]).sum(axis=1)
-                    best = sorted((-s, i) for f, s in zip(found.tolist(), exact.tolist()) for i in ids[f])[: self.k]
-                    out += [(keys[q], i, -s) for s, i in best]
-        columns = list(zip(*out)) or [[]] * 3
+    """(key of the query, vec_id, score) of the ``k`` nearest among a task's rows, block by block, for each query of a pass."""
+
+    def __init__(self, codes: Codes, k: int, keys: list[bytes], asked: np.ndarray):
+        self.codes, self.k, self.keys, self.asked = codes, k, keys, asked
+
+    def _search(self, vectors: np.ndarray, ids: list[list[int]], best: list[list[tuple[float, int]]]) -> None:
+        index, probes = Index(self.codes.of(vectors)), self.codes.of(self.asked, query=True)
+        for q, probe in enumerate(probes):
+            found = index.probe(probe, self.codes.radius, self.k)
+            scores = vectors[found] @ self.asked[q]
+            if len(found) > self.k:
+                cut = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                found = found[scores >= cut - 1e-9 * max(1.0, abs(cut))]
+            exact = (vectors[found] * self.asked[q]).sum(axis=1)
+            more = [(-s, i) for f, s in zip(found.tolist(), exact.tolist()) for i in ids[f]]
+            best[q] = sorted(best[q] + more)[: self.k]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int]]] = [[] for _ in self.keys]
+        held, size = [], 0
+
+        def close() -> None:
+            table = pa.Table.from_batches(held)
+            self._search(_matrix(table, "vector"), table.column("ids").to_pylist(), best)
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                if held and size + part.num_rows > BLOCK:
+                    close()
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if size:
+            close()
+        rows = [(key, i, -s) for key, found in zip(self.keys, best) for s, i in found]
+        columns = list(zip(*rows)) or [[]] * 3
         kinds = (pa.binary(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("key", "vec_id", "score"), columns, kinds)})
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, wanted: Column, k: int = 20) -> DataFrame:
@@ -151,9 +202,10 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 20) -> DataFrame:
 
     ``vectors`` has vec_id and embedding. Nearness is the largest inner product in double precision, ties go to the
     smaller vec_id. Equal vectors are searched and found once: of each distinct vector the ``k + 1`` smallest ids can be
-    in a result, which is exact, however many copies there are. Distinct vectors stand in blocks, each indexed by the
-    substrings of its codes; every query probes every block, in groups of bounded size. A block with fewer than
-    ``k + 1`` codes within the radius is compared as a whole, so a query gets ``k`` rows wherever there are as many.
+    in a result, which is exact, however many copies there are. Distinct vectors stand where they are stored, in blocks
+    that are each indexed by the substrings of its codes; queries come to them, at most ``QUERIES`` in a pass over the
+    rows, so no vector is shuffled or copied for the search. A query looks up growing buckets until it has met every
+    code within the learned radius, and goes on while a block gave it fewer than ``k + 1``.
 
     Rows with a null id, a null or zero vector, or one with null or non-finite components take no part, and neither do
     vectors whose length is not the commonest one. Rows that share the query's id are its own. Without rows there is no
@@ -171,7 +223,6 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 20) -> DataFrame:
     ids = unique.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("first"))
     values = clean.groupBy("key").agg(F.min_by("vector", "vec_id").alias("vector"))
     nodes = saved(values.join(ids, "key"), "distinct_vectors")
-    count = nodes.count()
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     sample = nodes.orderBy(F.xxhash64("key")).limit(SAMPLE_ROWS).select("vector").collect()
     sample = np.array([r.vector for r in sample])
@@ -179,14 +230,18 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 20) -> DataFrame:
     codes.learn_radius(sample, k)
     asking = clean.where(wanted).select(F.col("vec_id").alias("query_id"), "key").distinct()
     counted = saved(asking.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "query_counts")
-    blocks = -(-count // BLOCK)
-    groups = max(1, -(-counted.count() // QUERIES))
-    rows = nodes.select("vector", "ids", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    probes = nodes.join(counted, "key", "left_semi").select(
-        "key", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("part")
-    )
-    search = _Search(codes, k + 1)
-    found = rows.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInArrow(lambda r, q: search(r, q), "key binary, vec_id long, score double")
+    passes = max(1, -(-counted.count() // QUERIES))
+    asked = nodes.join(counted, "key", "left_semi").select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(passes)).alias("pass"))
+    rows, found = spread(nodes.select("vector", "ids")), None
+    for number in range(passes):
+        mine = asked.where(F.col("pass") == number).orderBy("key").collect()
+        if mine:
+            search = _Search(codes, k + 1, [bytes(r.key) for r in mine], np.array([r.vector for r in mine]))
+            part = rows.mapInArrow(search, "key binary, vec_id long, score double")
+            part = part if passes == 1 else saved(part, "found")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     nearest_first = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("place", F.row_number().over(nearest_first)).where(F.col("place") <= k + 1)
     listed = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))

@@ -15,8 +15,8 @@ from lumenlake.llm.common import labelled, pieces, remainder, saved, texts_of
 from lumenlake.plans.parallel import spread
 
 KEEP = 0.7
-#: Bounds of what the model is fitted on: labelled documents, and lines and characters of one of them.
-SAMPLE_ROWS, FIT_LINES, FIT_CHARS = 4_000, 400, 50_000
+#: Bounds of what the model is fitted on: labelled documents, and runs of lines of one of them, spread over its whole text.
+SAMPLE_ROWS, RUNS, RUN_LINES = 4_000, 8, 50
 STEPS, ROUNDS, RATE, RIDGE = 80, 2, 0.15, 1e-3
 _PIECE = 2 << 20
 
@@ -162,36 +162,55 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
+def spread_runs(lines: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs of a text's lines that are fitted on: all of a short text, else ``RUNS`` from start to end."""
+    if lines <= RUNS * RUN_LINES:
+        return [(0, lines)]
+    starts = np.linspace(0, lines - RUN_LINES, RUNS).astype(int)
+    return [(a, a + RUN_LINES) for a in starts.tolist()]
+
+
+def _sampled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, runs, features) of whole texts: features of the lines of their runs, worked out among all lines."""
+    for batch in batches:
+        texts, runs, kept = texts_of(batch), [], []
+        for a, b in pieces([len(t) for t in texts], _PIECE):
+            features, counts, _ = line_features(texts[a:b])
+            for first, lines in zip((np.cumsum(counts) - counts).tolist(), counts.tolist()):
+                chosen = spread_runs(lines)
+                runs.append([y - x for x, y in chosen])
+                kept.append(np.concatenate([features[first + x : first + y] for x, y in chosen]).astype(np.float32).tobytes())
+        columns = [batch.column("doc_id"), batch.column("label"), pa.array(runs, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "runs", "features"])
+
+
 class Quality:
     """A fitted field and the curve from the length-weighted share of good lines to a probability."""
 
-    def __init__(self, texts: list[bytes], labels: np.ndarray):
-        self.chain, self.constant = Chain(), None
-        if not len(labels) or labels.min() == labels.max():
-            self.constant = float(labels[0]) if len(labels) else 0.0
-            return
-        held = np.arange(len(labels)) % 3 == 2
-        if min(len(set(labels[held].tolist())), len(set(labels[~held].tolist()))) < 2:
-            held[:] = False
-        self._fit([b"\n".join(t.split(b"\n")[:FIT_LINES]) for t, out in zip(texts, held) if not out], labels[~held])
-        share = self._shares(texts)
-        check = held if held.any() else ~held
-        self.curve = pool_adjacent(share[check], labels[check].astype(float))
-
-    def _fit(self, texts: list[bytes], labels: np.ndarray) -> None:
-        features, counts, _ = line_features(texts)
+    def __init__(self, constant: float | None = None):
+        self.chain, self.constant = Chain(), constant
+        self.curve = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+
+    def fit(self, features: np.ndarray, runs: np.ndarray, of: np.ndarray, labels: np.ndarray) -> None:
+        """Fit the field on runs of lines: their lengths, the document each belongs to, and the documents' labels."""
         self.chain.mean, self.chain.scale = features.mean(axis=0), np.maximum(features.std(axis=0), 1e-6)
         self.chain.mean[0], self.chain.scale[0] = 0, 1
         scaled = self.chain.scaled(features)
-        document = np.repeat(labels, counts).astype(float)
+        owner = np.repeat(of, runs)
+        document = labels[owner].astype(float)
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        sizes = np.diff(np.append(starts, len(owner)))
         lines = document
         for _ in range(ROUNDS):
-            self.chain.fit(scaled, counts, lines)
+            self.chain.fit(scaled, runs, lines)
             # a bad document may hold good lines: those the field is sure of count as good in the next round
-            good, _ = self.chain.marginals(scaled, counts)
+            good, _ = self.chain.marginals(scaled, runs)
             lines = np.where((document == 0) & (good > 0.9), 1.0, document)
-            worst = np.minimum.reduceat(lines, np.cumsum(counts) - counts)
-            lines = np.where(np.repeat((worst == 1) & (labels == 0), counts), document, lines)
+            worst = np.minimum.reduceat(lines, starts)
+            lines = np.where(np.repeat(worst == 1, sizes) & (document == 0), document, lines)
+
+    def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> None:
+        self.curve = pool_adjacent(shares, labels.astype(float))
 
     def _shares(self, texts: list[bytes]) -> np.ndarray:
         shares = np.empty(len(texts))
@@ -207,6 +226,12 @@ class Quality:
             return np.full(len(texts), self.constant)
         return np.interp(self._shares(texts), *self.curve)
 
+    def labelled_shares(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, label, share of good lines) of whole texts."""
+        for batch in batches:
+            shares = pa.array(self._shares(texts_of(batch)), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), shares], ["doc_id", "label", "share"])
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(self.scores(texts_of(batch)), pa.float64())
@@ -214,15 +239,31 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> Quality:
-    """The model from at most ``rows`` labelled documents.
+    """The model from at most ``rows`` labelled documents, two thirds for the field, the others for the curve.
 
-    The driver holds no more than these, and no more than ``FIT_LINES`` lines or ``FIT_CHARS`` characters of each.
+    Features and shares come from whole texts, in tasks. The driver holds the features of at most ``RUNS`` runs of
+    ``RUN_LINES`` lines of each document, spread from its first to its last line, and one share of each.
     """
-    sample = labelled(docs, labels, "quality", train, rows)
-    start = F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS)
-    lines = F.array_join(F.slice(F.split(start, "\n"), 1, FIT_LINES), "\n").alias("text")
-    found = saved(sample.select("doc_id", lines, "label"), "quality_sample").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-    return Quality([r.text.encode() for r in found], np.array([r.label for r in found], np.int64))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 2
+    sample = saved(spread(labelled(docs, labels, "quality", train, rows)).withColumn("held", held), "quality_sample")
+    sizes = {(r.held, r.label): r["count"] for r in sample.groupBy("held", "label").count().collect()}
+    classes = sorted({label for _, label in sizes})
+    if len(classes) < 2:
+        return Quality(float(classes[0]) if classes else 0.0)
+    split = all((side, label) in sizes for side in (True, False) for label in classes)
+    learn, check = (sample.where(~F.col("held")), sample.where("held")) if split else (sample, sample)
+    schema = "doc_id long, label int, runs array<int>, features binary"
+    found = learn.select("doc_id", "label", "text").mapInArrow(_sampled_lines, schema).collect()
+    found.sort(key=lambda r: (r.doc_id, bytes(r.features)))
+    features = np.concatenate([np.frombuffer(r.features, np.float32).reshape(-1, WIDTH) for r in found]).astype(np.float64)
+    runs = np.concatenate([np.array(r.runs, np.int64) for r in found])
+    of = np.repeat(np.arange(len(found)), [len(r.runs) for r in found])
+    model = Quality()
+    model.fit(features, runs, of, np.array([r.label for r in found], np.int64))
+    shares = check.select("doc_id", "label", "text").mapInArrow(model.labelled_shares, "doc_id long, label int, share double").collect()
+    shares.sort(key=lambda r: (r.doc_id, r.share))
+    model.calibrate(np.array([r.share for r in shares]), np.array([r.label for r in shares]))
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

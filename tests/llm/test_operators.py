@@ -388,11 +388,87 @@ def test_probing_is_exact():
     draw = np.random.default_rng(6)
     codes = draw.integers(0, 65536, (500, 16), np.uint16)
     queries = codes[:20] ^ (draw.random((20, 16)) < 0.3).astype(np.uint16)
-    found = neighbours.Index(codes).probe(queries, 20)
-    want = np.bitwise_count(queries[:, None] ^ codes[None]).sum(axis=2, dtype=int) <= 20
-    assert (found == want).all() and want.any()
+    distances = np.bitwise_count(queries[:, None] ^ codes[None]).sum(axis=2, dtype=int)
+    index = neighbours.Index(codes)
+    for radius in (0, 20, 45, 100):
+        for query, row in zip(queries, distances):
+            assert index.probe(query, radius).tolist() == np.flatnonzero(row <= radius).tolist()
+            more = index.probe(query, radius, 30)  # the radius grows until there are enough
+            assert len(more) >= 30 and row[more].max() < np.delete(row, more).min(initial=1000)
+    assert (distances <= 100).any()
 
 
+def test_a_clustered_set_is_hardly_touched():
+    draw = np.random.default_rng(2)
+    centres = draw.standard_normal((300, 32))
+    rows = (centres[:, None] + 0.08 * draw.standard_normal((300, 40, 32))).reshape(-1, 32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    codes = neighbours.Codes(rows[draw.choice(len(rows), 3000, replace=False)], float(np.linalg.norm(rows, axis=1).max()))
+    codes.learn_radius(rows[:3000], 20)
+    index, hits, queries = neighbours.Index(codes.of(rows)), 0, range(0, len(rows), 97)
+    for q, code in zip(queries, codes.of(rows[::97], query=True)):
+        found = index.probe(code, codes.radius, 21)
+        best = np.argsort(-(rows @ rows[q]))[:21]
+        hits += len(set(best.tolist()) & set(found.tolist()))
+    print("touched", index.touched / len(queries) / len(rows), "recall", hits / 21 / len(queries), "radius", codes.radius)
+    assert hits >= 0.9 * 21 * len(queries)
+    assert index.touched < 0.1 * len(queries) * len(rows)
+
+
+def test_bad_lines_behind_many_good_ones_count():
+    good = [f"A plain sentence of ordinary words number {k} stands here, as many do." for k in range(3000)]
+    bad = [f"|| $$ {k} !!! BUY|NOW ## %% {k * 7} !!" for k in range(3000)]
+    assert quality.spread_runs(400) == [(0, 400)]
+    runs = quality.spread_runs(6000)
+    assert runs[0] == (0, 50) and runs[-1] == (5950, 6000) and len(runs) == 8
+    batch = quality.pa.record_batch({"doc_id": [1], "label": [0], "text": ["\n".join(good + bad)]})
+    [out] = quality._sampled_lines(iter([batch]))
+    features = np.frombuffer(out.column("features")[0].as_py(), np.float32).reshape(-1, quality.WIDTH)
+    whole, _, _ = quality.line_features(["\n".join(good + bad).encode()])
+    assert out.column("runs")[0].as_py() == [50] * 8
+    assert np.allclose(features, np.concatenate([whole[a:b] for a, b in runs]), atol=1e-5)
+
+
+def test_quality_is_learnt_from_lines_behind_the_400th(spark):
+    draw = random.Random(3)
+    plain = lambda: " ".join(draw.choice(["a", "calm", "river", "runs", "by", "town"]) for _ in range(6)) + "."
+    junk = lambda: "|| $$ !!! BUY|NOW ## %% " + str(draw.randrange(10**6))
+    texts = []
+    for k in range(60):
+        lines = [plain() for _ in range(900)]
+        if k % 2:
+            lines[450:] = [junk() for _ in range(450)]
+        texts.append("\n".join(lines))
+    labels = spark.createDataFrame([(k, (k + 1) % 2) for k in range(60)], "doc_id long, quality int")
+    rows = quality.score_documents(_docs(spark, texts), labels).collect()
+    assert all(r.predicted == (r.doc_id + 1) % 2 for r in rows)
+
+
+def test_a_rare_language_keeps_its_model(spark):
+    """A language of ten documents among twenty large ones, and letters above U+FFFF."""
+    draw = random.Random(12)
+    alphabets = ["".join(chr(0x3041 + 7 * n + k) for k in range(9)) for n in range(20)]
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(2, 6)))
+    texts, langs = [], []
+    for n, letters in enumerate(alphabets):
+        for _ in range(60):
+            texts.append(" ".join(word(letters) for _ in range(40)))
+            langs.append(f"l{n:02}")
+    rare = [" ".join(word("".join(chr(0x1E900 + k) for k in range(12))) for _ in range(40)) for _ in range(10)]
+    texts, langs = texts + rare, langs + ["adlam"] * 10
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    rows = language_id.identify(docs).collect()
+    right = [r.lang_pred == langs[r.doc_id] for r in rows]
+    assert sum(right) >= 0.97 * len(rows)
+    assert all(r.lang_pred == "adlam" for r in rows if langs[r.doc_id] == "adlam")
+
+
+def test_letters_above_the_first_plane_do_not_meet_others():
+    folded = language_id._folded()
+    first = {int(folded[c]) for c in range(0x10000)}
+    adlam = [int(folded[c]) for c in range(0x1E922, 0x1E944)]
+    assert len(set(adlam)) == len(adlam) and not set(adlam) & first and 0 not in adlam
+
 def test_toxic_words_are_learnt(spark):
     draw = random.Random(13)
     plain = lambda: [f"word{draw.randrange(200)}" for _ in range(40)]
