@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator, Sequence
 from itertools import count
@@ -20,6 +21,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = np.iinfo(np.int64).max
 
 
+def _give_back() -> None:
+    """Let glibc hand freed arrays back to the system at once: idle Python workers then hold little memory."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(_MMAP_THRESHOLD, 1 << 20)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_MMAP_THRESHOLD = -3
+_give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -130,6 +143,14 @@ def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def parts(batches: Iterator[pa.RecordBatch], octets: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of about so many octets of text, so that what is made of one stays small."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        for a, b in pieces(sizes, octets):
+            yield batch.slice(a, b - a)
+
+
 def pieces(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs (first, end) of rows whose sizes add up to about ``most``, so that arrays over a run stay small."""
     first, size = 0, 0

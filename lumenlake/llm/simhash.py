@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import numbered, saved, texts_of
+from lumenlake.llm.common import numbered, parts, saved, texts_of
 from lumenlake.llm.components import components
 from lumenlake.plans.parallel import spread
 from lumenlake.plans.skew import join_lookup
@@ -76,7 +76,7 @@ class _Fingerprints:
         self.size, self.lanes = size, lanes
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             prints = [fingerprint(t, self.size, self.lanes).astype(">u8").tobytes() for t in texts_of(batch)]
             nodes = [int.from_bytes(p, "big") if self.lanes == 1 else xxhash.xxh64_intdigest(p) for p in prints]
             columns = [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))]
@@ -269,7 +269,7 @@ class _Marks:
         self.size = size
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingle_set(t, self.size) for t in texts_of(batch)]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             keys = [band_keys(x) for x in sets]
@@ -287,7 +287,7 @@ class _Sets:
         self.size = size
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingle_set(t, self.size).tobytes() for t in texts_of(batch)]
             nodes = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], ["node", "shingles"])
