@@ -78,6 +78,18 @@ def ids_of(batch: pa.RecordBatch | pa.Table, column: str = "doc_id") -> np.ndarr
     return batch.column(column).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
+def bucketed(rows: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder, bucketed by ``chunk``, and read it back."""
+    spark = rows.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"llm_{name}_{uuid.uuid4().hex}"
+    writer = rows.write.bucketBy(slots, "chunk").option("compression", "zstd").option("path", scratch_path(spark, name))
+    writer.saveAsTable(table_name)
+    chunks = spark.table(table_name)
+    spark.sql(f"DROP TABLE `{table_name}`")  # its files stay, and the frame knows them: nothing is left in the catalog
+    return chunks
+
+
 def chunked(docs: DataFrame, columns: list[str], text: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """Store documents in chunks of bounded size, bucketed by ``chunk``, without a shuffle.
 
@@ -85,18 +97,10 @@ def chunked(docs: DataFrame, columns: list[str], text: str = "text", chunk_bytes
     its own). The table is written bucketed by the chunk, so that later steps can cogroup the texts of a chunk with
     small answers for it while only the answers move. Columns: ``chunk``, the given columns, ``octets``.
     """
-    spark = docs.sparkSession
     slim = spread(docs.select(*columns))
     schema = f"chunk long, {', '.join(f'`{n}` {t}' for n, t in slim.dtypes)}, octets long"
     rows = slim.mapInArrow(_Cut(text, chunk_bytes), schema)
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"llm_chunks_{uuid.uuid4().hex}"
-    path = scratch_path(spark, "chunks")
-    writer = rows.write.bucketBy(slots, "chunk").option("compression", "zstd").option("path", path)
-    writer.saveAsTable(name)
-    chunks = spark.table(name)
-    spark.sql(f"DROP TABLE `{name}`")  # its files stay, and the frame knows them: nothing is left in the catalog
-    return chunks
+    return bucketed(rows, "chunks")
 
 
 class _Cut:

@@ -347,8 +347,11 @@ def test_exchange_raises_the_likelihood():
 
 
 def test_model_emissions_sum_to_one():
-    pairs = np.ones((2 + language_model.ENDINGS + 1,) * 2, np.int64)
-    model = language_model.Model({b"a": 0, b"b": 1}, np.array([5.0, 3.0]), {0: (7, 2), 1: (4, 4)}, 6, pairs)
+    both = np.zeros((language_model.CLASSES,) * 2, np.int64)
+    both[0, 1], both[1, 2], both[2, 63], both[63, 0], both[2, 2] = 7, 4, 4, 4, 9
+    distinct = np.zeros(language_model.CLASSES, np.int64)
+    distinct[[0, 1, 2, 63]] = 2, 3, 1, 1
+    model = language_model.Model(both, distinct)
     assert (10**model.transition).sum(axis=1) == pytest.approx(1)
     for c in np.flatnonzero(model.counts):
         seen = model.counts[c] - language_model.DISCOUNT * model.distinct[c]
