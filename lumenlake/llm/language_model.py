@@ -43,10 +43,10 @@ SWEEPS = 1
 #: Part of a count that a class gives to words it has not seen, and the weight of class frequencies in transitions.
 DISCOUNT, SMOOTH = 0.5, 20.0
 BASE = 0.1
-_CHUNK = 16 << 20
+_CHUNK = 6 << 20
 _SLICE = 1 << 15
 #: Words of chunks that one range of hashes holds, about.
-_RANGE = 1 << 20
+_RANGE = 1 << 19
 #: Counts of neighbours that a range weighs between two updates of its class counts, at most, and a range's least blocks.
 _BLOCK, _BLOCKS = 1 << 14, 32
 _END_KEY, _END_MORE = np.frombuffer(xxhash.xxh3_128_digest(END), "<u8").tolist()
@@ -75,7 +75,7 @@ def _each(batches: Iterator[pa.RecordBatch], **kinds: type) -> Iterator[tuple]:
     """(chunk, array, array, ...) of every row, the arrays of the named columns; null is empty."""
     for batch in batches:
         for k in range(batch.num_rows):
-            arrays = (np.frombuffer(batch.column(c)[k].as_py() or b"", kind) for c, kind in kinds.items())
+            arrays = (np.frombuffer(batch.column(c)[k].as_buffer() or b"", kind) for c, kind in kinds.items())
             yield batch.column("chunk")[k].as_py(), *arrays
 
 
