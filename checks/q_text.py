@@ -9,7 +9,9 @@ from checks.register import query
 from lumenlake.functions import rules as R
 from lumenlake.functions import tagging, text
 from lumenlake.functions.calendar import calendar_range
+from lumenlake.operators import phrase_index
 from lumenlake.plans.parallel import spread
+from lumenlake.session import scratch_path
 
 STRIPPED = "trim(regexp_replace(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
@@ -461,3 +463,40 @@ def planned_action(spark, sf):
     planned = tagging.plan_status(ranked.withColumn("prompt", F.trim("prompt")), "prompt")
     notices = F.concat_ws(",", "notices").alias("notices")
     return planned.select("event_id", "status", notices, "planned_action", "requires_confirmation")
+
+
+INDEXED_TERMS = ["and the", "OF", "thé"]
+
+
+@query(
+    "indexed_phrases",
+    "with t as (select doc_id, ' ' || " + STRIPPED.format(c="text") + " || ' ' as padded from documents)"
+    " select doc_id from t where contains(padded, ' and the ') and contains(padded, ' of ') and contains(padded, ' the ')",
+)
+def indexed_phrases(spark, sf):
+    return phrase_index.phrase_matches(_phrase_index(spark, sf), INDEXED_TERMS, "doc_id")
+
+
+@query(
+    "phrase_postings",
+    "with w as (select doc_id, string_split(" + STRIPPED.format(c="text") + ", ' ') as t from documents where text is not null),"
+    " p as (select doc_id, unnest(t) as token, unnest(range(len(t))) as place from w)"
+    " select token, count(distinct doc_id) as texts, count(*) as occurrences, sum(place)::bigint as places"
+    " from p where token <> '' group by token",
+)
+def phrase_postings(spark, sf):
+    index = _phrase_index(spark, sf)
+    sizes = F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + F.size(e["positions"]))
+    summed = F.aggregate(
+        "entries", F.lit(0).cast("bigint"), lambda a, e: F.aggregate(e["positions"], a, lambda b, p: b + p)
+    )
+    return index.groupBy("token").agg(
+        F.sum(F.size("entries")).alias("texts"), F.sum(sizes).alias("occurrences"), F.sum(summed).alias("places")
+    )
+
+
+def _phrase_index(spark, sf):
+    """The index of all documents, written and read back: the plan of a search reads no text."""
+    path = scratch_path(spark, "phrase_index")
+    phrase_index.write_phrase_index(phrase_index.build_phrase_index(M.written(spark, sf), 16, "doc_id", "text"), path)
+    return spark.read.parquet(path)
