@@ -28,6 +28,10 @@ HOT_BUCKET = 32_768
 # Up to this many leading digits the list of buckets itself is small (16 ** 5 rows).
 LISTED_DIGITS = 5
 CHUNK_BITS = 12
+# Hashes that are compared with as many others in one task.
+LARGEST_KEY = 4_096
+# Crowded keys that are broadcast; a longer list is joined by key.
+LISTED_KEYS = 65_536
 
 
 def with_hashes(assets: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -80,13 +84,13 @@ def visual_clusters(fresh: DataFrame) -> DataFrame:
     return _clusters(fresh, "visual", "visual_hash", VISUAL_GENERATION)
 
 
-def _probe_plan(bits: int, max_distance: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of chunks covering the low ``bits``.
+def _probe_plan(bits: int, max_distance: int, chunk_bits: int = CHUNK_BITS) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of chunks of at least ``chunk_bits`` covering the low ``bits``.
 
     Two values within ``max_distance`` differ by at most ``radius`` in some
     chunk: otherwise the differences would add up to more than ``max_distance``.
     """
-    count = max(1, bits // CHUNK_BITS)
+    count = max(1, bits // chunk_bits)
     edges = [bits * i // count for i in range(count + 1)]
     spare = max(0, max_distance - count + 1)
     return [
@@ -95,6 +99,16 @@ def _probe_plan(bits: int, max_distance: int) -> list[tuple[int, int, int]]:
     ]
 
 
+def chunk_widths(bits: int, max_distance: int) -> list[int]:
+    """Chunk widths to choose from, ascending: the default and wider ones whose chunks need at most two flips."""
+    widths = [CHUNK_BITS]
+    for count in range(bits // CHUNK_BITS - 1, 0, -1):
+        width = bits // count
+        if width > widths[-1] and all(r <= 2 for _, _, r in _probe_plan(bits, max_distance, width)):
+            widths.append(width)
+    return widths
+
+
 def _masks(width: int, radius: int) -> list[int]:
     return [
         sum(1 << bit for bit in picked)
@@ -128,16 +142,16 @@ class ChunkKeys:
     which they are near enough, and ``counted`` is true for the first of these, so no distinct is needed.
     """
 
-    def __init__(self, digits: int, max_distance: int = NEAR_DISTANCE):
-        self.chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance)
+    def __init__(self, digits: int, max_distance: int = NEAR_DISTANCE, chunk_bits: int = CHUNK_BITS):
+        self.chunks = _probe_plan(HASH_BITS - 4 * digits, max_distance, chunk_bits)
         self.marks = [(i, s, w, *_meeting_keys(w, r)) for i, (s, w, r) in enumerate(self.chunks)]
 
     @staticmethod
     def _chunk(bits: Column, shift: int, width: int) -> Column:
         return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
-    def _keys(self, bits: Column, i: int, shift: int, width: int, marks: list[tuple[int, int]]) -> Column:
-        own = self._chunk(bits, shift, width)
+    @staticmethod
+    def _offered(own: Column, i: int, marks: list[tuple[int, int]]) -> Column:
         listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("m")) for t, m in marks])
         return F.transform(
             listed,
@@ -145,10 +159,35 @@ class ChunkKeys:
         )
 
     def first(self, bits: Column) -> Column:
-        return F.concat(*[self._keys(bits, i, s, w, marks) for i, s, w, marks, _ in self.marks])
+        return F.concat(*[self._offered(self._chunk(bits, s, w), i, marks) for i, s, w, marks, _ in self.marks])
 
     def second(self, bits: Column) -> Column:
-        return F.concat(*[self._keys(bits, i, s, w, marks) for i, s, w, _, marks in self.marks])
+        return F.concat(*[self._offered(self._chunk(bits, s, w), i, marks) for i, s, w, _, marks in self.marks])
+
+    def crowded(self, hashes: DataFrame, largest: int) -> DataFrame:
+        """(bucket, chunk, tag, value, n_a, n_b): every key with more than ``largest`` hashes on a side, and a bound of its sides.
+
+        Counted from the distinct chunk values, of which only the busy ones are kept: values that are not busy add at most
+        half of ``largest`` to a key, so a key that no busy value reaches, or for which they add up to less than half, is small.
+        """
+        own = F.array(*[
+            F.struct(F.lit(i).alias("chunk"), self._chunk(F.col("bits"), s, w).alias("value")) for i, s, w, _, _ in self.marks
+        ])
+        values = hashes.select("bucket", F.explode(own).alias("_v")).groupBy("bucket", "_v.chunk", "_v.value")
+        least = F.array(*[F.lit(largest / (2 * max(len(first), len(second)))) for _, _, _, first, second in self.marks])
+        busy = values.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.get(least, F.col("chunk")))
+
+        def reached(first: bool) -> DataFrame:
+            keys = F.lit(None)
+            for i, _, _, *sides in self.marks:
+                keys = F.when(F.col("chunk") == i, self._offered(F.col("value"), i, sides[0 if first else 1])).otherwise(keys)
+            n, none = F.col("n"), F.lit(0).cast("bigint")
+            rows = busy.select("bucket", F.explode(keys).alias("_k"), (n if first else none).alias("a"), (none if first else n).alias("b"))
+            return rows.select("bucket", "_k.chunk", "_k.tag", "_k.value", "a", "b")
+
+        summed = reached(True).unionByName(reached(False)).groupBy("bucket", "chunk", "tag", "value")
+        totals = summed.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+        return totals.where(F.greatest("n_a", "n_b") > largest / 2)
 
     def counted(self, differing: Column, chunk: Column) -> Column:
         answer = F.lit(True)
@@ -158,26 +197,36 @@ class ChunkKeys:
         return answer
 
 
+_KEY = ["bucket", "chunk", "tag", "value"]
+
+
 def near_pairs(
     groups: DataFrame,
     bucket_digits: int | None,
     max_distance: int = NEAR_DISTANCE,
     hot_bucket: int = HOT_BUCKET,
     column: str = "visual_hash",
+    largest_key: int = LARGEST_KEY,
+    widths: list[int] | None = None,
 ) -> DataFrame:
     """Pairs of distinct hashes within ``max_distance``, as (hash_a < hash_b).
 
     ``groups`` is :func:`hash_groups`. Only hashes with the same leading
     ``bucket_digits`` are compared; None compares all and misses no pair. A bucket of up to
     ``hot_bucket`` hashes is compared directly. A larger one is joined on
-    12-bit chunks instead: near hashes agree up to a small radius in some chunk,
+    chunks of its bits instead: near hashes agree up to a small radius in some chunk,
     and each side offers keys such that two hashes meet once per chunk in which
     they are near enough, and otherwise never. Only the first such chunk counts,
-    hence no distinct is needed. The distinct hashes are read three times, so
-    they are checkpointed first (this runs their aggregation).
+    hence no distinct is needed. Chunks are as wide as the bucket's size asks for (``widths`` to choose from,
+    :func:`chunk_widths` by default), so that a key holds about ``largest_key`` hashes of evenly spread ones.
+    Keys with more, and whole buckets, are cut into slices of that size, and each pair of slices is compared on its own.
+
+    The distinct hashes are read several times, so they are checkpointed first (this runs their aggregation); the few
+    crowded keys are counted and stored, too.
     """
     digits = bucket_digits or 0
-    plan = ChunkKeys(digits, max_distance)
+    widths = widths or chunk_widths(HASH_BITS - 4 * digits, max_distance)
+    plans = {w: ChunkKeys(digits, max_distance, w) for w in widths}
     base = cut_lineage(
         groups.select(
             F.col(column).alias("hash"),
@@ -187,30 +236,57 @@ def near_pairs(
             F.substring(F.col(column), 1, digits).alias("bucket"),
         )
     )
-    hot = base.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_bucket)
-    hot = hot.select("bucket", F.lit(True).alias("_hot"))
+    sizes = base.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
+    width = F.lit(widths[-1])
+    for w in reversed(widths[:-1]):
+        width = F.when(F.col("_size") <= largest_key << w, w).otherwise(width)
+    hot = sizes.where(F.col("_size") > hot_bucket).select("bucket", width.alias("_width"))
     # At most 16 ** digits rows (65536 by default), whatever the table size.
     marked = base.join(F.broadcast(hot) if digits <= LISTED_DIGITS else hot, "bucket", "left")
 
-    first_keys, second_keys = plan.first(F.col("bits")), plan.second(F.col("bits"))
     whole = F.array(
         F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("tag"), F.lit(0).cast("bigint").alias("value"))
     )
-
-    def side(keys: Column, suffix: str) -> DataFrame:
-        opened = marked.withColumn("_k", F.explode(F.when(F.col("_hot"), keys).otherwise(whole)))
-        return opened.select(
+    large = sizes.where(F.col("_size").between(largest_key + 1, hot_bucket))
+    crowded = large.select("bucket", F.inline(whole), (F.col("_size") / 2).alias("n_a"), (F.col("_size") / 2).alias("n_b"))
+    for w, plan in plans.items():
+        crowded = crowded.unionByName(plan.crowded(marked.where(F.col("_width") == w), largest_key))
+    # A slice holds half of a key's share of busy values, which leaves room for the values not counted.
+    slices = [
+        F.greatest(F.lit(1), F.ceil(F.col(f"n_{side}") * 2 / largest_key).cast("int")).alias(f"slices_{side}") for side in "ab"
+    ]
+    busiest = sizes.agg(F.max("_size")).first()[0] or 0
+    few = 0
+    if busiest > min(hot_bucket, largest_key):
+        crowded = cut_lineage(crowded.select(*_KEY, *slices))
+        few = crowded.limit(LISTED_KEYS + 1).count()
+
+    def side(name: str, other: str) -> DataFrame:
+        keys = whole
+        for w, plan in plans.items():
+            offered = (plan.first if name == "a" else plan.second)(F.col("bits"))
+            keys = F.when(F.col("_width") == w, offered).otherwise(keys)
+        opened = marked.withColumn("_k", F.explode(keys)).select(
             "bucket",
             *[F.col(f"_k.{c}").alias(c) for c in ("chunk", "tag", "value")],
-            *[F.col(c).alias(f"{c}_{suffix}") for c in ("hash", "bits", "n", "first")],
+            *[F.col(c).alias(f"{c}_{name}") for c in ("hash", "bits", "n", "first")],
+            *(["_width"] if name == "a" else []),
         )
+        if not few:
+            return opened
+        listed = opened.join(F.broadcast(crowded) if few <= LISTED_KEYS else crowded, _KEY, "left")
+        own = F.pmod(F.xxhash64(f"hash_{name}"), F.coalesce(f"slices_{name}", F.lit(1))).cast("int").alias(f"_slice_{name}")
+        met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"slices_{other}"), F.lit(1)) - 1))
+        return listed.select(*opened.columns, own, met.alias(f"_slice_{other}"))
 
     differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    counted = plan.counted(differing, F.col("chunk"))
+    counted = F.lit(True)
+    for w, plan in plans.items():
+        counted = F.when(F.col("_width") == w, plan.counted(differing, F.col("chunk"))).otherwise(counted)
     distance = bit_distance(F.col("bits_a"), F.col("bits_b"))
     return (
-        side(first_keys, "a")
-        .join(side(second_keys, "b"), ["bucket", "chunk", "tag", "value"])
+        side("a", "b")
+        .join(side("b", "a"), [*_KEY, *(["_slice_a", "_slice_b"] if few else [])])
         .where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance) & counted)
         .select(
             "hash_a",

@@ -57,6 +57,50 @@ def test_near_pairs_expand_to_brute_force(spark, digits, hot):
     assert expanded == near_ids(hashes, digits or 0)
 
 
+@pytest.mark.parametrize("listed", [0, 65_536])
+@pytest.mark.parametrize("digits,hot,largest,widths", [
+    (4, 1024, 5, None), (4, 3, 4, [12]), (4, 3, 4, [16]), (2, 1, 3, None), (None, 1, 6, [12]), (None, 1, 6, [16]), (None, 1, 6, [21]),
+])
+def test_wider_chunks_and_slices_of_crowded_keys_lose_no_pair(spark, monkeypatch, digits, hot, largest, widths, listed):
+    monkeypatch.setattr(clusters, "LISTED_KEYS", listed)
+    hashes = sorted(set(clustered_hashes(140, seed=11)))
+    groups = clusters.hash_groups(fresh_table(spark, hashes), "visual_hash")
+    pairs = clusters.near_pairs(groups, digits, hot_bucket=hot, largest_key=largest, widths=widths).collect()
+    found = [(p.hash_a, p.hash_b) for p in pairs]
+    expected = {
+        (a, b) for a, b in combinations(hashes, 2) if a[: digits or 0] == b[: digits or 0] and distance(a, b) <= 8
+    }
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_chunks_get_wider_while_two_flips_are_enough():
+    assert clusters.chunk_widths(64, 8) == [12, 16, 21]
+    assert clusters.chunk_widths(48, 8) == [12, 16]
+    for bits, width in ((64, 16), (64, 21), (48, 16)):
+        plan = clusters._probe_plan(bits, 8, width)
+        assert sum(w for _, w, _ in plan) == bits and sum(r + 1 for _, _, r in plan) > 8
+
+
+def test_no_key_is_larger_than_its_slices_allow(spark):
+    """Hashes that agree in most chunks: every key that more than the limit meet on is listed, with enough slices."""
+    rng, largest = random.Random(5), 24
+    hashes = [f"{(0xABCD << 48) | rng.getrandbits(9) << rng.choice([0, 20]) | rng.getrandbits(3) << 40:016x}" for _ in range(600)]
+    rows = spark.createDataFrame([(h, h[:4]) for h in sorted(set(hashes))], "hash string, bucket string")
+    rows = rows.withColumn("bits", clusters.hash_bits(F.col("hash")))
+    plan = clusters.ChunkKeys(4)
+    listed = {(r.chunk, r.tag, r.value): r for r in plan.crowded(rows, largest).collect()}
+    crowded = 0
+    for name, keys in (("n_a", plan.first(F.col("bits"))), ("n_b", plan.second(F.col("bits")))):
+        counts = rows.select(F.explode(keys).alias("k")).groupBy("k.chunk", "k.tag", "k.value").count().collect()
+        for r in counts:
+            if r["count"] > largest:
+                crowded += 1
+            counted = listed.get((r.chunk, r.tag, r.value))
+            slices = max(1, -(-2 * counted[name] // largest)) if counted else 1
+            assert r["count"] <= slices * largest
+    assert crowded > 10
+
+
 def test_memberships_count_the_clusters_of_every_asset(spark):
     hashes = clustered_hashes(120, seed=3)
     fresh = fresh_table(spark, hashes)
