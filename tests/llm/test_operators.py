@@ -518,3 +518,36 @@ def test_licence_names_are_never_ordinary(spark):
     texts = [f"An ordinary line of text number {k}.\n{lines[k % 5][0]}\nAnd another one." for k in range(50)]
     found = {(r.doc_id, r.licence) for r in licences.scan_licences(_docs(spark, texts)).collect()}
     assert found == {(k, lines[k % 5][1]) for k in range(50)}
+
+
+def test_licence_texts_lines_and_other_languages(spark):
+    lines = [
+        ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO', "MIT"),
+        ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "BSD"),
+        ("The GNU General Public License is a free, copyleft license for software and other kinds of works.", "GPL-3.0"),
+        ("Unter der MIT-Lizenz.", "MIT"),
+        ("License: WTFPL", "unknown"),
+        ("Licensed under the Frobnicate License.", "unknown"),
+        ("Foo is a small tool for cutting trees into planks, released under the MIT License by its authors in 2019.", "MIT"),
+        ("Sheds, a planner, is free software under the GNU Affero General Public License, version 3, since the spring.", "AGPL-3.0"),
+        ("Sie gingen mit dem Hund und mit den Kindern in den Wald.", None),
+        ("The museum asked for permission to move the old mill.", None),
+    ]
+    german = "Das Haus am See steht seit Jahren leer und wartet mit offenen Fenstern auf Regen, Nummer {}."
+    texts = [f"{german.format(k)}\n{line}\nThe river ran past mill number {k} and on to the sea." for k, (line, _) in enumerate(lines)]
+    found = {(r.doc_id, r.licence) for r in licences.scan_licences(_docs(spark, texts)).collect()}
+    assert found == {(k, f) for k, (_, f) in enumerate(lines) if f}
+
+
+def test_licence_families_left_out_of_the_fit_are_unknown_or_missed_but_not_taken_for_others(spark, monkeypatch):
+    lines = [f"The river ran past mill number {k} and on to the sea, said the old man on day {k * 7}." for k in range(60)]
+    left_out = ["MPL-2.0", "Apache-2.0"]
+    probes = [phrase.format(name) for f in left_out for name in licences.NAMES[f] for phrase in licences.PHRASES if phrase != "{}"]
+    for f in left_out:
+        monkeypatch.delitem(licences.NAMES, f)
+        monkeypatch.delitem(licences.TEXTS, f)
+    found = licences.scan_licences(_docs(spark, [*lines, *probes])).collect()
+    wrong = {r.doc_id for r in found if r.licence != licences.UNKNOWN}
+    unknown = {r.doc_id for r in found if r.licence == licences.UNKNOWN}
+    assert len(wrong) <= 0.05 * len(probes) and len(unknown) >= 0.8 * len(probes)
+    assert min(unknown | wrong) >= len(lines)
