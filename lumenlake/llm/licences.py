@@ -35,12 +35,8 @@ FALSE_RATE, STRANGE_RATE = 1e-3, 0.05
 MOST = 0.9
 #: Words of the pieces of long templates, and from start to start.
 PIECE, STEP = 12, 6
-#: Families left out together, as they share names and texts.
-FOLDS = [
-    ["GPL-3.0", "GPL-2.0", "LGPL", "AGPL-3.0", "ISC"],
-    ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Apache-2.0", "Unlicense"],
-    ["MIT", "BSD", "MPL-2.0"],
-]
+#: Families left out of one fit for the calibration (those that share names or texts are on one side), and its iterations.
+LEFT_OUT, LEFT_OUT_ITERATIONS = ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Apache-2.0", "Unlicense", "MPL-2.0"], 20
 
 # fixed values: names of licence families, and public sentences that only they use
 NAMES = {
@@ -245,29 +241,30 @@ class Scanner:
         self.texts = {r.family: r.p for r in texts.collect()}
         self.names = _names(spark)
         ready = self._vectors(rows).withColumn("held", (F.col("family") == NONE) & _held())
-        strange = [self._strange(ready, fold) for fold in FOLDS]
+        strange = self._strange(ready)
         self._fit(ready.where("not held"))
         ordinary = ready.where("held")
-        self.limit = min(MOST, max(LEAST, self._limit(ordinary, FALSE_RATE), *strange))
+        self.limit = min(MOST, max(LEAST, self._limit(ordinary, FALSE_RATE), strange))
         # About a licence of whatever family: beyond what the ordinary lines reach.
         allowed = int(FALSE_RATE * ordinary.count())
         about = self._predict(ordinary).where(F.col("predicted") != NONE).orderBy(F.desc("about")).limit(allowed + 1).collect()
         self.about = min(MOST, max(LEAST, about[allowed].about)) if len(about) > allowed else LEAST
 
-    def _fit(self, ready: DataFrame) -> None:
+    def _fit(self, ready: DataFrame, iterations: int = 60) -> None:
         index = StringIndexer(inputCol="family", outputCol="class", stringOrderType="alphabetAsc").fit(ready)
         self.families: list[str] = list(index.labels)
         sizes = {r["family"]: r["count"] for r in ready.groupBy("family").count().collect()}
         weights = F.create_map(*chain(*((F.lit(f), F.lit((4000.0 if f == NONE else 1000.0) / n)) for f, n in sizes.items())))
         weighed = index.transform(ready).withColumn("weight", F.element_at(weights, F.col("family")))
         self.model: LogisticRegressionModel = LogisticRegression(
-            featuresCol="vector", labelCol="class", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=60
+            featuresCol="vector", labelCol="class", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=iterations
         ).fit(weighed)
 
-    def _strange(self, ready: DataFrame, fold: list[str]) -> float:
-        """The limit that a fit without the families of a fold needs to call most of their phrases no known family."""
-        self._fit(ready.where(~F.col("family").isin(fold) & ~F.col("held")))
-        return self._limit(ready.where(F.col("family").isin(fold) & F.col("phrase")), STRANGE_RATE)
+    def _strange(self, ready: DataFrame) -> float:
+        """The limit that a fit without some families needs to call most of their phrases no known family."""
+        out = F.col("family").isin(LEFT_OUT)
+        self._fit(ready.where(~out & ~F.col("held")), LEFT_OUT_ITERATIONS)
+        return self._limit(ready.where(out & F.col("phrase")), STRANGE_RATE)
 
     def _limit(self, rows: DataFrame, rate: float) -> float:
         """The probability that at most this rate of the rows exceed with a family that their templates confirm."""
