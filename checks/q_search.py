@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from checks import model as M
@@ -724,12 +725,23 @@ def bulk_match_many(spark, sf):
     """What each of thousands of stored specs finds; the plan is the same for any number of them."""
     stored = M.table(spark, sf, "customer").selectExpr("c_custkey AS spec_id", f"{CUSTOMER_SPECS} AS spec")
     catalog = M.catalog(spark, sf)
-    found = spec_index.bulk_match_many(catalog, stored)
     days = F.floor(F.col("created_at") / 86400000)
-    return (
-        found.join(catalog.assets.select("id", "created_at"), "id")
-        .groupBy("spec_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(days).alias("days"))
+    told = catalog.assets.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.coalesce(F.sum(days), F.lit(0)).alias("days"))
+    found = spec_index.bulk_match_many(catalog, stored, told=told, lists=True)
+
+    def total(name: str) -> Column:
+        return F.aggregate(f"found.{name}", F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    counted = found.select(
+        "spec_id",
+        total("copies").alias("n"),
+        F.array_min("found.id").alias("first_id"),
+        F.array_max("found.id").alias("last_id"),
+        total("days").alias("days"),
+    )
+    # The lists are counted before rows are sorted by spec, for which they would be carried along.
+    return counted.repartition("spec_id").groupBy("spec_id").agg(
+        F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("days").alias("days")
     )
 
 

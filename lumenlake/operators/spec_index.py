@@ -25,7 +25,10 @@ from lumenlake.operators.specs import Catalog, Spec, check_limits, field_value,
 from lumenlake.registry import UnsupportedQuery
 
 BLOCK_SPECS = 10_000
-_RUN = 4096
+#: Rows whose bits are held at once, at most, and bits of all leaves together; matches in one Arrow batch.
+_RUN, _HELD_BITS, _MATCHES = 4096, 1 << 23, 1 << 16
+#: Assets matched in one task, at most about.
+_PIECE = 16_384
 Bits = tuple[np.ndarray, np.ndarray]
 Leaf = tuple[str, str, object]
 
@@ -189,22 +192,40 @@ class _Texts:
 
 
 class _Match:
-    def __init__(self, index: SpecIndex, kind: pa.DataType):
-        self.index, self.kind = index, kind
+    """Rows (spec_id, columns) of the matches, or (spec_id, found) with the matches of a spec in a run of assets as one list."""
+
+    def __init__(self, index: SpecIndex, kind: pa.DataType, columns: list[str], lists: bool):
+        self.index, self.kind, self.columns, self.lists = index, kind, columns, lists
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pa.array(self.index.keys, self.kind)
+        rows = max(8, min(_RUN, _HELD_BITS // max(1, len(self.index.leaves))))
         for batch in batches:
-            for a in range(0, batch.num_rows, _RUN):
-                run = batch.slice(a, _RUN)
-                found = list(self.index.match(run))
-                numbers = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                rows = np.concatenate(found) if found else np.zeros(0, np.int64)
-                columns = [keys.take(pa.array(numbers)), run.column("id").take(pa.array(rows))]
-                yield pa.RecordBatch.from_arrays(columns, ["spec_id", "id"])
-
-
-def _block(catalog: Catalog, index: SpecIndex, key_type: str) -> DataFrame:
+            for a in range(0, batch.num_rows, rows):
+                run = batch.slice(a, rows)
+                held, size = [], 0
+                for number, found in enumerate(self.index.match(run)):
+                    if len(found):
+                        held.append((number, found))
+                        size += len(found)
+                    if size >= _MATCHES:
+                        yield self._batch(keys, run, held)
+                        held, size = [], 0
+                if held:
+                    yield self._batch(keys, run, held)
+
+    def _batch(self, keys: pa.Array, run: pa.RecordBatch, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        numbers, sizes = np.array([n for n, _ in held]), np.array([len(f) for _, f in held])
+        rows = pa.array(np.concatenate([f for _, f in held]))
+        told = [run.column(name).take(rows) for name in self.columns]
+        if not self.lists:
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(numbers, sizes))), *told], ["spec_id", *self.columns])
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(told, self.columns))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(numbers)), found], ["spec_id", "found"])
+
+
+def _block(catalog: Catalog, index: SpecIndex, key_type: str, told: DataFrame | None, lists: bool, pieces: int) -> DataFrame:
     spark = catalog.assets.sparkSession
     plain = [{"type": "predicate", "capability": c, "operator": "eq", "value": None} for c in _capabilities(index) - {"text.ocr", "content.document"}]
     wide = wide_catalog(catalog, plain)
@@ -222,7 +243,13 @@ def _block(catalog: Catalog, index: SpecIndex, key_type: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_type(_parse_datatype_string(key_type))
-    return wide.select("id", *sorted(columns)).mapInArrow(_Match(index, kind), f"spec_id {key_type}, id string")
+    slim, carried = wide.select("id", *sorted(columns)), ["id"]
+    if told is not None:
+        slim, carried = slim.join(told, "id"), ["id", *[c for c in told.columns if c != "id"]]
+    types = dict(slim.dtypes)
+    fields = ", ".join(f"`{c}` {types[c]}" for c in carried)
+    schema = f"spec_id {key_type}, found array<struct<{fields.replace('` ', '`:')}>>" if lists else f"spec_id {key_type}, {fields}"
+    return slim.repartition(pieces).mapInArrow(_Match(index, kind, carried, lists), schema)
 
 
 def _capabilities(index: SpecIndex) -> set[str]:
@@ -230,21 +257,34 @@ def _capabilities(index: SpecIndex) -> set[str]:
 
 
 def bulk_match_many(
-    catalog: Catalog, specs: DataFrame, key: str = "spec_id", spec: str = "spec", block_specs: int = BLOCK_SPECS
+    catalog: Catalog,
+    specs: DataFrame,
+    key: str = "spec_id",
+    spec: str = "spec",
+    block_specs: int = BLOCK_SPECS,
+    told: DataFrame | None = None,
+    lists: bool = False,
 ) -> DataFrame:
     """(spec_id, id) of all assets that match the stored specs (JSON text) of a table.
 
     Specs are a query set: blocks of about ``block_specs`` of them are indexed one at a time, and each block is one pass
     over the catalog. Texts are reduced to bits before they are joined. A spec that can't be read, is too complex or
     asks for what no table answers matches nothing; ``spec_coverage`` says which. An empty AND matches every asset.
+
+    Matches are many more rows than specs or assets. ``told``, a table with an id, is joined to the assets before the
+    match, so that its columns come with the rows that a join of the result would have, and no match is shuffled; its
+    names must not be those of the catalog. With ``lists`` a row is (spec_id, found): the matches of a spec among a run
+    of assets as an array of structs. A task holds a bounded number of bits and of matches, whatever matches.
     """
     spark = specs.sparkSession
     key_type = dict(specs.dtypes)[key]
-    found = spark.createDataFrame([], f"spec_id {key_type}, id string")
+    slots = spark.sparkContext.defaultParallelism
+    pieces = max(slots, math.ceil(catalog.assets.count() / _PIECE))
     blocks = math.ceil(specs.count() / block_specs)
-    for number in range(blocks):
-        mine = specs.where(F.pmod(F.xxhash64(key, spec), F.lit(blocks)) == number).select(key, spec).collect()
+    parts = []
+    for number in range(max(1, blocks)):
+        mine = specs.where(F.pmod(F.xxhash64(key, spec), F.lit(max(1, blocks))) == number).select(key, spec).collect()
         index = SpecIndex([(r[0], r[1]) for r in mine])
-        if index.trees:
-            found = found.unionByName(_block(catalog, index, key_type))
-    return found
+        if index.trees or not parts:
+            parts.append(_block(catalog, index, key_type, told, lists, pieces))
+    return reduce(DataFrame.unionByName, parts)

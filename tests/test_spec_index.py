@@ -92,3 +92,28 @@ def test_the_plan_does_not_grow_with_the_specs(spark, catalog):
         return plan.count("\n")
 
     assert size(3) == size(1500)
+
+
+def test_matches_come_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(k, json.dumps(all_specs())) for k in range(200)]
+    index = spec_index.SpecIndex(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{k}" for k in range(3000)])], ["id"])
+    found = list(spec_index._Match(index, pa.int64(), ["id"], False)(iter([batch])))
+    assert sum(b.num_rows for b in found) == 200 * 3000
+    assert max(b.num_rows for b in found) < spec_index._MATCHES + 3000
+    lists = list(spec_index._Match(index, pa.int64(), ["id"], True)(iter([batch])))
+    assert np.concatenate([b.column("spec_id") for b in lists]).tolist() == list(range(200))
+    assert all(len(ids) == 3000 for b in lists for ids in b.column("found"))
+
+
+def test_told_columns_and_lists_equal_a_join_of_the_matches(spark, catalog):
+    draw = random.Random(29)
+    stored = _stored(spark, {f"s{k}": _tree(draw, 3) for k in range(30)} | {"all": all_specs()})
+    told = spark.createDataFrame([(f"a{k % 200}", k) for k in range(250)] + [(None, 1)], "id string, mark long")
+    want = sorted(map(tuple, spec_index.bulk_match_many(catalog, stored).join(told, "id").select("spec_id", "id", "mark").collect()))
+    pairs = spec_index.bulk_match_many(catalog, stored, told=told)
+    lists = spec_index.bulk_match_many(catalog, stored, told=told, lists=True).selectExpr("spec_id", "inline(found)")
+    assert sorted(map(tuple, pairs.collect())) == want and sorted(map(tuple, lists.collect())) == want
