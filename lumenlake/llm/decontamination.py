@@ -1,9 +1,9 @@
 """Benchmark decontamination: latent semantic search for passages, then common subsequence and answer checks.
 
 Words of all documents are hashed to features and weighted by inverse frequency over all of them; the very common ones
-weigh nothing. Passages in which words of the benchmark carry a part of the weight go on. One pass over these gives a
-single-pass randomised SVD of their TF-IDF matrix (Nystroem: from the sample A'A O of a random O). A passage's vector is
-its latent part, and a random projection of what the leading directions leave out: without that part passages of rare
+weigh nothing. One pass over the passages in which words of the benchmark carry a part of the weight gives a single-pass
+randomised SVD of their TF-IDF matrix (Nystroem: from the sample A'A O of a random O). Every passage is searched, whatever
+that part. A passage's vector is its latent part, and a random projection of what the leading directions leave out: without that part passages of rare
 words, which benchmark passages are, would all look like their language. The cosine of two vectors then estimates the
 cosine of the TF-IDF passages. Runs of words that a document shares with an item are candidates too, so that an item
 that is there word for word is never missed.
@@ -31,7 +31,7 @@ FEATURES = 1 << FEATURE_BITS
 LATENT, SAMPLED, LENGTH = 20, 24, 128
 #: A feature weighs nothing if it is more than one word in ``COMMON`` and occurs more than ``COMMON_LEAST`` times.
 COMMON, COMMON_LEAST = 3000, 100
-#: Part of a passage's weight that words of the benchmark must carry.
+#: Part of a passage's weight that words of the benchmark must carry for the latent directions to be fitted to it.
 LEAST_SHARE = 0.2
 #: A passage is two blocks of so many words.
 BLOCK = 16
@@ -127,15 +127,21 @@ def _random() -> np.ndarray:
 
 
 class _Passages:
-    """The passages of a run of texts that go on, and the weighing words of their blocks, in a row."""
+    """The passages of a run of texts with a weighing word, and the weighing words of their blocks, in a row.
 
-    def __init__(self, weight: np.ndarray, flags: np.ndarray, hashes: np.ndarray, sizes: np.ndarray):
+    With ``flags``, only those in which words of the benchmark carry ``LEAST_SHARE`` of the weight.
+    """
+
+    def __init__(self, weight: np.ndarray, flags: np.ndarray | None, hashes: np.ndarray, sizes: np.ndarray):
         self.row, self.first = _blocks(sizes)
         feature = (hashes & np.uint32(FEATURES - 1)).astype(np.int64)
         energy = weight[feature] ** 2
-        known = np.where(flags[hashes & np.uint32((1 << _FLAGS) - 1)], energy, 0)
-        total, mine = (_pairs(self.row, np.add.reduceat(e, self.first)) for e in (energy, known))
-        keep = (mine > 0) & (mine >= LEAST_SHARE * total)
+        total = _pairs(self.row, np.add.reduceat(energy, self.first))
+        keep = total > 0
+        if flags is not None:
+            known = np.where(flags[hashes & np.uint32((1 << _FLAGS) - 1)], energy, 0)
+            mine = _pairs(self.row, np.add.reduceat(known, self.first))
+            keep = (mine > 0) & (mine >= LEAST_SHARE * total)
         need = keep.copy()
         need[1:] |= keep[:-1] & (self.row[1:] == self.row[:-1])
         #: kept passages, the blocks they are made of, and the place of each passage's blocks in these (-1: none)
@@ -150,16 +156,20 @@ class _Passages:
         self.block = np.repeat(place[:-1], lengths)[inside]
         self.blocks = len(blocks)
 
-    def add_up(self, table: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-        """Sums of table rows over the words of each kept passage; words are gathered a bounded number at a time."""
+    def add_up(self, table: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """Sums of table rows over the words of each kept passage: of a number of blocks the first words, then the second ones."""
         sums = np.zeros((self.blocks + 1, table.shape[1]), np.float32)  # the last row stands for no block
-        gathered = np.empty((min(step, len(self.feature)), table.shape[1]), np.float32)
-        for a in range(0, len(self.feature), step):
-            block = self.block[a : a + step]
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            rows = gathered[: len(block)]
-            np.take(table, self.feature[a : a + step], axis=0, out=rows, mode="clip")
-            sums[block[starts]] += np.add.reduceat(rows, starts, axis=0)
+        starts = np.flatnonzero(np.diff(self.block, prepend=-1))
+        counts = np.diff(np.append(starts, len(self.block)))
+        step = -(-step // table.shape[1])
+        for a in range(0, len(starts), step):
+            longest = a + np.argsort(-counts[a : a + step], kind="stable")
+            first, count = starts[longest], counts[longest]
+            added = table[self.feature[first]]
+            for k in range(1, int(count[0])):
+                more = np.count_nonzero(count > k)
+                added[:more] += table[self.feature[first[:more] + k]]
+            sums[self.block[first]] = added
         return sums[self.one] + sums[self.two]
 
     def spread(self, values: np.ndarray) -> np.ndarray:
@@ -313,8 +323,8 @@ class _Shared:
 class _Search:
     """Rows (id, item, cosine, common, words, answer, route) of the documents of a task that hold a benchmark item."""
 
-    def __init__(self, space: Space, flags: np.ndarray, items: list[tuple[int, np.ndarray]]):
-        self.space, self.flags, self.items = space, flags, items
+    def __init__(self, space: Space, items: list[tuple[int, np.ndarray]]):
+        self.space, self.items = space, items
 
     def _item_vectors(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         spans, of = [], []
@@ -330,7 +340,7 @@ class _Search:
         return [set(words[-max(3, len(words) // 4) :].tolist()) for _, words in self.items]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, flags = self.space.table(), np.unpackbits(self.flags).view(bool)
+        table = self.space.table()
         vectors, of = self._item_vectors(table)
         shared = _Shared([words for _, words in self.items])
         answers, lists = self._answers(), [words.tolist() for _, words in self.items]
@@ -353,7 +363,7 @@ class _Search:
                         words = "words" if cosine is None or before[3] == "words" else None
                         best[doc, k] = (*max(before[:2], (common, answer)), max(seen, default=None), words)
 
-                found = _Passages(self.space.weight, flags, hashes, sizes)
+                found = _Passages(self.space.weight, None, hashes, sizes)
                 passages = found.add_up(table)
                 passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
                 for a in range(0, len(passages), 2048):
@@ -390,9 +400,8 @@ def _flags(blocks: Iterator[list[tuple[int, np.ndarray]]]) -> np.ndarray:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, bench_words: int = BENCH_WORDS) -> DataFrame:
     """One row for each document that holds a benchmark item: cosine, common words in order, and answer words found.
 
-    Candidates are passages (every 16 words, 32 long, of whole texts) of which words of the benchmark carry
-    ``LEAST_SHARE`` of the weight and whose vector has a cosine of ``LEAST_COSINE`` or more with one of the item's
-    (``by_cosine``; else the cosine is null), and places that share ``RUN`` words in a row with the item, or all of a
+    Candidates are all passages (every 16 words, 32 long, of whole texts) whose vector has a cosine of ``LEAST_COSINE``
+    or more with one of the item's (``by_cosine``; else the cosine is null), and places that share ``RUN`` words in a row with the item, or all of a
     shorter one (``by_words``). A candidate counts if ``LEAST_COMMON`` of the item's words follow in its order around
     the place, and ``LEAST_ANSWER`` of its answer, the last quarter of its words, is there. So an item that a document
     holds word for word is always found.
@@ -424,7 +433,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bench_words: int = BENCH_W
     for number in range(passes):
         mine = block(number)
         if mine:
-            rows = words.mapInArrow(_Search(space, flags, mine), _FOUND)
+            rows = words.mapInArrow(_Search(space, mine), _FOUND)
             found.append(rows if passes == 1 else saved(rows, "leaks"))
     return reduce(DataFrame.unionByName, found, none) if len(found) != 1 else found[0]
 
