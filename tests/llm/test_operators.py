@@ -551,3 +551,23 @@ def test_licence_families_left_out_of_the_fit_are_unknown_or_missed_but_not_take
     unknown = {r.doc_id for r in found if r.licence == licences.UNKNOWN}
     assert len(wrong) <= 0.05 * len(probes) and len(unknown) >= 0.8 * len(probes)
     assert min(unknown | wrong) >= len(lines)
+
+
+def test_leaks_among_many_rare_words_are_found(spark):
+    """Items that carry less than a fifth of their passage's weight, with a word changed so that no five words follow."""
+    items = [[f"item{n}x{k}" for k in range(7)] for n in range(60)]
+    told = [[w if k != 3 else f"changed{n}" for k, w in enumerate(item)] for n, item in enumerate(items)]
+    texts = [" ".join([f"a{n}x{k}" for k in range(40)] + words + [f"b{n}x{k}" for k in range(40)]) for n, words in enumerate(told)]
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(_docs(spark, texts), bench).collect()}
+    assert len(found) > 30 and all(d == i for d, i in found)
+
+
+def test_near_fingerprints_are_one_group(spark):
+    """Texts whose distinct five-word shingles are little alike, but whose fingerprints are the same."""
+    often = ["a b c d e"] * 200
+    texts = [" ".join([*often, *[f"{name}{k}" for k in range(40)]]) for name in "xy"] + [" ".join(f"z{k}" for k in range(300))]
+    prints = [int(simhash.fingerprint(t.encode(), 3)[0]) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    assert not simhash.alike(*(simhash.shingle_set(t.encode(), 5) for t in texts[:2]))
+    assert {r.doc_id for r in simhash.keep_one(_docs(spark, texts)).collect()} == {0, 2}
