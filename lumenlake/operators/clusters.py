@@ -8,6 +8,7 @@ two member lists (see :func:`similar_partners` for the partners of given assets)
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ CHUNK_BITS = 12
 LARGEST_KEY = 4_096
 # Crowded keys that are broadcast; a longer list is joined by key.
 LISTED_KEYS = 65_536
+# Pairs of hashes that are compared in one task, about.
+PIECE_PAIRS = 1 << 22
 
 
 def with_hashes(assets: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -255,7 +258,12 @@ def near_pairs(
     slices = [
         F.greatest(F.lit(1), F.ceil(F.col(f"n_{side}") * 2 / largest_key).cast("int")).alias(f"slices_{side}") for side in "ab"
     ]
-    busiest = sizes.agg(F.max("_size")).first()[0] or 0
+    # A bucket holds at most 2 ** 64 hashes; as doubles, their squares add up without overflow.
+    met = F.col("_size").cast("double") * F.least(F.col("_size"), F.lit(hot_bucket)) / 2
+    busiest, compared = sizes.agg(F.max("_size"), F.sum(met)).first()
+    busiest, compared = busiest or 0, compared or 0.0
+    # Dealt by what is compared, not by the few bytes of the hashes: pairs grow with the square of a bucket.
+    pieces = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(compared / PIECE_PAIRS))
     few = 0
     if busiest > min(hot_bucket, largest_key):
         crowded = cut_lineage(crowded.select(*_KEY, *slices))
@@ -284,9 +292,11 @@ def near_pairs(
     for w, plan in plans.items():
         counted = F.when(F.col("_width") == w, plan.counted(differing, F.col("chunk"))).otherwise(counted)
     distance = bit_distance(F.col("bits_a"), F.col("bits_b"))
+    keys = [*_KEY, *(["_slice_a", "_slice_b"] if few else [])]
     return (
         side("a", "b")
-        .join(side("b", "a"), [*_KEY, *(["_slice_a", "_slice_b"] if few else [])])
+        .repartition(pieces, *keys)
+        .join(side("b", "a").repartition(pieces, *keys), keys)
         .where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance) & counted)
         .select(
             "hash_a",
@@ -364,10 +374,14 @@ def cluster_members(fresh: DataFrame) -> DataFrame:
 def similar_members(cluster_ids: DataFrame, fresh: DataFrame) -> DataFrame:
     """(cluster_id, kind, id) of given similar clusters: the assets of both hashes, which the id of the cluster names.
 
-    For given clusters only; the pairs of all clusters are never expanded.
+    For given clusters only; the pairs of all clusters are never expanded. Ids are dealt by their hashes to as many
+    pieces as they come in, at least, so that a task's set of them stays as small as it was there.
     """
-    wanted = cluster_ids.where(F.col("cluster_id").startswith("cluster-similar:")).select("cluster_id").distinct()
-    hashes = wanted.select("cluster_id", F.explode(F.slice(F.split("cluster_id", ":"), 2, 2)).alias("visual_hash"))
+    named = cluster_ids.where(F.col("cluster_id").startswith("cluster-similar:")).select("cluster_id")
+    least = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(least, named.rdd.getNumPartitions())
+    ends = named.select("cluster_id", F.posexplode(F.slice(F.split("cluster_id", ":"), 2, 2)).alias("_end", "visual_hash"))
+    hashes = ends.repartition(pieces, "visual_hash").distinct()
     found = fresh.select("id", "visual_hash").join(hashes, "visual_hash")
     return found.select("cluster_id", F.lit("similar").alias("kind"), "id")
 
