@@ -3,13 +3,15 @@
 One row per (chunk, token) lists the texts of the chunk that hold the token and where. A chunk is a fixed part of the
 keys, so all rows about one text share a chunk: building shuffles the texts once, an update rewrites only the chunks it
 touches, and a search of a table bucketed by chunk (:func:`save_phrase_index`) needs no shuffle. Choose ``chunks`` such that a chunk
-holds some tens of megabytes of text; a very common token is then one row in each chunk, never one row or task of its own.
+holds some megabytes of text (:func:`chunks_for`), as the words of a chunk are sorted in one task; a very common token is
+then one row in each chunk, never one row or task of its own.
 
 Positions are ascending; the Parquet writer stores their differences (``DELTA_BINARY_PACKED``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.text import tokens
 
+CHUNK_BYTES = 8 << 20
 #: Version 2 of Parquet's pages codes integers by their differences where no dictionary is kept.
 DELTA_CODED = {
     "parquet.writer.version": "v2",
@@ -28,6 +31,12 @@ def chunk_of(key: str, chunks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")
 
 
+def chunks_for(texts: DataFrame, text: str = "ocr_text", least: int = 16) -> int:
+    """As many chunks as let each hold about ``CHUNK_BYTES`` of text, so that building never sorts more than fits."""
+    total = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, math.ceil(total / CHUNK_BYTES))
+
+
 def _packed(postings: DataFrame, key: str) -> DataFrame:
     entry = F.struct(F.col(key), F.col("positions"))
     return postings.groupBy("chunk", "token").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
@@ -42,7 +51,8 @@ def _opened(index: DataFrame, key: str) -> DataFrame:
 def _postings(texts: DataFrame, chunks: int, key: str, text: str) -> DataFrame:
     """One row per (chunk, token, key) with the positions of the token, from 0. Texts without a key or a token have none."""
     keyed = texts.where(F.col(key).isNotNull()).select(chunk_of(key, chunks), key, F.col(text).alias("_text"))
-    words = keyed.repartition("chunk").select("chunk", key, F.posexplode(tokens(F.col("_text"))).alias("_at", "token"))
+    # One piece for each chunk: pieces sized by their few bytes of text would hold many chunks' words.
+    words = keyed.repartition(chunks, "chunk").select("chunk", key, F.posexplode(tokens(F.col("_text"))).alias("_at", "token"))
     return words.groupBy("chunk", "token", key).agg(F.sort_array(F.collect_list("_at")).alias("positions"))
 
 

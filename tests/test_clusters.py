@@ -193,3 +193,16 @@ def test_stale_and_outdated_hashes_are_left_out(spark):
     )
     fresh = {r.id: (r.content_hash, r.visual_hash) for r in clusters.with_hashes(assets, hashes).collect()}
     assert fresh == {"a": ("c", "p"), "b": (None, "p"), "d": ("c", None)}
+
+
+def test_pairs_are_dealt_by_what_is_compared(spark, monkeypatch):
+    rows = [(f"a{k}", f"{k:016x}") for k in range(64)]
+    fresh = spark.createDataFrame(rows, "id string, visual_hash string")
+    groups = clusters.hash_groups(fresh, "visual_hash")
+    monkeypatch.setattr(clusters, "PIECE_PAIRS", 100)
+    pairs = clusters.near_pairs(groups, 4, max_distance=1)
+    assert pairs.rdd.getNumPartitions() == 21  # 64 * 64 / 2 pairs
+    assert pairs.count() == 64 * 6 // 2
+    ids = clusters.similar_clusters(pairs)
+    members = clusters.similar_members(ids.unionByName(ids), fresh).select("cluster_id", "id").collect()
+    assert len(members) == len(set(members)) == 64 * 6

@@ -96,3 +96,12 @@ def test_positions_are_stored_by_their_differences(spark, tmp_path):
     columns = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
     coded = next(v for k, v in columns.items() if "positions" in k)
     assert "DELTA_BINARY_PACKED" in coded and "RLE_DICTIONARY" not in coded
+
+
+def test_chunks_follow_the_texts_and_each_is_a_piece(spark, monkeypatch):
+    texts = _texts(spark, TEXTS)
+    assert P.chunks_for(texts) == P.chunks_for(texts.limit(0)) == 16
+    monkeypatch.setattr(P, "CHUNK_BYTES", 4)
+    octets = sum(len((t or "").encode()) for t in TEXTS.values())
+    assert P.chunks_for(texts) == -(-octets // 4)
+    assert P.build_phrase_index(texts, 23).rdd.getNumPartitions() == 23

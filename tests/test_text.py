@@ -186,3 +186,13 @@ def test_more_than_five_phrases_are_kept(spark):
     rows = spark.createDataFrame([(" ".join(f'"p{k}"' for k in range(8)),)], "t string")
     assert rows.select(tagging.extract_quoted(F.col("t"))).first()[0] == [f"p{k}" for k in range(8)]
     assert rows.select(tagging.extract_quoted(F.col("t"), 5)).first()[0] == [f"p{k}" for k in range(5)]
+
+
+def test_costly_rows_are_cut_into_pieces_by_their_number(spark):
+    from lumenlake.plans.parallel import spread_rows
+
+    rows = spark.range(1000).repartition(8)
+    assert spread_rows(rows, 50).rdd.getNumPartitions() == 20
+    assert spread_rows(rows, 500).rdd.getNumPartitions() == 8
+    assert spread_rows(spark.range(1000).coalesce(1), 500).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread_rows(rows, 50).collect()) == list(range(1000))
