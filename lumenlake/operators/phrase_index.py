@@ -75,13 +75,14 @@ def update_phrase_index(
     return _packed(kept.unionByName(_postings(changed, chunks, key, text)), key)
 
 
-def write_phrase_index(index: DataFrame, path: str) -> None:
+def write_phrase_index(index: DataFrame, path: str, chunks: int | None = None) -> None:
     """Write an index, or the chunks an update made anew: one directory per chunk, tokens sorted.
 
     Only the directories of the chunks in ``index`` are replaced, so an update must be stored elsewhere first if it
     reads the same path (Spark refuses to overwrite what it reads).
     """
-    ordered = index.repartition("chunk").sortWithinPartitions("chunk", "token")
+    # With the number of chunks it was built with, a new index is dealt out already and not shuffled again.
+    ordered = (index.repartition(chunks, "chunk") if chunks else index.repartition("chunk")).sortWithinPartitions("chunk", "token")
     writer = ordered.write.mode("overwrite").partitionBy("chunk").options(**DELTA_CODED)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
