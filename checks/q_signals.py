@@ -11,7 +11,7 @@ from checks.register import query
 from lumenlake.functions import rules as R
 from lumenlake.functions import signals, tagging, vectors
 from lumenlake.operators.analysis import capability_results
-from lumenlake.plans.parallel import spread
+from lumenlake.plans.parallel import spread, spread_rows
 from lumenlake.registry import Analyser, AnalyserRegistry
 
 GRID_CTE = f"g as (select vec_id, {GRID} as g from embeddings)"
@@ -187,9 +187,8 @@ MERGED_COLUMNS = [c for c in INTENT_COLUMNS if c != "confidence"]
     " notices from planned",
 )
 def merge_semantic(spark, sf):
-    prompts = M.table(spark, sf, "embeddings").selectExpr(
-        "vec_id", f"{M.prompt('vec_id')} AS prompt", f"{NOW} AS now"
-    )
+    keys = spread_rows(M.table(spark, sf, "embeddings").select("vec_id"))
+    prompts = keys.selectExpr("vec_id", f"{M.prompt('vec_id')} AS prompt", f"{NOW} AS now")
     intents = tagging.classify_prompts(prompts, "prompt", "now", most_terms=R.MAX_TERMS)
     matches = tagging.semantic_match(_vectors(spark, sf), _prototypes(spark, sf), "v", THRESHOLD)
     merged = tagging.merge_semantic(intents.join(matches.select("vec_id", "matches"), "vec_id"), THRESHOLD)

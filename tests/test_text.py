@@ -196,3 +196,15 @@ def test_costly_rows_are_cut_into_pieces_by_their_number(spark):
     assert spread_rows(rows, 500).rdd.getNumPartitions() == 8
     assert spread_rows(spark.range(1000).coalesce(1), 500).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in spread_rows(rows, 50).collect()) == list(range(1000))
+
+
+def test_prompts_come_in_small_pieces(spark, tmp_path):
+    """The prompt queries take about 0.2 ms a row: the rows of a task stay bounded, however large the table."""
+    from checks import model as M
+
+    pieces = 2 * spark.sparkContext.defaultParallelism
+    events = spark.range(25_000 * pieces).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts").coalesce(1)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sizes = M.prompts(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == pieces
+    assert max(r["count"] for r in sizes) <= 25_100
