@@ -73,6 +73,23 @@ def texts_of(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[byt
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def words_of(batch: pa.RecordBatch | pa.Table, column: str = "text") -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of all texts in a row as numbers of distinct words, these, and the number of words of each text.
+
+    Null, empty and blank texts have none.
+    """
+    texts = batch.column(column)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pa.compute.ascii_trim_whitespace(texts.cast(pa.string()))
+    blank = pa.compute.equal(pa.compute.binary_length(texts), 0)
+    lists = pa.compute.ascii_split_whitespace(pa.compute.if_else(blank, pa.scalar(None, pa.string()), texts))
+    coded = lists.flatten().dictionary_encode()
+    sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    return coded.indices.to_numpy(), distinct, sizes
+
+
 def ids_of(batch: pa.RecordBatch | pa.Table, column: str = "doc_id") -> np.ndarray:
     """Ids as 64-bit integers; a null id is larger than all others."""
     return batch.column(column).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)

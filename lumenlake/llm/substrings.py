@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.common import NO_ID, chunked, ids_of, saved, texts_of
+from lumenlake.llm.common import NO_ID, chunked, ids_of, saved, texts_of, words_of
 
 WINDOW = 13
 #: Counters in one range of the sketch, a byte each while they are merged.
@@ -38,50 +39,55 @@ _KEYS = "range int, chunk long, keys binary, more binary, first binary"
 _BITS = "chunk long, range int, bits binary"
 
 
-class WordHashes(dict):
-    """Memo of 128-bit word hashes; texts repeat their words, so most cost one look-up."""
+class Words:
+    """The words of a chunk's texts: the number of each, and the 128-bit hashes of the distinct ones, which repeat a lot."""
 
-    def __init__(self):
-        self.raw = bytearray()
+    def __init__(self, chunk: pa.Table):
+        self.numbers, distinct, self.sizes = words_of(chunk)
+        digests = b"".join(map(xxhash.xxh3_128_digest, distinct))
+        self.hashes = np.frombuffer(digests, "<u8").reshape(-1, 2).T.copy()
 
-    def __missing__(self, word: bytes) -> int:
-        self.raw += xxhash.xxh3_128_digest(word)
-        number = self[word] = len(self)
-        return number
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, two for each word of all texts; number of words of each text)."""
-        numbers: list[int] = []
-        sizes = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = text.split()
-            sizes[k] = len(words)
-            numbers += map(self.__getitem__, words)
-        return np.frombuffer(bytes(self.raw), "<u8").reshape(-1, 2)[np.array(numbers, np.int64)], sizes
+    def runs(self, lane: int, size: int) -> np.ndarray:
+        """A hash of each run of ``size`` words, whose hashes are the digits of a number; joined from shorter runs."""
+        multiplier, words = int(_MULTIPLIERS[lane]), self.hashes[lane][self.numbers]
+        x, length = words, 1
+        for bit in f"{size:b}"[1:]:
+            x = x[: max(0, len(x) - length)] * np.uint64(pow(multiplier, length, 1 << 64)) + x[length:]
+            length *= 2
+            if bit == "1":
+                x = x[:-1] * _MULTIPLIERS[lane] + words[length:]
+                length += 1
+        return x
 
 
 class Windows:
     """All windows of a chunk: their hashes, document and place, and the order of the first hash."""
 
-    def __init__(self, texts: list[bytes], size: int):
-        hashes, self.sizes = WordHashes().of(texts)
-        doc = np.repeat(np.arange(len(texts)), self.sizes)
-        count = max(0, len(doc) - size + 1)
-        self.start = np.flatnonzero(doc[:count] == doc[size - 1 :]) if count else np.zeros(0, np.int64)
+    def __init__(self, chunk: pa.Table, size: int):
+        self.words, self.size = Words(chunk), size
+        self.sizes = self.words.sizes
+        doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        windows = max(0, len(doc) - size + 1)
+        self.start = np.flatnonzero(doc[:windows] == doc[size - 1 :]) if windows else np.zeros(0, np.int64)
         self.doc = doc[self.start]
-        both = []
-        for lane, multiplier in enumerate(_MULTIPLIERS):
-            x, h = np.zeros(count, np.uint64), hashes[:, lane]
-            for k in range(size):
-                x = x * multiplier + h[k : k + count]
-            x = x[self.start]
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            both.append(x ^ (x >> np.uint64(32)))
-        self.key, self.more = both[0], (both[1] >> np.uint64(32)).astype(np.uint32)
-        self.order = np.argsort(self.key, kind="stable")
+        self.key = self._hash(0)
+        self.order = np.argsort(self.key)
+
+    def _hash(self, lane: int) -> np.ndarray:
+        x = self.words.runs(lane, self.size)[self.start]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+    @cached_property
+    def more(self) -> np.ndarray:
+        """32 more bits of hash, for the steps that compare windows exactly."""
+        return (self._hash(1) >> np.uint64(32)).astype(np.uint32)
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted counter cells of the chunk, whether two or more (document, window) pairs fall into each)."""
+        """(sorted counter cells of the chunk, whether two or more (document, window) pairs fall into each).
+
+        Windows of one hash come in any order: those of two documents may count as more than two, those of one as one.
+        """
         key, doc = self.key[self.order], self.doc[self.order]
         new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)]
         cell = key[new] >> np.uint64(64 - bits)
@@ -132,7 +138,7 @@ def _send_cells(size: int, bits: int) -> Callable[[pa.Table], pa.Table]:
 
     def send(chunk: pa.Table) -> pa.Table:
         number = chunk.column("chunk")[0].as_py()
-        cells, twice = Windows(texts_of(chunk), size).cells(bits)
+        cells, twice = Windows(chunk, size).cells(bits)
         rows = []
         for r, a, b in _ranges(cells, bits):
             gaps = np.diff((cells[a:b] & low).astype(np.int64), prepend=0)
@@ -165,7 +171,7 @@ def _send_keys(size: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]
         rows = []
         if chunk.num_rows:
             number = chunk.column("chunk")[0].as_py()
-            ids, windows = ids_of(chunk), Windows(texts_of(chunk), size)
+            ids, windows = ids_of(chunk), Windows(chunk, size)
             firsts, _ = windows.first_of(windows.marked(bits, _answers(answers, 1)), ids)
             cells = windows.key[firsts] >> np.uint64(64 - bits)
             for r, a, b in _ranges(cells, bits):
@@ -211,20 +217,21 @@ class _Remove:
         if not chunk.num_rows:
             return _table(_RESULT, [[]] * 4)
         ids, texts = ids_of(chunk), texts_of(chunk)
-        windows = Windows(texts, self.size)
+        windows = Windows(chunk, self.size)
         starts = self._starts(windows, ids, answers)
         total = int(windows.sizes.sum())
         change = np.bincount(starts, minlength=total + self.size + 1) - np.bincount(starts + self.size, minlength=total + self.size + 1)
         gone = np.cumsum(change)[:total] > 0
         ends = np.cumsum(windows.sizes)
-        removed, digests, kept = [], [], chunk.column("text").to_pylist()
+        removed, digests, kept = [], [], chunk.column("text").to_pylist() if self.whole else []
         for row, (text, a, b) in enumerate(zip(texts, (ends - windows.sizes).tolist(), ends.tolist())):
             mine, words = gone[a:b], text.split()
             count = int(mine.sum())
             removed.append(count)
             if count:
                 words = [w for w, out in zip(words, mine.tolist()) if not out]
-                kept[row] = _without(text, mine).decode()
+                if self.whole:
+                    kept[row] = _without(text, mine).decode()
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         result = _table(_RESULT, [[None if i == NO_ID else i for i in ids.tolist()], windows.sizes.tolist(), removed, digests])
         if self.whole:
