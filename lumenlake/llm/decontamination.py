@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import numbered, parts, pieces, saved, texts_of
+from lumenlake.llm.common import numbered, parts, pieces, saved, words_of
 from lumenlake.llm.sums import SCHEMA, slices, tree_sum
 from lumenlake.plans.parallel import spread
 
@@ -44,7 +44,6 @@ BENCH_WORDS = 2_000_000
 SHORTEST = 3
 #: A run of so many words that a document shares with an item makes it a candidate; a shorter item is one run.
 RUN = 5
-_MEMO = 200_000
 _FLAGS = 24
 _EDGES = "\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~!¿¡«»„“”‚‘’…–—"
 _SLICE = 4096
@@ -53,26 +52,27 @@ _RUN, _SAMPLE_RUN = 100_000, 500_000
 _PART = 1 << 13
 
 
-class _Memo(dict):
+def _plain_hashes(words: list[bytes]) -> np.ndarray:
     """32-bit hashes of words in lower case, without the marks around them; 0 for nothing else than marks."""
+    if not words:
+        return np.zeros(0, np.uint32)
+    plain = [w.strip(_EDGES).encode() for w in b"\n".join(words).decode().lower().split("\n")]
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, plain), np.uint32, len(plain))
+    hashes[hashes == 0] = 1
+    hashes[np.fromiter(map(len, plain), np.int64, len(plain)) == 0] = 0
+    return hashes
 
-    def __missing__(self, word: bytes) -> int:
-        plain = word.decode().lower().strip(_EDGES)
-        self[word] = number = (xxhash.xxh32_intdigest(plain.encode()) or 1) if plain else 0
-        return number
 
-    def of(self, text: bytes) -> np.ndarray:
-        if len(self) > _MEMO:
-            self.clear()
-        words = text.split()
-        hashes = np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
-        return hashes[hashes > 0]
+def _words_hashed(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The hashes of the words of each text of a batch; each distinct word is hashed once."""
+    numbers, distinct, sizes = words_of(batch)
+    hashes = _plain_hashes(distinct)[numbers]
+    return [h[h > 0] for h in np.split(hashes, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _Memo()
     for batch in parts(batches):
-        words = [memo.of(t).tobytes() for t in texts_of(batch)]
+        words = [h.tobytes() for h in _words_hashed(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
 
 
@@ -368,7 +368,8 @@ class _Search:
                 passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
                 for a in range(0, len(passages), 2048):
                     cosines = passages[a : a + 2048] @ vectors.T
-                    for p, v in zip(*np.nonzero(cosines >= LEAST_COSINE)):
+                    near = np.flatnonzero(cosines >= LEAST_COSINE)
+                    for p, v in zip(*np.divmod(near, len(vectors))):
                         k, block = int(of[v]), found.kept[a + p]
                         at, n = int(found.first[block]), len(lists[k])
                         check(int(found.row[block]), k, at - n, at + 2 * BLOCK + n, float(cosines[p, v]))
