@@ -150,12 +150,14 @@ class Chain:
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression: knots and their values."""
+    """Isotonic regression: knots and their values. Points of one x share a value, in whatever order they come."""
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []  # sum, count, first x, last x
     for a, b in zip(x[order].tolist(), y[order].tolist()):
         blocks.append([b, 1, a, a])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+        while len(blocks) > 1 and (
+            blocks[-2][3] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]
+        ):
             s, n, _, end = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], end]
     knots = [(x, s / n) for s, n, a, b in blocks for x in ((a, b) if b > a else (a,))]
