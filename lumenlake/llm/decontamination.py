@@ -50,6 +50,8 @@ _SLICE = 4096
 #: Words worked on at once; more for the SVD, where every run adds to whole rows of features.
 _RUN, _SAMPLE_RUN = 100_000, 500_000
 _PART = 1 << 13
+#: Rows of features made at once.
+_ROWS = 1 << 10
 
 
 def _plain_hashes(words: list[bytes]) -> np.ndarray:
@@ -199,7 +201,9 @@ class _Sample:
             back = found.spread(y)
             for k in range(SAMPLED):
                 out[k] += np.bincount(found.feature, back[found.block, k], FEATURES)
-        yield slices((out * self.weight).T.astype(np.float32), TaskContext.get().partitionId(), _SLICE * SAMPLED)
+        for a in range(0, FEATURES, _SLICE):  # a slice at a time: the sums are never there twice
+            part = (out[:, a : a + _SLICE] * self.weight[a : a + _SLICE]).T.astype(np.float32)
+            yield slices(part, TaskContext.get().partitionId(), _SLICE * SAMPLED, a // _SLICE)
 
 
 def latent_directions(words: DataFrame, weight: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -239,27 +243,40 @@ def _signs(first: int, end: int) -> np.ndarray:
 
 
 class Space:
-    """Vectors of passages; the large table is made in each task from random signs and the latent directions."""
+    """Vectors of passages, from random signs and the latent directions; a task makes the rows of the features it meets."""
 
     def __init__(self, weight: np.ndarray, latent: np.ndarray):
         self.weight, self.latent = weight, latent.astype(np.float16)  # half the bytes to send
-        self.mixed = sum(self._latent(a, b).T @ _signs(a, b) for a, b in _parts())
-
-    def _latent(self, a: int, b: int) -> np.ndarray:
-        return self.latent[a:b].astype(np.float32)
-
-    def table(self) -> np.ndarray:
-        """A row for each feature, filled part by part so that a task holds it once."""
-        table = np.empty((FEATURES, LENGTH), np.float32)
-        for a, b in _parts():
-            rest = _signs(a, b)
-            rest -= self._latent(a, b) @ self.mixed
-            rest /= np.sqrt(LENGTH - LATENT)
-            weight = self.weight[a:b, None]
-            table[a:b, :LATENT], table[a:b, LATENT:] = self._latent(a, b) * weight, rest * weight
+        self.mixed = sum(self.latent[a:b].astype(np.float32).T @ _signs(a, b) for a, b in _parts())
+
+    def packed(self) -> np.ndarray:
+        """The signs of each feature as bits: drawn part by part, so that a task holds a byte for eight of them."""
+        return np.concatenate([np.packbits(_signs(a, b) > 0, axis=1) for a, b in _parts()])
+
+    def rows(self, features: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """The row of each of the features."""
+        table = np.empty((len(features), LENGTH), np.float32)
+        for a in range(0, len(features), _ROWS):
+            mine, out = features[a : a + _ROWS], table[a : a + _ROWS]
+            latent, weight = self.latent[mine].astype(np.float32), self.weight[mine, None]
+            rest = np.unpackbits(packed[mine], axis=1, count=LENGTH - LATENT).astype(np.float32)
+            rest *= 2
+            rest -= latent @ self.mixed + 1
+            rest *= weight / np.float32(np.sqrt(LENGTH - LATENT))
+            out[:, :LATENT], out[:, LATENT:] = latent * weight, rest
         return table
 
 
+def _numbered_features(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct features in order, the place of each one among them)."""
+    seen = np.zeros(FEATURES, bool)
+    seen[features] = True
+    distinct = np.flatnonzero(seen)
+    place = np.empty(FEATURES, np.int64)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[features]
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows over the words of ``a``."""
     places: dict[int, int] = {}
@@ -326,13 +343,15 @@ class _Search:
     def __init__(self, space: Space, items: list[tuple[int, np.ndarray]]):
         self.space, self.items = space, items
 
-    def _item_vectors(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _item_vectors(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         spans, of = [], []
         for k, (_, words) in enumerate(self.items):
             starts = {*range(0, max(1, len(words) - 2 * BLOCK + 1), 2 * BLOCK), max(0, len(words) - 2 * BLOCK)}
             spans += [words[a : a + 2 * BLOCK] for a in sorted(starts)]
             of += [k] * len(starts)
-        sums = np.stack([table[(s & np.uint32(FEATURES - 1)).astype(np.int64)].sum(axis=0, dtype=np.float32) for s in spans])
+        distinct, places = _numbered_features((np.concatenate(spans) & np.uint32(FEATURES - 1)).astype(np.int64))
+        table, ends = self.space.rows(distinct, packed), np.cumsum([len(s) for s in spans])
+        sums = np.stack([table[p].sum(axis=0, dtype=np.float32) for p in np.split(places, ends[:-1])])
         return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9), np.array(of)
 
     def _answers(self) -> list[set[int]]:
@@ -340,8 +359,8 @@ class _Search:
         return [set(words[-max(3, len(words) // 4) :].tolist()) for _, words in self.items]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = self.space.table()
-        vectors, of = self._item_vectors(table)
+        packed = self.space.packed()
+        vectors, of = self._item_vectors(packed)
         shared = _Shared([words for _, words in self.items])
         answers, lists = self._answers(), [words.tolist() for _, words in self.items]
         for ids, hashes, sizes in _words(batches):
@@ -364,7 +383,8 @@ class _Search:
                         best[doc, k] = (*max(before[:2], (common, answer)), max(seen, default=None), words)
 
                 found = _Passages(self.space.weight, None, hashes, sizes)
-                passages = found.add_up(table)
+                distinct, found.feature = _numbered_features(found.feature)
+                passages = found.add_up(self.space.rows(distinct, packed))
                 passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
                 for a in range(0, len(passages), 2048):
                     cosines = passages[a : a + 2048] @ vectors.T

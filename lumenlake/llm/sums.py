@@ -13,11 +13,11 @@ FAN_IN = 64
 SCHEMA = "slice int, part int, sums binary"
 
 
-def slices(values: np.ndarray, part: int, width: int) -> pa.RecordBatch:
-    """Rows (slice, part, sums) of one task's array, cut into runs of ``width`` values."""
+def slices(values: np.ndarray, part: int, width: int, first: int = 0) -> pa.RecordBatch:
+    """Rows (slice, part, sums) of one task's array, cut into runs of ``width`` values and numbered from ``first``."""
     flat = values.ravel()
     cut = [flat[a : a + width].tobytes() for a in range(0, len(flat), width)]
-    columns = [pa.array(range(len(cut)), pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array(cut, pa.binary())]
+    columns = [pa.array(range(first, first + len(cut)), pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array(cut, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["slice", "part", "sums"])
 
 
