@@ -261,9 +261,10 @@ class Space:
             latent, weight = self.latent[mine].astype(np.float32), self.weight[mine, None]
             rest = np.unpackbits(packed[mine], axis=1, count=LENGTH - LATENT).astype(np.float32)
             rest *= 2
-            rest -= latent @ self.mixed + 1
-            rest *= weight / np.float32(np.sqrt(LENGTH - LATENT))
-            out[:, :LATENT], out[:, LATENT:] = latent * weight, rest
+            rest -= 1
+            rest -= latent @ self.mixed
+            rest /= np.sqrt(LENGTH - LATENT)
+            out[:, :LATENT], out[:, LATENT:] = latent * weight, rest * weight
         return table
 
 
