@@ -139,20 +139,25 @@ TEXTS = {
 
 def words(text: Column) -> Column:
     """Words of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def _once(made: Column) -> Column:
+    """A value that is made once a row: a filter on it stays above, where a filter on a plain column moves below and makes it again."""
+    return F.explode(F.array(made))
 
 
 def _pairs(column: str) -> Column:
     """Neighbouring words of an array, joined by a blank."""
     found = F.col(column)
-    ahead = F.slice(found, F.lit(2), F.greatest(F.lit(0), F.size(found) - 1))
-    return F.zip_with(F.slice(found, F.lit(1), F.size(ahead)), ahead, lambda a, b: F.concat_ws(" ", a, b))
+    n = F.greatest(F.lit(0), F.size(found) - 1)
+    return F.zip_with(F.slice(found, F.lit(1), n), F.slice(found, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, words) of every line that holds a word."""
     lines = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", words(F.col("line")).alias("words")).where("size(words) > 0")
+    return lines.select("doc_id", _once(words(F.col("line"))).alias("words")).where("size(words) > 0")
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -278,7 +283,7 @@ class Scanner:
 
     def _predict(self, vectors: DataFrame) -> DataFrame:
         """Adds the most probable class (of equal ones the first by name) and its probability."""
-        found = self.model.setProbabilityCol("shares").transform(vectors).withColumn("shares", vector_to_array("shares"))
+        found = self.model.setProbabilityCol("shares").transform(vectors).select(*vectors.columns, _once(vector_to_array("shares")).alias("shares"))
         best = F.array_max("shares")
         names = F.array(*map(F.lit, self.families))
         about = 1 - F.get("shares", F.lit(self.families.index(NONE))) if NONE in self.families else F.lit(1.0)

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenlake.llm import (
     decontamination,
@@ -553,6 +554,22 @@ def test_licence_families_left_out_of_the_fit_are_unknown_or_missed_but_not_take
     assert min(unknown | wrong) >= len(lines)
 
 
+def test_licence_lines_are_cut_and_weighed_once(spark):
+    lines = [("MIT", "Released under the MIT License."), ("none", "The river ran on to the sea."), ("none", "Two geese flew over the old mill.")]
+    rows = spark.createDataFrame(lines, "family string, line string").select("family", licences.words(F.col("line")).alias("words"))
+    scanner = licences.Scanner.__new__(licences.Scanner)
+    scanner.features = licences.HashingTF(inputCol="grams", outputCol="vector", numFeatures=licences.FEATURES, binary=True)
+    scanner.limit, scanner.about, scanner.texts, scanner.names = 0.5, 0.5, {"MIT": [["mit license"]]}, {"MIT": [" mit license "]}
+    scanner._fit(scanner._vectors(rows.withColumn("pairs", licences._pairs("words"))), 5)
+    found = scanner.scan(_docs(spark, ["The river ran on to the sea.\n\n ...\nReleased under the MIT License.\nSea", "", None]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1
+    steps = [line for line in plan.splitlines() if "UDF(" in line]
+    assert steps and not any("Filter " in line for line in steps)
+    assert sum(line.count("UDF(") for line in steps) == 4  # vector, raw, shares, array
+    assert [(r.doc_id, r.family, r.shared) for r in found.collect()] == [(0, "MIT", 1.0)]
+
+
 def test_leaks_among_many_rare_words_are_found(spark):
     """Items that carry less than a fifth of their passage's weight, with a word changed so that no five words follow."""
     items = [[f"item{n}x{k}" for k in range(7)] for n in range(60)]
