@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import numbered, parts, saved, texts_of
 from lumenlake.llm.components import components
 from lumenlake.plans.parallel import spread
-from lumenlake.plans.skew import join_lookup
+from lumenlake.plans.skew import by_key, join_lookup
 
 SEED = 42
 #: Distinct fingerprints of one block that are compared in one task; larger blocks are cut into pairs of slices.
@@ -187,7 +187,7 @@ def near_links(nodes: DataFrame, blocks: int, equal: int, most: int, kept: int =
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slices = F.ceil(F.col("n") / slice_rows).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
-    placed = postings.join(shared, "key").withColumns({"_slices": slices, "_own": own})
+    placed = postings.join(by_key(shared), "key").withColumns({"_slices": slices, "_own": own})
     other = F.sequence(F.lit(0), F.col("_slices") - 1)
     pairs = F.transform(other, lambda o: F.least(o, F.col("_own")) * F.col("_slices") + F.greatest(o, F.col("_own")))
     runs = placed.select("key", F.explode(pairs).alias("part"), "node", "kept").select("key", F.col("part").cast("long"), "node", "kept")
@@ -212,12 +212,12 @@ def groups(
     nodes = saved(nodes, "nodes")
     links = near_links(nodes.select("node", "print"), blocks, equal, most, kept, slice_rows)
     member = components(links)
-    named = member.join(nodes.select("node", "first"), "node")
+    named = member.join(by_key(nodes.select("node", "first")), "node")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    lookup = nodes.join(named.select("node", "component").join(smallest, "component"), "node", "left").select(
+    lookup = nodes.join(by_key(named.select("node", "component").join(by_key(smallest), "component")), "node", "left").select(
         "print", "n", F.coalesce("component_id", "first").alias("component_id")
     )
-    return join_lookup(prints, lookup, "print", F.col("n"), "doc_id")
+    return join_lookup(prints, by_key(lookup), "print", F.col("n"), "doc_id", sizes=lookup)
 
 
 def hex_print(column: str = "print"):

@@ -10,6 +10,15 @@ HOT_ROWS = 1_000_000
 NULL_SALTS = 1024
 
 
+def by_key(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the table: it is sorted and merged with the other one, never broadcast.
+
+    Spark sizes rows by the file they come from: behind an explode, a step in Python or a compressed file there are many
+    times more, and a table of 9 MB on disk becomes a broadcast of 500 MB that the driver has to hold.
+    """
+    return side.hint("merge")
+
+
 def join_lookup(
     rows: DataFrame,
     lookup: DataFrame,
