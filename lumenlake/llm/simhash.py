@@ -367,26 +367,27 @@ def _alike_links(rows: DataFrame, nodes: DataFrame, size: int, paired: int, slic
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")
     )
     runs = saved(held.where("n > 1").groupBy("n", "p", "q").agg(F.min("key").alias("key"), F.max("total").alias("total")), "runs")
-    short = postings.join(runs.where(F.col("n") <= paired).select("key"), "key")
+    short = postings.join(by_key(runs.where(F.col("n") <= paired).select("key")), "key")
     members = short.groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("them"))
     pairs = members.select(F.explode("them").alias("x"), "them").select("x", F.explode("them").alias("y"))
     pairs = pairs.where((F.col("x.node") < F.col("y.node")) & _alike_sizes(F.col("x.size"), F.col("y.size")))
     pairs = saved(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
 
     slices = F.ceil(F.greatest(F.col("n") / slice_rows, F.col("total") / _HELD)).cast("int")
-    long = postings.join(runs.where(F.col("n") > paired).select("key", slices.alias("_slices")), "key")
+    long = postings.join(by_key(runs.where(F.col("n") > paired).select("key", slices.alias("_slices"))), "key")
     long = saved(long.select("key", "node", "_slices", F.pmod(F.xxhash64("node"), "_slices").cast("int").alias("_own")), "long_runs")
     other = F.sequence(F.lit(0), F.col("_slices") - 1)
     parts = F.transform(other, lambda o: F.least(o, F.col("_own")).cast("long") * F.col("_slices") + F.greatest(o, F.col("_own")))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    needed = ends.unionByName(long.select("node")).distinct().join(nodes.select("node", F.col("first._row").alias("_row")), "node").select("_row")
-    texts = rows.select("_row", "text").join(needed, "_row", "left_semi")
+    of = by_key(nodes.select("node", F.col("first._row").alias("_row")))
+    needed = ends.unionByName(long.select("node")).distinct().join(of, "node").select("_row")
+    texts = rows.select("_row", "text").join(by_key(needed), "_row", "left_semi")
     sets = saved(texts.mapInArrow(_Sets(size), "node long, shingles binary"), "sets")
-    told = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    told = told.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    told = pairs.join(by_key(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))), "a")
+    told = told.join(by_key(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))), "b")
     near = told.mapInArrow(_alike_pairs, "a long, b long")
-    whole = long.select("key", "node", F.explode(parts).alias("part")).join(sets, "node")
+    whole = long.select("key", "node", F.explode(parts).alias("part")).join(by_key(sets), "node")
     ordered = whole.repartition("key", "part").sortWithinPartitions("key", "part")
     return near.unionByName(ordered.mapInArrow(_alike_runs, "a long, b long"))
 
@@ -403,7 +404,7 @@ def _alike_nodes(rows: DataFrame, size: int, paired: int, slice_rows: int, print
     nodes = saved(marks.groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
     links = _alike_links(rows, nodes, size, paired, slice_rows)
     member = components(links.unionByName(_print_links(marks)) if printed else links)
-    named = nodes.select("node", "n", "first").join(member, "node", "left")
+    named = nodes.select("node", "n", "first").join(by_key(member), "node", "left")
     return marks.select("_row", "doc_id", "node"), named.select("node", "n", F.coalesce("component", "node").alias("root"), "first")
 
 
@@ -418,8 +419,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, paired: int = _PAIRED, slice
     marks, named = _alike_nodes(numbered(docs.select("doc_id", "text"))[0], size, paired, slice_rows)
     named = saved(named, "named")
     smallest = named.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
-    lookup = named.select("node", "n", "root").join(smallest, "root").select("node", "n", "component_id")
-    return join_lookup(marks, lookup, "node", F.col("n"), "_row").select("doc_id", "component_id")
+    lookup = named.select("node", "n", "root").join(by_key(smallest), "root").select("node", "n", "component_id")
+    return join_lookup(marks, by_key(lookup), "node", F.col("n"), "_row", sizes=lookup).select("doc_id", "component_id")
 
 
 def _print_links(marks: DataFrame) -> DataFrame:
@@ -429,9 +430,9 @@ def _print_links(marks: DataFrame) -> DataFrame:
     """
     pairs = saved(marks.select("node", "print", "mark").distinct(), "printed")
     least = saved(pairs.groupBy("mark", "print").agg(F.min("node").alias("b")), "printed_least")
-    same = pairs.join(least, ["mark", "print"]).where("node != b").select(F.col("node").alias("a"), "b")
+    same = pairs.join(by_key(least), ["mark", "print"]).where("node != b").select(F.col("node").alias("a"), "b")
     near = near_links(least.select(F.col("mark").alias("node"), "print"), 6, 3, 3)
-    ends = [least.select(F.col("mark").alias(c), F.col("b").alias(f"_{c}")) for c in "ab"]
+    ends = [by_key(least.select(F.col("mark").alias(c), F.col("b").alias(f"_{c}"))) for c in "ab"]
     return same.unionByName(near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
@@ -446,4 +447,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, row = numbered(docs)
     _, named = _alike_nodes(rows.select(F.col(row).alias("_row"), "doc_id", "text"), 5, _PAIRED, SLICE, printed=True)
     chosen = named.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least._row").alias(row))
-    return rows.join(chosen, row, "left_semi").drop(row)
+    return rows.join(by_key(chosen), row, "left_semi").drop(row)

@@ -36,3 +36,11 @@ def test_groups_broadcast_only_hot_keys(docs, plans):
     assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
     assert planned(found).count("BroadcastHashJoin") == 1
     assert {r.doc_id: r.component_id for r in found.collect()} == {k: [0, 0, 2, 3, 4][k % 5] for k in range(15)}
+
+
+def test_near_duplicates_broadcast_only_hot_keys(docs, plans):
+    kept = simhash.keep_one(docs)
+    assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join([*plans, planned(kept)])
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
+    found = simhash.near_duplicates(docs)
+    assert "Broadcast" not in "".join(plans) and planned(found).count("BroadcastHashJoin") == 1
