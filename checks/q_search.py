@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from checks import model as M
@@ -727,19 +726,9 @@ def bulk_match_many(spark, sf):
     catalog = M.catalog(spark, sf)
     days = F.floor(F.col("created_at") / 86400000)
     told = catalog.assets.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.coalesce(F.sum(days), F.lit(0)).alias("days"))
-    found = spec_index.bulk_match_many(catalog, stored, told=told, lists=True)
-
-    def total(name: str) -> Column:
-        return F.aggregate(f"found.{name}", F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    counted = found.select(
-        "spec_id",
-        total("copies").alias("n"),
-        F.array_min("found.id").alias("first_id"),
-        F.array_max("found.id").alias("last_id"),
-        total("days").alias("days"),
-    )
-    # The lists are counted before rows are sorted by spec, for which they would be carried along.
+    # Added up where they are found: matches are specs times assets by nature, and no row or element is made for one.
+    found = spec_index.bulk_match_many(catalog, stored, told=told, totals=["copies", "days"])
+    counted = found.withColumnRenamed("copies", "n")
     return counted.repartition("spec_id").groupBy("spec_id").agg(
         F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("days").alias("days")
     )

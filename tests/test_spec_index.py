@@ -117,3 +117,54 @@ def test_told_columns_and_lists_equal_a_join_of_the_matches(spark, catalog):
     pairs = spec_index.bulk_match_many(catalog, stored, told=told)
     lists = spec_index.bulk_match_many(catalog, stored, told=told, lists=True).selectExpr("spec_id", "inline(found)")
     assert sorted(map(tuple, pairs.collect())) == want and sorted(map(tuple, lists.collect())) == want
+
+
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_totals_add_up_the_matches(spark, catalog, monkeypatch, block):
+    monkeypatch.setattr(spec_index, "_PIECE", 40)
+    draw = random.Random(31)
+    trees = {f"s{k}": _tree(draw, 3) for k in range(30)} | {"all": all_specs(), "again": all_specs(), "none": any_spec()}
+    stored = _stored(spark, trees)
+    told = spark.createDataFrame([(f"a{k % 200}", k - 90, k * 10**10) for k in range(250)] + [("a7", None, 1)], "id string, mark int, large long")
+    ids = {}
+    for row in spec_index.bulk_match_many(catalog, stored, told=told).collect():
+        ids.setdefault(row.spec_id, []).append(row)
+    want = {k: (min(r.id for r in v), max(r.id for r in v), sum(r.mark or 0 for r in v), sum(r.large for r in v)) for k, v in ids.items()}
+    found = spec_index.bulk_match_many(catalog, stored, block_specs=block, told=told, totals=["mark", "large"])
+    whole = found.groupBy("spec_id").agg({"first_id": "min", "last_id": "max", "mark": "sum", "large": "sum"})
+    got = {r.spec_id: (r["min(first_id)"], r["max(last_id)"], r["sum(mark)"], r["sum(large)"]) for r in whole.collect()}
+    assert got == want and got["all"] == got["again"] and "none" not in got
+
+
+@pytest.mark.parametrize("run,trees,exact", [(4096, 1024, 1 << 62), (13, 3, 1 << 62), (64, 1, 1)])
+def test_totals_of_a_task(monkeypatch, run, trees, exact):
+    import pyarrow as pa
+
+    for name, value in (("_RUN", run), ("_TREES", trees), ("_EXACT", exact)):
+        monkeypatch.setattr(spec_index, name, value)
+    draw = random.Random(run)
+    sizes, marks = [draw.randrange(50) for _ in range(300)], [draw.randrange(-(10**15), 10**15) for _ in range(300)]
+    ids = [f"a{draw.randrange(1000)}" for _ in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(marks)], ["id", "file_size", "mark"])
+    bounds = [*range(0, 60, 7), 21]
+    index = spec_index.SpecIndex([(b, json.dumps(predicate("metadata.core", "eq", {"field": "minFileSize", "value": b}))) for b in bounds])
+    assert len(index.trees) == len(set(bounds))
+    task = spec_index._Totals(index, pa.int64(), ["mark"], False)
+    found = [tuple(r.values()) for b in task(iter([batch.slice(0, 90), batch.slice(90, 0), batch.slice(90)])) for r in b.to_pylist()]
+    want = []
+    for b in bounds:
+        mine = [(i, m) for i, n, m in zip(ids, sizes, marks) if n >= b]
+        want += [(b, min(mine)[0], max(mine)[0], sum(m for _, m in mine))] if mine else []
+    assert found == want and list(task(iter([batch.slice(0, 0)]))) == []
+
+
+def test_blocks_share_one_pass_over_the_catalog(spark, catalog, monkeypatch):
+    draw = random.Random(37)
+    trees = {f"s{k}": _tree(draw, 3) for k in range(40)}
+    expected = {(r.spec_id, r.id) for r in specs.bulk_match(catalog, trees).collect()}
+    whole = spec_index.bulk_match_many(catalog, _stored(spark, trees), block_specs=10)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and "Join" not in plan
+    monkeypatch.setattr(spec_index, "_LISTS", 1)  # tables of their own for blocks that ask for other terms
+    for found in (whole, spec_index.bulk_match_many(catalog, _stored(spark, trees), block_specs=10)):
+        assert {(r.spec_id, r.id) for r in found.collect()} == expected
