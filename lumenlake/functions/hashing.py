@@ -53,6 +53,11 @@ def hash_bits(hash_hex: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+def bits_hash(bits: Column) -> Column:
+    """The 16 digits of a 64-bit integer, as of :func:`hash_bits`."""
+    return F.lower(F.lpad(F.hex(bits), 16, "0"))
+
+
 def bit_distance(a: Column, b: Column) -> Column:
     """Number of differing bits of two integers."""
     return F.bit_count(a.bitwiseXOR(b))

@@ -20,7 +20,7 @@ from lumenlake.constants import (
     VISUAL_GENERATION,
     VISUAL_MODELS,
 )
-from lumenlake.functions.hashing import all_of, bit_distance, hash_bits
+from lumenlake.functions.hashing import all_of, bit_distance, bits_hash, hash_bits
 from lumenlake.operators.staleness import freshness_gate
 from lumenlake.plans.skew import join_lookup
 from lumenlake.session import cut_lineage
@@ -224,18 +224,22 @@ def near_pairs(
     :func:`chunk_widths` by default), so that a key holds about ``largest_key`` hashes of evenly spread ones.
     Keys with more, and whole buckets, are cut into slices of that size, and each pair of slices is compared on its own.
 
+    Every hash goes to many keys, so its digits stay behind: they follow from its bits, and only a hash of other digits or
+    another length goes along as text.
+
     The distinct hashes are read several times, so they are checkpointed first (this runs their aggregation); the few
     crowded keys are counted and stored, too.
     """
     digits = bucket_digits or 0
     widths = widths or chunk_widths(HASH_BITS - 4 * digits, max_distance)
     plans = {w: ChunkKeys(digits, max_distance, w) for w in widths}
+    bits = hash_bits(F.col(column))
     base = cut_lineage(
         groups.select(
-            F.col(column).alias("hash"),
+            F.when(F.col(column) != bits_hash(bits), F.col(column)).alias("odd"),
             F.col("member_count").alias("n"),
             F.col("representative_id").alias("first"),
-            hash_bits(F.col(column)).alias("bits"),
+            bits.alias("bits"),
             F.substring(F.col(column), 1, digits).alias("bucket"),
         )
     )
@@ -277,13 +281,13 @@ def near_pairs(
         opened = marked.withColumn("_k", F.explode(keys)).select(
             "bucket",
             *[F.col(f"_k.{c}").alias(c) for c in ("chunk", "tag", "value")],
-            *[F.col(c).alias(f"{c}_{name}") for c in ("hash", "bits", "n", "first")],
+            *[F.col(c).alias(f"{c}_{name}") for c in ("odd", "bits", "n", "first")],
             *(["_width"] if name == "a" else []),
         )
         if not few:
             return opened
         listed = opened.join(F.broadcast(crowded) if few <= LISTED_KEYS else crowded, _KEY, "left")
-        own = F.pmod(F.xxhash64(f"hash_{name}"), F.coalesce(f"slices_{name}", F.lit(1))).cast("int").alias(f"_slice_{name}")
+        own = F.pmod(F.xxhash64(f"bits_{name}", f"odd_{name}"), F.coalesce(f"slices_{name}", F.lit(1))).cast("int").alias(f"_slice_{name}")
         met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"slices_{other}"), F.lit(1)) - 1))
         return listed.select(*opened.columns, own, met.alias(f"_slice_{other}"))
 
@@ -292,15 +296,20 @@ def near_pairs(
     for w, plan in plans.items():
         counted = F.when(F.col("_width") == w, plan.counted(differing, F.col("chunk"))).otherwise(counted)
     distance = bit_distance(F.col("bits_a"), F.col("bits_b"))
+    hash_a, hash_b = (F.coalesce(f"odd_{name}", bits_hash(F.col(f"bits_{name}"))) for name in "ab")
+    # As unsigned numbers, the bits of plain hashes are in the order of their digits.
+    first = [F.col(f"bits_{name}").bitwiseXOR(F.lit(-(1 << 63))) for name in "ab"]
+    plain = F.col("odd_a").isNull() & F.col("odd_b").isNull()
+    ordered = F.when(plain, first[0] < first[1]).otherwise(hash_a < hash_b)
     keys = [*_KEY, *(["_slice_a", "_slice_b"] if few else [])]
     return (
         side("a", "b")
         .repartition(pieces, *keys)
         .join(side("b", "a").repartition(pieces, *keys), keys)
-        .where((F.col("hash_a") < F.col("hash_b")) & (distance <= max_distance) & counted)
+        .where((distance <= max_distance) & ordered & counted)
         .select(
-            "hash_a",
-            "hash_b",
+            hash_a.alias("hash_a"),
+            hash_b.alias("hash_b"),
             distance.alias("distance"),
             F.col("n_a").alias("members_a"),
             F.col("n_b").alias("members_b"),

@@ -206,3 +206,18 @@ def test_pairs_are_dealt_by_what_is_compared(spark, monkeypatch):
     ids = clusters.similar_clusters(pairs)
     members = clusters.similar_members(ids.unionByName(ids), fresh).select("cluster_id", "id").collect()
     assert len(members) == len(set(members)) == 64 * 6
+
+
+@pytest.mark.parametrize("digits,hot,largest", [(1, 1024, 4096), (None, 1, 3)])
+def test_digits_of_hashes_stay_behind_and_odd_hashes_are_kept(spark, digits, hot, largest):
+    hashes = ["0" * 16, "0" * 15 + "1", "f" * 16, "f" * 15 + "e", "7" + "f" * 15, "8" + "0" * 15, "8" + "0" * 14 + "1"]
+    hashes += ["", "0", "00", "zz", "F" * 16, "0" * 17, "f" * 15, "0:0"]
+    groups = clusters.hash_groups(fresh_table(spark, hashes), "visual_hash")
+    pairs = clusters.near_pairs(groups, digits, hot_bucket=hot, largest_key=largest)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "hash_a" not in plan[plan.index("Join") :]
+    values = {h: int("".join(c if c in "0123456789abcdef" else "0" for c in h[:16]).ljust(16, "0"), 16) for h in hashes}
+    near = {(a, b): (values[a] ^ values[b]).bit_count() for a in hashes for b in hashes if a < b and a[: digits or 0] == b[: digits or 0]}
+    found = [(p.hash_a, p.hash_b, p.distance, p.representative_id) for p in pairs.collect()]
+    ids = {h: f"a{k:04d}" for k, h in enumerate(hashes)}
+    assert sorted(found) == sorted((a, b, d, min(ids[a], ids[b])) for (a, b), d in near.items() if d <= 8)
